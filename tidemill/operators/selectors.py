@@ -148,11 +148,11 @@ def preview(s: TableStream, nrows: int = 5, ntables: int = 5) -> TableStream:
     if not s.key:
         return limit(s, nrows)
     keys = s.df.select(*map(col, s.key)).distinct().orderBy(*map(col, s.key)).limit(ntables)
-    same = [col(k).eqNullSafe(F.col(f"__k.`{k}`")) for k in s.key]
+    same = [F.col(f"__s.`{k}`").eqNullSafe(F.col(f"__k.`{k}`")) for k in s.key]
     on = same[0]
     for c in same[1:]:
         on &= c
-    return limit(s.to(s.df.join(F.broadcast(keys).alias("__k"), on, "left_semi")), nrows)
+    return limit(s.to(s.df.alias("__s").join(F.broadcast(keys).alias("__k"), on, "left_semi")), nrows)
 
 
 __all__ = [n for n in globals() if not n.startswith("_") and n not in ("F", "TIME", "Column", "Sequence", "annotations", "random")]

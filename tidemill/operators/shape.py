@@ -5,6 +5,7 @@ None of these moves rows between tasks; ``pivot`` and the key listings aggregate
 
 from __future__ import annotations
 
+import builtins
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -25,7 +26,7 @@ def filter(s: TableStream, fn: Callable[[Record], Column], on_empty: str = "drop
     kept = s.df.where(fn(s.r))
     if on_empty == "drop" or not s.key:
         return s.to(kept)
-    keys = s.df.select(*map(col, s.key)).distinct()
+    keys = s.df.select(*map_cols(s.key)).distinct()
     return s.to(kept, empty=keys if s.empty is None else keys.unionByName(s.empty).distinct())
 
 
@@ -40,12 +41,12 @@ def range(s: TableStream, start, stop=None) -> TableStream:  # noqa: A001
 
 
 def drop(s: TableStream, columns: Sequence[str] | None = None, fn: Callable[[str], bool] | None = None) -> TableStream:
-    gone = set(columns or ()) if fn is None else {c for c in s.columns if fn(c)}
+    gone = builtins.set(columns or ()) if fn is None else {c for c in s.columns if fn(c)}
     return s.to(s.df.select(*(col(c) for c in s.columns if c not in gone)))
 
 
 def keep(s: TableStream, columns: Sequence[str] | None = None, fn: Callable[[str], bool] | None = None) -> TableStream:
-    held = set(columns or ()) if fn is None else {c for c in s.columns if fn(c)}
+    held = builtins.set(columns or ()) if fn is None else {c for c in s.columns if fn(c)}
     return s.to(s.df.select(*(col(c) for c in s.columns if c in held)))
 
 
@@ -58,11 +59,11 @@ def rename(s: TableStream, columns: dict[str, str] | None = None, fn: Callable[[
     names = columns if fn is None else {c: fn(c) for c in s.columns}
     s.need(*names)
     new = [names.get(c, c) for c in s.columns]
-    if len(set(new)) < len(new):
+    if len(builtins.set(new)) < len(new):
         raise ValueError(f"rename makes duplicate columns: {new}")
     out = s.df.toDF(*new)
     moved = lambda x: names.get(x, x) if isinstance(x, str) else x
-    return s.to(out, key=tuple(map(moved, s.key)), order=tuple(map(moved, s.order)))
+    return s.to(out, key=tuple(moved(k) for k in s.key), order=tuple(moved(o) for o in s.order))
 
 
 def set(s: TableStream, key: str | None = None, value: str | None = None, **many) -> TableStream:  # noqa: A001
@@ -201,18 +202,12 @@ def pivot(s: TableStream, row_key: Sequence[str], column_key: Sequence[str], val
     order = F.struct(*(col(o) if isinstance(o, str) else o for o in s.order)) if s.order else F.lit(0)
     grouped = s.df.withColumn("__label", label).withColumn("__ord", order).groupBy(*map_cols(by))
     wide = grouped.pivot("__label", list(values) if values else None).agg(F.max_by(col(value_column), col("__ord")))
-    clash = builtins_set(wide.columns[len(by) :]) & builtins_set(by)
+    clash = builtins.set(wide.columns[len(by) :]) & builtins.set(by)
     if clash:
         raise ValueError(f"pivot label equals a column: {sorted(clash)}")
     return s.to(wide, key=tuple(stay), order=tuple(row_key), empty=None)
 
 
-def builtins_set(x):
-    import builtins
-
-    return builtins.set(x)
-
-
 def unpivot(s: TableStream, other_columns: Sequence[str] = (TIME,)) -> TableStream:
     """Wide to long: every column but key and ``other_columns`` becomes rows of
     _field and _value; null values are left out; _field joins the key."""
