@@ -6,7 +6,7 @@ as Parquet and read again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import language_id, packing, passages, simhash, toxicity
@@ -14,19 +14,22 @@ from tidemill.llm.common import crc_fold, stored, table
 from tidemill.llm.queries import WORD_BPE, vocabulary
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, so that none clashes with what a stage adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores below 0.3 stay."""
     grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.predict(docs, grammar, [F.col(f"`{c}`") for c in docs.columns])
-    return judged.where("predicted = 0").select(*docs.columns)
+    return toxicity.predict(docs, grammar, [whole(docs)]).where("predicted = 0").select("doc.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without a letter and those
     far less likely than any learned language's own text go."""
     names, models = language_id.fit(docs.where(crc_fold(F.col("doc_id")) != 2))
-    judged = language_id.predict(docs, names, models, [F.col(f"`{c}`").alias("_text" if c == "text" else c) for c in docs.columns])
-    return judged.where("NOT rejected").withColumnRenamed("_text", "text").select(*docs.columns)
+    return language_id.predict(docs, names, models, [whole(docs)]).where("NOT rejected").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
