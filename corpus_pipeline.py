@@ -33,8 +33,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component (five-word shingles) the first document stays."""
-    return simhash.one_of_each(docs, words=5)
+    """Of each group of near copies (SimHash candidates whose five-word shingles
+    have a similarity of 0.8 or more) the first document stays."""
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ from .common import stored, tune
 BLOCK = 1024
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, keep: bool = False) -> DataFrame:
     """doc_id and fp (signed 64-bit SimHash of the word shingles).
 
-    A-Z is lower-cased, words are runs of anything but space and \\x09-\\x0d. A
-    null text, or one without words, has fingerprint zero.
+    A-Z is lower-cased, words are runs of anything but space and \\x09-\\x0d;
+    without ``repeats`` each shingle counts once. A null text, or one without words, has fingerprint zero.
     """
     tune(docs.sparkSession)
 
@@ -47,12 +47,14 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 starts = [0, *(ends[:-1] + 1).tolist()]
                 stops = ends[words - 1 :].tolist() if len(parts) >= words else [len(joined)]
                 h = np.array([xxh64_intdigest(joined[x:y], seed) for x, y in zip(starts, stops)], dtype="<u8")
+                h = h if repeats else np.unique(h)
                 on = sum(np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(h), 65536))
                 out[i] = np.packbits(on * 2 > len(h), bitorder="little").view("<u8")[0]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(out.view(np.int64))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    named = F.col("doc_id") if keep else F.col("doc_id").cast("long")
+    rows = docs.select(named.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def cell_masks(groups: int, bits: int) -> list[int]:
@@ -197,11 +199,94 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """The documents without their near-duplicates: of each component the row of
-    smallest doc_id stays (one of them, if that id repeats), whole. Rows without
-    a doc_id can't be told apart and stay."""
-    found = near_duplicates(docs, words, bits).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def nearest_links(points: DataFrame, bits: int = 8, groups: int = 10, block: int = 4096) -> DataFrame:
+    """(src, dst): of each point (fp, rep, key) the nearest one of smaller rep
+    within ``bits``, per grid cell: at most one link a point, cell and block."""
+    masks = cell_masks(groups, bits)
+
+    def cells(batches):
+        salt = [np.uint64((i * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)) for i in range(len(masks))]
+        for b in batches:
+            counts = segment_counts(b.column("fp").to_numpy().view(np.uint64))
+            for m, s in zip(masks, salt, strict=True):
+                k = (counts & np.uint64(m)) * np.uint64(0xBF58476D1CE4E5B9) + s
+                k = (k ^ (k >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(k.view(np.int64)), **{n: b.column(n) for n in ("fp", "rep", "key")}})
+
+    celled = stored(points.select("fp", "rep", "key").mapInArrow(cells, "cell long, fp long, rep long, key long"), "cells")
+    many = celled.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = celled.join(many, "cell").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("x"), F.greatest(o, "mine").alias("y")))
+    point = F.struct("fp", "rep", "key")
+    rows = rows.select("cell", point.alias("p"), "mine", F.explode(pairs).alias("pair"))
+    packed = rows.groupBy("cell", "pair.x", "pair.y").agg(F.collect_list("p").alias("p"))
+
+    def compare(batches):
+        for batch in batches:
+            src, dst = [], []
+            for p in batch.column("p"):
+                fp, rep, key = (p.values.field(i).to_numpy() for i in range(3))
+                order = np.argsort(rep, kind="stable")
+                fp, key = fp[order].view(np.uint64), key[order]
+                coarse = np.bitwise_count(fp).astype(np.int16)
+                for lo in range(1, len(fp), 256):
+                    hi = min(lo + 256, len(fp))
+                    # Manhattan distance of the whole counts first, then the bits
+                    away = np.bitwise_count(fp[lo:hi, None] ^ fp[None, :hi])
+                    away = np.where(np.abs(coarse[lo:hi, None] - coarse[None, :hi]) <= bits, away, 64)
+                    away[np.arange(lo, hi)[:, None] <= np.arange(hi)[None, :]] = 64
+                    near = away.argmin(1)
+                    ok = np.flatnonzero(away[np.arange(hi - lo), near] <= bits)
+                    src.append(key[lo + ok])
+                    dst.append(key[near[ok]])
+            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"src": cat(src), "dst": cat(dst)})
+
+    return packed.mapInArrow(compare, "src long, dst long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose texts (key, text) have word shingles of at
+    least this Jaccard similarity; two texts without words are alike."""
+
+    def run(batches):
+        def shingles(text: str) -> set:
+            w = text.encode().lower().split()
+            return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                s, t = shingles(x or ""), shingles(y or "")
+                both = len(s & t)
+                ok.append(both >= similarity * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("src", "dst")}).filter(pa.array(ok, pa.bool_()))
+
+    named = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
+    held = texts.join(named, "key", "left_semi").dropDuplicates(["key"])
+    both = pairs.join(held.select(F.col("key").alias("src"), F.col("text").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("text").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 8) -> DataFrame:
+    """The documents without their copies: of each group, whole, the row of
+    smallest doc_id (one of them, if that id repeats).
+
+    Documents with equal texts are one vertex. Candidates are vertices whose
+    fingerprints of the *set* of their words differ in at most ``bits`` bits:
+    few changed words leave most of the set alone, though each changes ``words``
+    shingles. A candidate links if its text's word shingles have the Jaccard
+    similarity. Rows without a doc_id can't be told apart and stay.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit(""))))
+    prints = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), 1, repeats=False, keep=True)
+    prints = stored(prints.select("doc_id.doc_id", "doc_id.key", "fp"), "fingerprints")
+    points = stored(prints.where("doc_id is not null").groupBy("key", "fp").agg(F.min("doc_id").alias("rep")), "points")
+    pairs = stored(nearest_links(points, bits), "candidates")
+    linked = similar(pairs, docs.select(key.alias("key"), "text"), words, similarity)
+    root = components(linked)
+    member = points.join(root, points["key"] == root["vertex"], "left").select("rep", F.coalesce("root", "key").alias("root"))
+    found = member.groupBy("root").agg(F.min("rep").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = kept.select("*", F.row_number().over(w).alias("_row_no")).where("_row_no = 1").drop("_row_no")
