@@ -98,15 +98,14 @@ def state_changes_only_alert(s: TableStream) -> TableStream:
 
 
 def anomaly_mad(s: TableStream, threshold: float = 3.0, column: str = VALUE) -> TableStream:
-    """Median absolute deviation per time: how many deviations each series is
-    from the median of all at that time, and a level."""
+    """Distance of each series from the median at its time, in median distances,
+    and whether that is an anomaly. Times whose median distance is 0 are left out."""
     mid = s.df.groupBy(col(TIME)).agg(F.percentile(col(column), F.lit(0.5)).alias("__med"))
     away = s.df.join(mid, TIME).withColumn("__dist", F.abs(col(column) - F.col("__med")))
-    mad = away.groupBy(col(TIME)).agg((F.percentile("__dist", F.lit(0.5)) * 1.4826).alias("MAD"))
-    out = away.join(mad, TIME)
-    score = F.when(F.col("MAD") == 0, F.lit(None).cast("double")).otherwise(F.col("__dist") / F.nullif(F.col("MAD"), F.lit(0.0)))
-    out = out.withColumns({"_value_diff_med": score}).withColumn("level", F.when(score >= threshold, "anomaly").otherwise("normal"))
-    return s.to(out.drop("__med", "__dist"))
+    typical = away.groupBy(col(TIME)).agg(F.percentile("__dist", F.lit(0.5)).alias("__typical")).where("__typical > 0")
+    out = away.join(typical, TIME).withColumns({column: F.col("__dist") / F.col("__typical"), "MAD": F.col("__typical") * 1.4826})
+    out = out.withColumn("level", F.when(col(column) >= threshold, "anomaly").otherwise("normal"))
+    return s.to(out.drop("__med", "__dist", "__typical"), key=(TIME,), empty=None)
 
 
 def naive_bayes(s: TableStream, class_column: str, feature: str, train: Column) -> TableStream:

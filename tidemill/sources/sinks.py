@@ -246,3 +246,53 @@ def zenoss_message(url: str, username: str, password: str, device: str, componen
     event = {"device": device, "component": component, "severity": severity, "evclass": event_class, "evclasskey": event_class_key, "collector": collector, "summary": summary, "message": message}
     auth = {"z-api-key": api_key} if api_key else {"Authorization": basic_auth(username, password)}
     return {"url": url, "headers": {**auth, "Content-Type": "application/json"}, "data": {"action": action, "method": method, "data": [event], "type": type_, "tid": tid}}
+
+
+# Requests and helpers of the services above
+
+
+def request(method: str, url: str, params: dict | None = None, headers: dict | None = None, body: bytes = b"", timeout: float | None = None) -> dict:
+    """Any HTTP request: statusCode, body, headers and duration in nanoseconds."""
+    import time as clock
+    from urllib.parse import urlencode
+
+    from ..plans.engine import get_option
+    from .tables import fetch
+
+    full = url + (("&" if "?" in url else "?") + urlencode(params, doseq=True) if params else "")
+    began = clock.time()
+    out = fetch(full, method, headers, body or None, timeout or get_option("timeout", 30.0))
+    return out | {"duration": int((clock.time() - began) * 1e9)}
+
+
+def get(url: str, **kw) -> dict:
+    return request("GET", url, **kw)
+
+
+def post(url: str, **kw) -> dict:
+    return request("POST", url, **kw)
+
+
+def peek(spark, response: dict) -> TableStream:
+    """A response as a table of one row."""
+    row = (response["statusCode"], response["body"].decode("utf-8", "replace"), json.dumps(response["headers"]), response.get("duration"))
+    return TableStream(spark.createDataFrame([row], "statusCode int, body string, headers string, duration long"), (), ())
+
+
+def validate_color(color: str) -> str:
+    """A hex colour, or good, warning or danger."""
+    import re
+
+    if color not in ("good", "warning", "danger") and not re.fullmatch(r"#[0-9a-fA-F]{6}", color):
+        raise ValueError("color must be hex or one of good, warning, danger")
+    return color
+
+
+def pagerduty_action_of_severity(severity: str) -> str:
+    return "resolve" if severity == "ok" else "trigger"
+
+
+def dedup_key_column(s: TableStream, exclude: Sequence[str] = ("_start", "_stop", "_level")) -> TableStream:
+    """SHA-256 of each row's group key as ``_pagerdutyDedupKey``."""
+    parts = [F.concat(F.lit(k + "\n"), F.coalesce(col(k).cast("string"), F.lit("")), F.lit("\n")) for k in sorted(s.key) if k not in exclude]
+    return s.to(s.df.withColumn("_pagerdutyDedupKey", F.sha2(F.concat(*parts) if parts else F.lit(""), 256)))
