@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, collections, convert, dates, geo, maths, regexps, strings
-from .operators import aggregates, joins, monitor, selectors, sequences, sets, shape, windows
+from .operators import aggregates, composed, joins, monitor, selectors, sequences, sets, shape, windows
 from .plans.stream import TIME, VALUE, TableStream, col, table
+from .sources import sinks, tables
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,3 +419,57 @@ for _n, _s in {"sand": "user_id & 12", "sor": "user_id | 12", "sxor": "xor(user_
 fn("geo_distance", "supplier", "s_suppkey", lambda: F.round(geo.haversine(F.col("s_suppkey") % 90, F.col("s_suppkey") % 180, 40.0, -74.0), 6), "round(2 * 6371.01 * asin(least(1.0, sqrt(pow(sin(radians(40.0 - s_suppkey % 90) / 2), 2) + cos(radians(s_suppkey % 90)) * cos(radians(40.0)) * pow(sin(radians(-74.0 - s_suppkey % 180) / 2), 2)))), 6)")
 fn("geo_contains_box", "supplier", "s_suppkey", lambda: geo.st_contains({"minLat": 10, "maxLat": 60, "minLon": 0, "maxLon": 50}, {"lat": F.col("s_suppkey") % 90, "lon": F.col("s_suppkey") % 180}), "(s_suppkey % 90 BETWEEN 10 AND 60) AND (s_suppkey % 180 BETWEEN 0 AND 50)")
 add("fn_geo_cells", lambda s, d: read(s, d, "supplier").select("s_suppkey", geo.s2_cell_token(10, F.col("s_suppkey") % 90, F.col("s_suppkey") % 180).alias("out")))
+
+# Composed analytics, schema exploration, sources and sinks
+
+op(
+    "linear_fit",
+    lambda s: selectors.limit(composed.linear_fit(shape.keep(s, ["event_type", "event_id", TIME, VALUE])), 20),
+    ["event_id", "x", F.round("slope", 8).alias("slope"), F.round("y_hat", 6).alias("y_hat")],
+    f""", x AS (SELECT *, {_RN}::DOUBLE AS x FROM ev)
+SELECT event_id, x, round(regr_slope(_value, x) OVER (PARTITION BY event_type), 8) AS slope,
+  round(regr_slope(_value, x) OVER (PARTITION BY event_type) * x + regr_intercept(_value, x) OVER (PARTITION BY event_type), 6) AS y_hat FROM x QUALIFY x <= 20""",
+)
+op(
+    "select_window",
+    lambda s: composed.select_window(shape.filter(shape.range(s, "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"), lambda r: r["user_id"] < 20), "total", "sum", "1h", 0.0),
+    ["event_type", TIME, F.round("total", 6).alias("total")],
+    """, w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-05 23:00:00', INTERVAL 1 HOUR)) AS a),
+e AS (SELECT * FROM ev WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-06' AND user_id < 20)
+SELECT k.event_type, w.a + INTERVAL 1 HOUR AS _time, round(coalesce(sum(e._value), 0.0), 6) AS total FROM (SELECT DISTINCT event_type FROM e) k CROSS JOIN w
+LEFT JOIN e ON e.event_type = k.event_type AND e._time >= w.a AND e._time < w.a + INTERVAL 1 HOUR GROUP BY 1, 2""",
+)
+op(
+    "anomaly_mad",
+    lambda s: monitor.anomaly_mad(windows.aggregate_window(s, "1d", "mean", create_empty=False)),
+    [TIME, "event_type", r4(), r4("MAD"), "level"],
+    """, d AS (SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, avg(_value) AS v FROM ev GROUP BY 1, 2),
+m AS (SELECT _time, quantile_cont(v, 0.5) AS m FROM d GROUP BY 1), x AS (SELECT d.*, abs(v - m) AS x FROM d JOIN m USING (_time)),
+t AS (SELECT _time, quantile_cont(x, 0.5) AS t FROM x GROUP BY 1)
+SELECT x._time, event_type, round(x / t, 6) AS _value, round(t * 1.4826, 6) AS "MAD", CASE WHEN x / t >= 3 THEN 'anomaly' ELSE 'normal' END AS level FROM x JOIN t USING (_time) WHERE t > 0""",
+)
+op("kpi_ratio", lambda s: monitor.kpi_ratio(s, lambda r: r["_value"] > 5), ["event_type", r4()], "SELECT event_type, round(avg(CASE WHEN _value > 5 THEN 1.0 ELSE 0.0 END), 6) AS _value FROM ev GROUP BY 1")
+op("cardinality", lambda s: tables.cardinality(s, "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z"), [VALUE], "SELECT count(DISTINCT (event_type, user_id)) AS _value FROM ev WHERE _time >= TIMESTAMP '2024-01-02' AND _time < TIMESTAMP '2024-01-03'", key=("event_type", "user_id"))
+op("tag_values", lambda s: tables.tag_values(s, "event_type", start="2024-01-01T00:00:00Z", stop="2024-01-03T00:00:00Z"), [VALUE], "SELECT DISTINCT event_type AS _value FROM ev WHERE _time < TIMESTAMP '2024-01-03'")
+op("tag_keys", lambda s: tables.tag_keys(s, start="2024-01-01T00:00:00Z", stop="2024-01-03T00:00:00Z"), [VALUE], "SELECT unnest(['event_type', '_start', '_stop']) AS _value")
+add("generate", lambda s, d: tables.generate(s, "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", 24, lambda n: n * n).df.select(TIME, VALUE), "SELECT TIMESTAMP '2024-01-01' + to_hours(i::INTEGER) AS _time, i * i AS _value FROM (SELECT unnest(generate_series(0, 23)) AS i)")
+add("synthetic_series", lambda s, d: tables.synthetic(s, 10, {"host": 3, "region": 2}).df.groupBy("host", "region").agg(F.count("*").alias("n")), "SELECT 'host-' || h AS host, 'region-' || r AS region, 10 AS n FROM (SELECT unnest([0, 1, 2]) AS h) CROSS JOIN (SELECT unnest([0, 1]) AS r)")
+add("sample_series", lambda s, d: aggregates.sum(tables.sample(s, "int")).df, "SELECT 't1' AS tag, 51 AS _value UNION ALL SELECT 't2', 53")
+add(
+    "annotated_csv",
+    lambda s, d: tables.from_csv(s, "#datatype,string,long,dateTime:RFC3339,double,string\n#group,false,false,false,false,true\n#default,_result,,,,\n,result,table,_time,_value,host\n,,0,2024-01-01T00:00:00Z,1.5,a\n,,0,2024-01-01T00:00:10Z,,a\n").df,
+    "SELECT TIMESTAMP '2024-01-01' AS _time, 1.5::DOUBLE AS _value, 'a' AS host UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:10', NULL, 'a'",
+)
+op(
+    "line_protocol",
+    lambda s: s.to(s.df.select("event_id", sinks.line_protocol(s, F.lit("events"), ["event_type"], {"user_id": col("user_id")}).alias("line"))),
+    ["event_id", "line"],
+    "SELECT event_id, 'events,event_type=' || event_type || ' user_id=' || user_id || 'i ' || (epoch_us(_time) * 1000)::VARCHAR AS line FROM ev",
+)
+op("window_batch_of_stream", lambda s: ingest.windowed(s, "1d", {"n": F.count("*"), "top": F.max(VALUE)}), ["event_type", "_start", "n", "top"], "SELECT event_type, date_trunc('day', _time) AS _start, count(*) AS n, max(_value) AS top FROM ev GROUP BY 1, 2")
+op("aggregate_rate", lambda s: windows.aggregate_rate(s, "1d", ["event_type"], "1h"), ["event_type", TIME, r4()], f"""SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, round(avg(CASE WHEN _value >= pv THEN (_value - pv) / ((epoch_us(_time) - pt) / 3.6e9) END), 6) AS _value
+FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1 GROUP BY 1, 2""")
+op("double_exponential", lambda s: sequences.double_exponential(shape.filter(s, lambda r: r["user_id"] < 5), 0.5, 0.5), ["event_type"], "SELECT DISTINCT event_type FROM ev WHERE user_id < 5")
+op("date_part_of_values", lambda s: sequences.date_part(shape.extend(s, lambda r: {"_value": F.unix_micros(r["_time"]) / 1e6}), "day_of_week"), ["event_id", VALUE], "SELECT event_id, dayofweek(_time)::DOUBLE AS _value FROM ev")
+op("as_tracks_distance", lambda s: geo.total_distance(geo.as_tracks(s.to(s.df.select("user_id", TIME, "event_id", (F.col(VALUE) % 10).alias("lat"), (F.col(VALUE) % 7).alias("lon"))), ("user_id",), (TIME, "event_id"))), ["user_id", F.round(col(VALUE), 3).alias(VALUE)], """, p AS (SELECT user_id, radians(_value % 10) AS a, radians(_value % 7) AS o, lag(radians(_value % 10)) OVER w AS pa, lag(radians(_value % 7)) OVER w AS po FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY _time, event_id))
+SELECT user_id, round(coalesce(sum(2 * 6371.01 * asin(least(1.0, sqrt(pow(sin((a - pa) / 2), 2) + cos(pa) * cos(a) * pow(sin((o - po) / 2), 2))))), 0), 3) AS _value FROM p GROUP BY 1""")
