@@ -170,7 +170,7 @@ op("limit", lambda s: selectors.limit(s, 3, 2), ["event_type", "event_id"], f"SE
 op("limit_ungrouped", lambda s: selectors.limit(s, 10), ["event_id"], "SELECT event_id FROM ev ORDER BY _time, event_id LIMIT 10", key=())
 op("tail", lambda s: selectors.tail(s, 3, 1), ["event_type", "event_id"], "SELECT event_type, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _time DESC, event_id DESC) BETWEEN 2 AND 4")
 op("sample", lambda s: selectors.sample(s, 10, 3), ["event_type", "event_id"], f"SELECT event_type, event_id FROM (SELECT *, row_number() OVER ({W}) - 1 AS i FROM ev) WHERE i >= 3 AND (i - 3) % 10 = 0")
-op("sort_limit", lambda s: selectors.limit(selectors.sort(s, [VALUE, "event_id"]), 6), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value NULLS FIRST, event_id) <= 4", nulls=True)
+op("sort_limit", lambda s: selectors.limit(selectors.sort(s, [VALUE, "event_id"]), 4), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value NULLS FIRST, event_id) <= 4", nulls=True)
 op("top", lambda s: selectors.top(s, 5, ["_value", "event_id"]), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value DESC, event_id DESC) <= 5")
 op("bottom", lambda s: selectors.bottom(s, 5, ["_value", "event_id"]), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value, event_id) <= 5")
 for _n, _agg, _d in (("highest_max", "max(_value)", "DESC"), ("lowest_min", "min(_value)", ""), ("highest_average", "round(avg(_value), 6)", "DESC"), ("lowest_average", "round(avg(_value), 6)", "")):
@@ -332,7 +332,7 @@ _STRINGS = {
     "split_n": (lambda: F.size(strings.split_n(F.col("p_brand"), "#", 1)).cast("long"), "1"),
     "join_str": (lambda: strings.join_str(F.array(_P(), F.col("p_type")), "-"), "p_name || '-' || p_type"),
     "strlen": (lambda: strings.strlen(_P()), "length(p_name)"),
-    "substring": (lambda: strings.substring(_P(), 1, 6), "p_name[2:4]"),
+    "substring": (lambda: strings.substring(_P(), 1, 4), "p_name[2:4]"),
     "is_letter": (lambda: strings.is_letter(F.substring(_P(), 1, 1)), "regexp_matches(p_name[1], '^[a-z]$')"),
     "is_digit": (lambda: strings.is_digit(F.substring("p_brand", -1, 1)), "regexp_matches(p_brand[-1], '^[0-9]$')"),
     "is_upper": (lambda: strings.is_upper(F.substring("p_type", 1, 1)), "regexp_matches(p_type[1], '^[A-Z]$')"),
