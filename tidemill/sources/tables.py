@@ -8,7 +8,7 @@ import io
 import json
 import re
 from collections.abc import Callable, Iterable, Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,7 +323,7 @@ def scrape(spark: SparkSession, url: str | None = None, text: str | None = None,
     found = parse_metrics(text if text is not None else fetch(url)["body"].decode())
     labels = sorted({k for f in found for k in f["labels"]})
     at = now or clock.now()
-    rows = [(datetime.utcfromtimestamp(f["ms"] / 1000) if f["ms"] else at, "prometheus", f["name"], url or "", *(f["labels"].get(k) for k in labels), f["value"]) for f in found]
+    rows = [(datetime.fromtimestamp(f["ms"] / 1000, UTC).replace(tzinfo=None) if f["ms"] else at, "prometheus", f["name"], url or "", *(f["labels"].get(k) for k in labels), f["value"]) for f in found]
     schema = ", ".join(["_time timestamp", "_measurement string", "_field string", "url string", *(f"`{k}` string" for k in labels), "_value double"])
     return table(spark.createDataFrame(rows, schema), ("_measurement", "_field", "url", *labels))
 
