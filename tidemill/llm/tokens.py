@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,11 @@ from .common import chunks, spread
 
 #: The word pattern of the tokenizer file (fixed value; compared at load time).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+#: Without ``<``, which begins the special tokens.
+_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: How many chunks and words a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -42,7 +44,7 @@ class WordTokenizer:
         self.model = self.full.model
         pieces = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.plain = (pieces[0].get("pattern") or {}).get("Regex") == PATTERN
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
+        self.plain = self.plain and all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
         by_byte = _byte_chars()
         self.bytes = {c: "".join(by_byte[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
         self.seen: dict[str, bytes] = {"": b""}
@@ -52,15 +54,16 @@ class WordTokenizer:
         out = self.words.get(word)
         if out is None:
             spelt = word if word.isascii() else word.translate(self.bytes)
-            out = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<i4").tobytes()
+            out = array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.words) >= CACHE:
                 self.words.clear()
             self.words[word] = out
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.plain and _PLAIN.match(chunk) and not any(m in chunk for m in self.marks):
-            return b"".join(map(self._word, _SPLIT.findall(chunk.lower())))
+        if self.plain and _PLAIN.match(chunk):
+            low = chunk.lower()
+            return self.words.get(low) or b"".join(map(self._word, _SPLIT.findall(low)))
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
