@@ -27,9 +27,10 @@ NEGATIONS = "not never no nobody isn't aren't wasn't don't nicht kein keine nie
 REPORTS = "said says wrote writes quoted claimed alleged sagte sagt schrieb dijo dice escribió dit écrit affirme".split()
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
 #: Stem lengths tried besides whole words, and how far a target or negation reaches.
-STEMS, REACH = (4, 5, 6), 3
-#: Features of the lexicon and labelled rows the probabilities are fitted on, at most.
-LEXICON, FIT_ROWS = 5000, 20_000
+STEMS, REACH = (4, 5, 6, 7, 8), 3
+#: Features of the lexicon, labelled rows that teach, and those of them that the
+#: probabilities are fitted on, at most.
+LEXICON, LABELLED, FIT_ROWS = 5000, 200_000, 20_000
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 FEATURES = ("top", "sum", "clauses", "negated", "reported", "threats")
 
@@ -190,26 +191,30 @@ def _counts(held: dict) -> pa.RecordBatch:
 def fit(docs: DataFrame, labels: DataFrame, least: int = 4, share: float = 0.005, odds: float = 12.0) -> Grammar:
     """Learn from labelled documents whose crc32(doc_id as text) mod 4 is not 2.
 
-    The lexicon (at most ``LEXICON`` entries) comes from document counts over all
-    of them but the fold 3: a word or stem in at least ``least`` toxic documents
-    (and the share ``share`` of them) and ``odds`` times likelier there. The probability map is fitted on the fold
-    3, on at most ``FIT_ROWS`` rows of smallest id hash. Rows with a null label
-    or id teach nothing; a document labelled twice teaches twice.
+    At most ``LABELLED`` such rows (a share by id hash) teach, so that they reach
+    the texts as a broadcast of bounded size and no text is shuffled. The lexicon
+    (at most ``LEXICON`` entries) comes from document counts over all of these but
+    the fold 3: a word or stem in at least ``least`` toxic documents (and the share
+    ``share`` of them) and ``odds`` times likelier there (half that, if 3 % of the
+    toxic documents have it). The probability map is fitted on at most ``FIT_ROWS`` rows of the fold 3. Rows with a null label or id
+    teach nothing; a document labelled twice teaches twice.
     """
     tune(docs.sparkSession)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.withColumn("fold", crc_fold(F.col("doc_id"))).where("fold <> 2")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fold = crc_fold(F.col("doc_id"))
-    marked = rows.join(marks.where(fold != 2), "doc_id").withColumn("fold", crc_fold(F.col("doc_id")))
-    taught = marked.where("fold <> 3")
-    n = {r["toxic"]: r["count"] for r in marks.where((fold != 2) & (fold != 3)).groupBy("toxic").count().collect()}
+    some = lambda df, most: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(most * 1e6 / max(df.count(), 1))))
+    marks = some(marks, LABELLED)
+    taught = rows.join(F.broadcast(marks.where("fold <> 3")), "doc_id")
+    n = {r["toxic"]: r["count"] for r in marks.where("fold <> 3").groupBy("toxic").count().collect()}
     bad, good = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
     counts = taught.select("text", "toxic").mapInArrow(_document_counts, "feature string, toxic int, n long")
     counts = counts.groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")
     )
     ratio = ((F.col("bad") + 0.5) / bad) / ((F.col("good") + 0.5) / good)
-    found = counts.where(F.col("bad") >= max(least, share * bad)).withColumn("ratio", ratio).where(F.col("ratio") >= odds)
+    found = counts.where(F.col("bad") >= max(least, share * bad)).withColumn("ratio", ratio)
+    found = found.where((F.col("ratio") >= odds) | ((F.col("ratio") >= odds / 2) & (F.col("bad") >= 0.03 * bad)))
     top = found.orderBy(F.desc("bad"), "feature").limit(LEXICON).collect()
     grammar = Grammar({r["feature"]: float(min(np.log(r["ratio"]) / 3, 2.5)) for r in top})
     held = docs.sparkSession.sparkContext.broadcast(grammar)
@@ -218,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 4, share: float = 0.005
         for b in batches:
             yield pa.RecordBatch.from_pydict({"y": b.column("toxic"), "x": pa.array(held.value.read(b.column("text")).tolist(), pa.list_(pa.float64()))})
 
-    chosen = marks.where(fold == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    fitted = rows.join(chosen, "doc_id").select("toxic", "text").mapInArrow(features, "y int, x array<double>").toPandas()
+    chosen = some(marks.where("fold = 3"), FIT_ROWS)
+    fitted = rows.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(features, "y int, x array<double>").toPandas()
     if len(fitted):
         grammar.weights = logistic(np.array(fitted["x"].tolist()), (fitted["y"].to_numpy() > 0).astype(float))
     else:
