@@ -50,7 +50,7 @@ W = "PARTITION BY event_type ORDER BY _time, event_id"
 
 def op(name: str, fn: Callable[[TableStream], TableStream], out: list, sql: str, nulls: bool = False, key=("event_type",)) -> None:
     """A query over events: ``fn`` on the stream, then the output columns."""
-    add(name, lambda s, d: fn(ev(s, d, nulls, key)).df.select(*out), f"WITH {EVN if nulls else EV} {sql}")
+    add(name, lambda s, d: fn(ev(s, d, nulls, key)).df.selectExpr(*out), f"WITH {EVN if nulls else EV} {sql}")
 
 
 # Flagship: range, filter, calendar down-sampling
@@ -122,21 +122,21 @@ _AGG = {
 }
 for _n, _sql in _AGG.items():
     if _sql:
-        op(_n, getattr(aggregates, _n), ["event_type", r4()], f"SELECT event_type, {_sql} AS _value FROM ev GROUP BY 1", nulls=True)
-op("stddev_population", lambda s: aggregates.stddev(s, mode="population"), ["event_type", r4()], "SELECT event_type, round(stddev_pop(_value), 6) AS _value FROM ev GROUP BY 1", nulls=True)
-op("skew", aggregates.skew, ["event_type", r4()], "SELECT event_type, round((sum(_value^3)/count(_value) - 3*avg(_value)*sum(_value^2)/count(_value) + 2*avg(_value)^3) / var_pop(_value)^1.5, 6) AS _value FROM ev GROUP BY 1", nulls=True)
-op("quantile_exact_mean", lambda s: aggregates.quantile(s, 0.9, method="exact_mean"), ["event_type", r4()], "SELECT event_type, round(quantile_cont(_value, 0.9), 6) AS _value FROM ev GROUP BY 1", nulls=True)
-op("median", lambda s: aggregates.median(s, method="exact_mean"), ["event_type", r4()], "SELECT event_type, round(quantile_cont(_value, 0.5), 6) AS _value FROM ev GROUP BY 1", nulls=True)
+        op(_n, getattr(aggregates, _n), ["event_type", "round(_value, 6) AS _value"], f"SELECT event_type, {_sql} AS _value FROM ev GROUP BY 1", nulls=True)
+op("stddev_population", lambda s: aggregates.stddev(s, mode="population"), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(stddev_pop(_value), 6) AS _value FROM ev GROUP BY 1", nulls=True)
+op("skew", aggregates.skew, ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round((sum(_value^3)/count(_value) - 3*avg(_value)*sum(_value^2)/count(_value) + 2*avg(_value)^3) / var_pop(_value)^1.5, 6) AS _value FROM ev GROUP BY 1", nulls=True)
+op("quantile_exact_mean", lambda s: aggregates.quantile(s, 0.9, method="exact_mean"), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(quantile_cont(_value, 0.9), 6) AS _value FROM ev GROUP BY 1", nulls=True)
+op("median", lambda s: aggregates.median(s, method="exact_mean"), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(quantile_cont(_value, 0.5), 6) AS _value FROM ev GROUP BY 1", nulls=True)
 op("quantile_exact_selector", lambda s: aggregates.quantile(s, 0.25, method="exact_selector"), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY _value, _time, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev WHERE _value IS NOT NULL) WHERE i = greatest(ceil(n * 0.25), 1)", nulls=True)
 op("mode", lambda s: aggregates.mode(s, "user_id"), ["event_type", "user_id"], "SELECT event_type, user_id FROM (SELECT event_type, user_id, count(*) AS n, max(count(*)) OVER (PARTITION BY event_type) AS m FROM ev GROUP BY 1, 2) WHERE n = m")
-op("covariance", lambda s: aggregates.covariance(s, ["user_id", VALUE]), ["event_type", r4()], "SELECT event_type, round(covar_samp(_value, user_id), 6) AS _value FROM ev GROUP BY 1", nulls=True)
-op("pearsonr", lambda s: aggregates.covariance(s, ["user_id", VALUE], pearsonr=True), ["event_type", r4()], "SELECT event_type, round(corr(_value, user_id), 6) AS _value FROM ev GROUP BY 1", nulls=True)
-op("histogram", lambda s: aggregates.histogram(s, aggregates.linear_bins(0, 5, 6)), ["event_type", F.col("le").cast("string").alias("le"), VALUE], "SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, coalesce(sum(CASE WHEN _value <= le THEN 1.0 END), 0.0)::DOUBLE AS _value FROM ev CROSS JOIN (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, le", nulls=True)
-op("histogram_normalized", lambda s: aggregates.histogram(s, aggregates.logarithmic_bins(1, 2, 5), normalize=True), ["event_type", F.col("le").cast("string").alias("le"), r4()], "SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, round(sum(CASE WHEN _value <= le THEN 1.0 ELSE 0.0 END) / count(_value), 6)::DOUBLE AS _value FROM ev CROSS JOIN (SELECT unnest([1.0, 2.0, 4.0, 8.0, 16.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, le")
+op("covariance", lambda s: aggregates.covariance(s, ["user_id", VALUE]), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(covar_samp(_value, user_id), 6) AS _value FROM ev GROUP BY 1", nulls=True)
+op("pearsonr", lambda s: aggregates.covariance(s, ["user_id", VALUE], pearsonr=True), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(corr(_value, user_id), 6) AS _value FROM ev GROUP BY 1", nulls=True)
+op("histogram", lambda s: aggregates.histogram(s, aggregates.linear_bins(0, 5, 6)), ["event_type", "cast(le AS string) AS le", VALUE], "SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, coalesce(sum(CASE WHEN _value <= le THEN 1.0 END), 0.0)::DOUBLE AS _value FROM ev CROSS JOIN (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, le", nulls=True)
+op("histogram_normalized", lambda s: aggregates.histogram(s, aggregates.logarithmic_bins(1, 2, 5), normalize=True), ["event_type", "cast(le AS string) AS le", "round(_value, 6) AS _value"], "SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, round(sum(CASE WHEN _value <= le THEN 1.0 ELSE 0.0 END) / count(_value), 6)::DOUBLE AS _value FROM ev CROSS JOIN (SELECT unnest([1.0, 2.0, 4.0, 8.0, 16.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, le")
 op(
     "histogram_quantile",
     lambda s: aggregates.histogram_quantile(aggregates.histogram(s, aggregates.linear_bins(0, 5, 7)), 0.5),
-    ["event_type", r4()],
+    ["event_type", "round(_value, 6) AS _value"],
     """, b AS (SELECT event_type, le, sum(CASE WHEN _value <= le THEN 1.0 ELSE 0.0 END) AS n FROM ev CROSS JOIN (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2),
 c AS (SELECT *, lag(le, 1, 0.0) OVER (PARTITION BY event_type ORDER BY le) AS ple, lag(n, 1, 0.0) OVER (PARTITION BY event_type ORDER BY le) AS pn, max(n) OVER (PARTITION BY event_type) * 0.5 AS rk FROM b)
 SELECT event_type, round(CASE WHEN isinf(le) THEN ple ELSE ple + (le - ple) * (rk - pn) / (n - pn) END, 6)::DOUBLE AS _value FROM c WHERE n >= rk AND pn < rk""",
@@ -145,14 +145,14 @@ op("reduce", lambda s: aggregates.reduce(shape.to_int(s), lambda r, a: {"total":
 op(
     "integral",
     lambda s: aggregates.integral(s, "1h"),
-    ["event_type", F.round(col(VALUE), 2).alias(VALUE)],
+    ["event_type", "round(_value, 2) AS _value"],
     f"SELECT event_type, round(sum((_value + pv) / 2 * (epoch_us(_time) - pt)) / 3.6e9, 2) AS _value FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt FROM ev WHERE _value IS NOT NULL) GROUP BY 1",
     nulls=True,
 )
 op(
     "time_weighted_average",
     lambda s: aggregates.time_weighted_average(shape.range(s, "2024-01-02T00:00:00Z", "2024-01-04T00:00:00Z"), "1s"),
-    ["event_type", r4()],
+    ["event_type", "round(_value, 6) AS _value"],
     f""", x AS (SELECT event_type, epoch_us(_time)::DOUBLE AS t, _value AS v, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)::DOUBLE) OVER ({W}) AS pt, lead(_value) OVER ({W}) AS nv, lead(epoch_us(_time)::DOUBLE) OVER ({W}) AS nt
   FROM ev WHERE _time >= TIMESTAMP '2024-01-02' AND _time < TIMESTAMP '2024-01-04'),
 y AS (SELECT *, t - epoch_us(TIMESTAMP '2024-01-02') AS hd, epoch_us(TIMESTAMP '2024-01-04') - t AS tl FROM x)
@@ -174,7 +174,7 @@ op("sort_limit", lambda s: selectors.limit(selectors.sort(s, [VALUE, "event_id"]
 op("top", lambda s: selectors.top(s, 5, ["_value", "event_id"]), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value DESC, event_id DESC) <= 5")
 op("bottom", lambda s: selectors.bottom(s, 5, ["_value", "event_id"]), ["event_type", "event_id", VALUE], "SELECT event_type, event_id, _value FROM ev QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY _value, event_id) <= 5")
 for _n, _agg, _d in (("highest_max", "max(_value)", "DESC"), ("lowest_min", "min(_value)", ""), ("highest_average", "round(avg(_value), 6)", "DESC"), ("lowest_average", "round(avg(_value), 6)", "")):
-    op(_n, lambda s, n=_n: getattr(selectors, n)(s, 3, VALUE, ["event_type"]), ["event_type", r4()], f"SELECT event_type, {_agg} AS _value FROM ev GROUP BY 1 ORDER BY 2 {_d} LIMIT 3")
+    op(_n, lambda s, n=_n: getattr(selectors, n)(s, 3, VALUE, ["event_type"]), ["event_type", "round(_value, 6) AS _value"], f"SELECT event_type, {_agg} AS _value FROM ev GROUP BY 1 ORDER BY 2 {_d} LIMIT 3")
 for _n, _d in (("highest_current", "DESC"), ("lowest_current", "")):
     op(_n, lambda s, n=_n: getattr(selectors, n)(s, 3, VALUE, ["event_type"]), ["event_type", VALUE], f"SELECT event_type, arg_max(_value, (_time, event_id)) AS _value FROM ev GROUP BY 1 ORDER BY 2 {_d} LIMIT 3")
 op("preview", lambda s: selectors.preview(s, 2, 3), ["event_type", "event_id"], f"SELECT event_type, event_id FROM ev WHERE event_type IN (SELECT DISTINCT event_type FROM ev ORDER BY 1 LIMIT 3) QUALIFY row_number() OVER ({W}) <= 2")
@@ -187,7 +187,7 @@ op("window_sliding", lambda s: aggregates.count(windows.window(s, "1d", "3d")),
 add("window_months", lambda s, d: _orders_monthly(s, d), "SELECT o_orderpriority, date_trunc('month', o_orderdate) AS _start, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
 op("window_offset_zone", lambda s: aggregates.count(windows.window(s, "1d", location="America/New_York")), ["event_type", "_start", VALUE], "SELECT event_type, date_trunc('day', _time - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS _start, count(*) AS _value FROM ev GROUP BY 1, 2")
 for _n, _sql in (("count", "count(*)"), ("sum", "round(sum(_value), 6)"), ("max", "max(_value)"), ("last", "arg_max(_value, (_time, event_id))")):
-    op(f"aggregate_window_{_n}", lambda s, n=_n: windows.aggregate_window(s, "1d", n, create_empty=False), ["event_type", TIME, r4()], f"SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, {_sql} AS _value FROM ev GROUP BY 1, 2")
+    op(f"aggregate_window_{_n}", lambda s, n=_n: windows.aggregate_window(s, "1d", n, create_empty=False), ["event_type", TIME, "round(_value, 6) AS _value"], f"SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, {_sql} AS _value FROM ev GROUP BY 1, 2")
 op(
     "aggregate_window_empty",
     lambda s: windows.aggregate_window(shape.filter(shape.range(s, "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"), lambda r: r["user_id"] < 20), "30m", "count"),
@@ -197,7 +197,7 @@ e AS (SELECT * FROM ev WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTA
 SELECT k.event_type, w.a + INTERVAL 30 MINUTE AS _time, count(e.event_id) AS _value FROM (SELECT DISTINCT event_type FROM e) k CROSS JOIN w
 LEFT JOIN e ON e.event_type = k.event_type AND e._time >= w.a AND e._time < w.a + INTERVAL 30 MINUTE GROUP BY 1, 2""",
 )
-op("timed_moving_average", lambda s: windows.timed_moving_average(s, "1d", "2d"), ["event_type", TIME, r4()], "SELECT event_type, date_trunc('day', _time) - to_days(i::INTEGER) + INTERVAL 2 DAY AS _time, round(avg(_value), 6) AS _value FROM ev CROSS JOIN (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2")
+op("timed_moving_average", lambda s: windows.timed_moving_average(s, "1d", "2d"), ["event_type", TIME, "round(_value, 6) AS _value"], "SELECT event_type, date_trunc('day', _time) - to_days(i::INTEGER) + INTERVAL 2 DAY AS _time, round(avg(_value), 6) AS _value FROM ev CROSS JOIN (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2")
 op(
     "interpolate_linear",
     lambda s: aggregates.aggregate(windows.interpolate_linear(shape.keep(s, ["event_type", TIME, VALUE]), "1h"), n=F.count("*"), total=F.round(F.sum(VALUE), 2)),
@@ -219,17 +219,17 @@ def _orders_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAGV = f"last_value(_value IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _RN = f"row_number() OVER ({W})"
-op("difference", sequences.difference, ["event_id", r4()], f"SELECT event_id, round(_value - pv, 6) AS _value FROM (SELECT *, {_LAGV} AS pv, {_RN} AS i FROM ev) WHERE i > 1", nulls=True)
-op("difference_non_negative", lambda s: sequences.difference(s, non_negative=True), ["event_id", r4()], f"SELECT event_id, CASE WHEN _value >= pv THEN round(_value - pv, 6) END AS _value FROM (SELECT *, {_LAGV} AS pv, {_RN} AS i FROM ev) WHERE i > 1", nulls=True)
-op("derivative", lambda s: sequences.derivative(s, "1h"), ["event_id", r4()], f"SELECT event_id, round((_value - pv) / ((epoch_us(_time) - pt) / 3.6e9), 6) AS _value FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1")
+op("difference", sequences.difference, ["event_id", "round(_value, 6) AS _value"], f"SELECT event_id, round(_value - pv, 6) AS _value FROM (SELECT *, {_LAGV} AS pv, {_RN} AS i FROM ev) WHERE i > 1", nulls=True)
+op("difference_non_negative", lambda s: sequences.difference(s, non_negative=True), ["event_id", "round(_value, 6) AS _value"], f"SELECT event_id, CASE WHEN _value >= pv THEN round(_value - pv, 6) END AS _value FROM (SELECT *, {_LAGV} AS pv, {_RN} AS i FROM ev) WHERE i > 1", nulls=True)
+op("derivative", lambda s: sequences.derivative(s, "1h"), ["event_id", "round(_value, 6) AS _value"], f"SELECT event_id, round((_value - pv) / ((epoch_us(_time) - pt) / 3.6e9), 6) AS _value FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1")
 op("elapsed", lambda s: sequences.elapsed(s, "1s"), ["event_id", "elapsed"], f"SELECT event_id, trunc((epoch_us(_time) - pt) / 1e6)::BIGINT AS elapsed FROM (SELECT *, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1")
-op("cumulative_sum", sequences.cumulative_sum, ["event_id", F.round(col(VALUE), 2).alias(VALUE)], f"SELECT event_id, round(coalesce(sum(_value) OVER ({W} ROWS UNBOUNDED PRECEDING), 0), 2) AS _value FROM ev", nulls=True)
-op("increase", sequences.increase, ["event_id", F.round(col(VALUE), 2).alias(VALUE)], f"SELECT event_id, round(sum(d) OVER ({W} ROWS UNBOUNDED PRECEDING), 2) AS _value FROM (SELECT *, CASE WHEN pv IS NULL THEN 0 WHEN _value < pv THEN _value ELSE _value - pv END AS d FROM (SELECT *, lag(_value) OVER ({W}) AS pv FROM ev))")
-op("moving_average", lambda s: sequences.moving_average(s, 5), ["event_id", r4()], f"SELECT event_id, round(m, 6) AS _value FROM (SELECT *, avg(_value) OVER ({W} ROWS 4 PRECEDING) AS m, {_RN} AS i FROM ev) WHERE i >= 5", nulls=True)
+op("cumulative_sum", sequences.cumulative_sum, ["event_id", "round(_value, 2) AS _value"], f"SELECT event_id, round(coalesce(sum(_value) OVER ({W} ROWS UNBOUNDED PRECEDING), 0), 2) AS _value FROM ev", nulls=True)
+op("increase", sequences.increase, ["event_id", "round(_value, 2) AS _value"], f"SELECT event_id, round(sum(d) OVER ({W} ROWS UNBOUNDED PRECEDING), 2) AS _value FROM (SELECT *, CASE WHEN pv IS NULL THEN 0 WHEN _value < pv THEN _value ELSE _value - pv END AS d FROM (SELECT *, lag(_value) OVER ({W}) AS pv FROM ev))")
+op("moving_average", lambda s: sequences.moving_average(s, 5), ["event_id", "round(_value, 6) AS _value"], f"SELECT event_id, round(m, 6) AS _value FROM (SELECT *, avg(_value) OVER ({W} ROWS 4 PRECEDING) AS m, {_RN} AS i FROM ev) WHERE i >= 5", nulls=True)
 _CMO = f""", d AS (SELECT *, _value - lag(_value) OVER ({W}) AS c, {_RN} AS i FROM ev),
 s AS (SELECT *, sum(CASE WHEN c > 0 THEN c ELSE 0 END) OVER ({W} ROWS 9 PRECEDING) AS up, sum(CASE WHEN c < 0 THEN -c ELSE 0 END) OVER ({W} ROWS 9 PRECEDING) AS dn FROM d)"""
-op("chande_momentum_oscillator", lambda s: sequences.chande_momentum_oscillator(s, 10), ["event_id", r4()], f"{_CMO} SELECT event_id, round(100 * (up - dn) / (up + dn), 6) AS _value FROM s WHERE i > 10")
-op("kaufmans_er", lambda s: sequences.kaufmans_er(s, 10), ["event_id", r4()], f"{_CMO} SELECT event_id, round(abs(up - dn) / (up + dn), 6) AS _value FROM s WHERE i > 10")
+op("chande_momentum_oscillator", lambda s: sequences.chande_momentum_oscillator(s, 10), ["event_id", "round(_value, 6) AS _value"], f"{_CMO} SELECT event_id, round(100 * (up - dn) / (up + dn), 6) AS _value FROM s WHERE i > 10")
+op("kaufmans_er", lambda s: sequences.kaufmans_er(s, 10), ["event_id", "round(_value, 6) AS _value"], f"{_CMO} SELECT event_id, round(abs(up - dn) / (up + dn), 6) AS _value FROM s WHERE i > 10")
 _ISLE = f""", a AS (SELECT *, coalesce(_value > 5, false) AS o FROM ev), b AS (SELECT *, CASE WHEN lag(o) OVER ({W}) <> o THEN 1 ELSE 0 END AS c FROM a),
 g AS (SELECT *, sum(c) OVER ({W} ROWS UNBOUNDED PRECEDING) AS isle FROM b)"""
 op("state_count", lambda s: sequences.state_count(s, lambda r: r["_value"] > 5), ["event_id", "stateCount"], f'{_ISLE} SELECT event_id, CASE WHEN o THEN row_number() OVER (PARTITION BY event_type, isle ORDER BY _time, event_id) ELSE -1 END AS "stateCount" FROM g', nulls=True)
@@ -237,13 +237,13 @@ op("state_duration", lambda s: sequences.state_duration(s, lambda r: r["_value"]
 op("event_duration", lambda s: sequences.event_duration(s, "1s", stop="2024-01-31T00:00:00Z"), ["event_id", "duration"], f"SELECT event_id, trunc((coalesce(lead(epoch_us(_time)) OVER ({W}), epoch_us(TIMESTAMP '2024-01-31')) - epoch_us(_time)) / 1e6)::BIGINT AS duration FROM ev")
 op("changes", sequences.changes, ["event_type", VALUE], f"SELECT event_type, sum(CASE WHEN pv <> _value THEN 1 ELSE 0 END)::DOUBLE AS _value FROM (SELECT *, lag(_value) OVER ({W}) AS pv FROM ev) GROUP BY 1")
 op("resets", sequences.resets, ["event_type", VALUE], f"SELECT event_type, sum(CASE WHEN pv > _value THEN 1 ELSE 0 END)::DOUBLE AS _value FROM (SELECT *, lag(_value) OVER ({W}) AS pv FROM ev) GROUP BY 1")
-op("linear_regression", lambda s: sequences.linear_regression(s), ["event_type", F.round(col(VALUE) * 1e6, 3).alias(VALUE)], "SELECT event_type, round(regr_slope(_value, epoch_us(_time) / 1e6 - 1704067200) * 1e6, 3) AS _value FROM ev GROUP BY 1")
+op("linear_regression", lambda s: sequences.linear_regression(s), ["event_type", "round(_value * 1e6, 3) AS _value"], "SELECT event_type, round(regr_slope(_value, epoch_us(_time) / 1e6 - 1704067200) * 1e6, 3) AS _value FROM ev GROUP BY 1")
 op("timestamp", sequences.timestamp, ["event_id", VALUE], "SELECT event_id, epoch_us(_time) / 1e6 AS _value FROM ev")
-op("metric_quantile", lambda s: sequences.metric_quantile(s, 0.75), ["event_type", r4()], "SELECT event_type, round(quantile_cont(_value, 0.75), 6) AS _value FROM ev GROUP BY 1")
+op("metric_quantile", lambda s: sequences.metric_quantile(s, 0.75), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(quantile_cont(_value, 0.75), 6) AS _value FROM ev GROUP BY 1")
 op("label_replace", lambda s: sequences.label_replace(s, "event_type", "short", "(.).*", "$1x"), ["event_id", "short"], "SELECT event_id, left(event_type, 1) || 'x' AS short FROM ev")
 _EMA = """, x AS (SELECT event_type, list(_value ORDER BY _time, event_id) AS v, list(event_id ORDER BY _time, event_id) AS ids FROM ev GROUP BY 1),
 t AS (WITH RECURSIVE f AS (SELECT event_type, v, ids, 10 AS i, list_avg(v[1:10]) AS e FROM x UNION ALL SELECT event_type, v, ids, i + 1, v[i + 1] * 2 / 11 + e * 9 / 11 FROM f WHERE i < len(v)) SELECT event_type, ids[i] AS event_id, e FROM f)"""
-op("exponential_moving_average", lambda s: sequences.exponential_moving_average(shape.filter(s, lambda r: r["user_id"] < 30), 10), ["event_id", r4()], _EMA.replace("FROM ev GROUP", "FROM ev WHERE user_id < 30 GROUP") + " SELECT event_id, round(e, 6) AS _value FROM t")
+op("exponential_moving_average", lambda s: sequences.exponential_moving_average(shape.filter(s, lambda r: r["user_id"] < 30), 10), ["event_id", "round(_value, 6) AS _value"], _EMA.replace("FROM ev GROUP", "FROM ev WHERE user_id < 30 GROUP") + " SELECT event_id, round(e, 6) AS _value FROM t")
 for _n, _fn in (("double_ema", sequences.double_ema), ("triple_ema", sequences.triple_ema), ("triple_exponential_derivative", sequences.triple_exponential_derivative), ("relative_strength_index", sequences.relative_strength_index), ("kaufmans_ama", sequences.kaufmans_ama)):
     add(_n, lambda s, d, fn=_fn: fn(shape.filter(ev(s, d), lambda r: r["user_id"] < 10), 5).df.select("event_id", r4()))
 add("holt_winters", lambda s, d: sequences.holt_winters(windows.aggregate_window(ev(s, d), "1d", "mean", create_empty=False), 5, "1d").df)
@@ -252,7 +252,7 @@ add("extrapolated_rate", lambda s, d: sequences.extrapolated_rate(shape.range(ev
 op(
     "instant_rate",
     sequences.instant_rate,
-    ["event_type", r4()],
+    ["event_type", "round(_value, 6) AS _value"],
     "SELECT event_type, round(CASE WHEN a.v < a.pv THEN a.v ELSE a.v - a.pv END / (a.t - a.pt), 6) AS _value FROM (SELECT event_type, _value AS v, epoch_us(_time) / 1e6 AS t, lead(_value) OVER w AS pv, lead(epoch_us(_time) / 1e6) OVER w AS pt, row_number() OVER w AS i FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY _time DESC, event_id DESC)) a WHERE i = 1",
 )
 
@@ -425,7 +425,7 @@ add("fn_geo_cells", lambda s, d: read(s, d, "supplier").select("s_suppkey", geo.
 op(
     "linear_fit",
     lambda s: selectors.limit(composed.linear_fit(shape.keep(s, ["event_type", "event_id", TIME, VALUE])), 20),
-    ["event_id", "x", F.round("slope", 8).alias("slope"), F.round("y_hat", 6).alias("y_hat")],
+    ["event_id", "x", "round(slope, 8) AS slope", "round(y_hat, 6) AS y_hat"],
     f""", x AS (SELECT *, {_RN}::DOUBLE AS x FROM ev)
 SELECT event_id, x, round(regr_slope(_value, x) OVER (PARTITION BY event_type), 8) AS slope,
   round(regr_slope(_value, x) OVER (PARTITION BY event_type) * x + regr_intercept(_value, x) OVER (PARTITION BY event_type), 6) AS y_hat FROM x QUALIFY x <= 20""",
@@ -433,7 +433,7 @@ SELECT event_id, x, round(regr_slope(_value, x) OVER (PARTITION BY event_type),
 op(
     "select_window",
     lambda s: composed.select_window(shape.filter(shape.range(s, "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"), lambda r: r["user_id"] < 20), "total", "sum", "1h", 0.0),
-    ["event_type", TIME, F.round("total", 6).alias("total")],
+    ["event_type", TIME, "round(total, 6) AS total"],
     """, w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-05 23:00:00', INTERVAL 1 HOUR)) AS a),
 e AS (SELECT * FROM ev WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-06' AND user_id < 20)
 SELECT k.event_type, w.a + INTERVAL 1 HOUR AS _time, round(coalesce(sum(e._value), 0.0), 6) AS total FROM (SELECT DISTINCT event_type FROM e) k CROSS JOIN w
@@ -442,13 +442,13 @@ LEFT JOIN e ON e.event_type = k.event_type AND e._time >= w.a AND e._time < w.a
 op(
     "anomaly_mad",
     lambda s: monitor.anomaly_mad(windows.aggregate_window(s, "1d", "mean", create_empty=False)),
-    [TIME, "event_type", r4(), r4("MAD"), "level"],
+    [TIME, "event_type", "round(_value, 6) AS _value", "round(MAD, 6) AS MAD", "level"],
     """, d AS (SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, avg(_value) AS v FROM ev GROUP BY 1, 2),
 m AS (SELECT _time, quantile_cont(v, 0.5) AS m FROM d GROUP BY 1), x AS (SELECT d.*, abs(v - m) AS x FROM d JOIN m USING (_time)),
 t AS (SELECT _time, quantile_cont(x, 0.5) AS t FROM x GROUP BY 1)
 SELECT x._time, event_type, round(x / t, 6) AS _value, round(t * 1.4826, 6) AS "MAD", CASE WHEN x / t >= 3 THEN 'anomaly' ELSE 'normal' END AS level FROM x JOIN t USING (_time) WHERE t > 0""",
 )
-op("kpi_ratio", lambda s: monitor.kpi_ratio(s, lambda r: r["_value"] > 5), ["event_type", r4()], "SELECT event_type, round(avg(CASE WHEN _value > 5 THEN 1.0 ELSE 0.0 END), 6) AS _value FROM ev GROUP BY 1")
+op("kpi_ratio", lambda s: monitor.kpi_ratio(s, lambda r: r["_value"] > 5), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(avg(CASE WHEN _value > 5 THEN 1.0 ELSE 0.0 END), 6) AS _value FROM ev GROUP BY 1")
 op("cardinality", lambda s: tables.cardinality(s, "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z"), [VALUE], "SELECT count(DISTINCT (event_type, user_id)) AS _value FROM ev WHERE _time >= TIMESTAMP '2024-01-02' AND _time < TIMESTAMP '2024-01-03'", key=("event_type", "user_id"))
 op("tag_values", lambda s: tables.tag_values(s, "event_type", start="2024-01-01T00:00:00Z", stop="2024-01-03T00:00:00Z"), [VALUE], "SELECT DISTINCT event_type AS _value FROM ev WHERE _time < TIMESTAMP '2024-01-03'")
 op("tag_keys", lambda s: tables.tag_keys(s, start="2024-01-01T00:00:00Z", stop="2024-01-03T00:00:00Z"), [VALUE], "SELECT unnest(['event_type', '_start', '_stop']) AS _value")
@@ -467,9 +467,9 @@ op(
     "SELECT event_id, 'events,event_type=' || event_type || ' user_id=' || user_id || 'i ' || (epoch_us(_time) * 1000)::VARCHAR AS line FROM ev",
 )
 op("window_batch_of_stream", lambda s: ingest.windowed(s, "1d", {"n": F.count("*"), "top": F.max(VALUE)}), ["event_type", "_start", "n", "top"], "SELECT event_type, date_trunc('day', _time) AS _start, count(*) AS n, max(_value) AS top FROM ev GROUP BY 1, 2")
-op("aggregate_rate", lambda s: windows.aggregate_rate(s, "1d", ["event_type"], "1h"), ["event_type", TIME, r4()], f"""SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, round(avg(CASE WHEN _value >= pv THEN (_value - pv) / ((epoch_us(_time) - pt) / 3.6e9) END), 6) AS _value
+op("aggregate_rate", lambda s: windows.aggregate_rate(s, "1d", ["event_type"], "1h"), ["event_type", TIME, "round(_value, 6) AS _value"], f"""SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, round(avg(CASE WHEN _value >= pv THEN (_value - pv) / ((epoch_us(_time) - pt) / 3.6e9) END), 6) AS _value
 FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1 GROUP BY 1, 2""")
 op("double_exponential", lambda s: sequences.double_exponential(shape.filter(s, lambda r: r["user_id"] < 5), 0.5, 0.5), ["event_type"], "SELECT DISTINCT event_type FROM ev WHERE user_id < 5")
 op("date_part_of_values", lambda s: sequences.date_part(shape.extend(s, lambda r: {"_value": F.unix_micros(r["_time"]) / 1e6}), "day_of_week"), ["event_id", VALUE], "SELECT event_id, dayofweek(_time)::DOUBLE AS _value FROM ev")
-op("as_tracks_distance", lambda s: geo.total_distance(geo.as_tracks(s.to(s.df.select("user_id", TIME, "event_id", (F.col(VALUE) % 10).alias("lat"), (F.col(VALUE) % 7).alias("lon"))), ("user_id",), (TIME, "event_id"))), ["user_id", F.round(col(VALUE), 3).alias(VALUE)], """, p AS (SELECT user_id, radians(_value % 10) AS a, radians(_value % 7) AS o, lag(radians(_value % 10)) OVER w AS pa, lag(radians(_value % 7)) OVER w AS po FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY _time, event_id))
+op("as_tracks_distance", lambda s: geo.total_distance(geo.as_tracks(s.to(s.df.select("user_id", TIME, "event_id", (F.col(VALUE) % 10).alias("lat"), (F.col(VALUE) % 7).alias("lon"))), ("user_id",), (TIME, "event_id"))), ["user_id", "round(_value, 3) AS _value"], """, p AS (SELECT user_id, radians(_value % 10) AS a, radians(_value % 7) AS o, lag(radians(_value % 10)) OVER w AS pa, lag(radians(_value % 7)) OVER w AS po FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY _time, event_id))
 SELECT user_id, round(coalesce(sum(2 * 6371.01 * asin(least(1.0, sqrt(pow(sin((a - pa) / 2), 2) + cos(pa) * cos(a) * pow(sin((o - po) / 2), 2))))), 0), 3) AS _value FROM p GROUP BY 1""")
