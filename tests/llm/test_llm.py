@@ -332,6 +332,38 @@ def test_simhash(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def near_copy_groups(texts, n=5, similarity=0.8):
+    """The first of every group, by comparing all pairs."""
+    sets = [{tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_near_copies_of_one_text_all_go(spark):
+    r = random.Random(5)
+    base, texts = words(1, 200).split(), []
+    for i in range(300):
+        t = list(base)
+        for at in r.sample(range(200), 3):
+            t[at] = f"x{i}y{at}"
+        texts.append(" ".join(t))
+    texts = [" ".join(base), *texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.one_of_each(df).collect()} == near_copy_groups(texts) == {0}
+
+
 def test_links_lose_nothing_in_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     r = random.Random(8)

@@ -16,10 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import chunks, forget, stored, tune
 
 #: Fingerprints of one cell that are compared in one go with as many others.
 BLOCK = 1024
@@ -268,23 +269,134 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """Distinct shingles of every text as ``similar`` sees them, in hashed form:
+    (key, doc_id, shingles) with the shingles sorted by hash."""
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            offsets, codes, names = chunks(pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text"))))
+            h = np.array([xxh64_intdigest(w) for w in names], dtype=np.uint64)[codes]
+            out = []
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                n = max(1, hi - lo - words + 1)
+                k = np.full(n, min(words, hi - lo), dtype=np.uint64)
+                for i in range(min(words, hi - lo)):
+                    k = k * np.uint64(0x9E3779B97F4A7C15) + h[lo + i : lo + i + n]
+                with np.errstate(over="ignore"):
+                    k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append(np.unique(k ^ (k >> np.uint64(29))).view(np.int64))
+            ends = np.cumsum([0, *map(len, out)])
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "doc_id": b.column("doc_id"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+
+    return texts.select("key", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, doc_id long, shingles array<long>")
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float, sample: int = 20_000) -> DataFrame:
+    """(shingle, key, doc_id, n, pos): the first shingles of every text, so many
+    that two texts of the similarity must share one (the prefix filter, exact).
+
+    That holds for any order all texts share. Here shingles frequent in about
+    ``sample`` texts come last, so that common lines head few texts; the sample
+    moves the cost, never the result.
+    """
+    whole = shingle_rows(texts, words)
+    share = max(1, texts.count() // sample)
+    some = shingle_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), words)
+    often = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 3").orderBy(F.desc("count")).limit(500_000).toPandas().sort_values("shingle")
+    held = texts.sparkSession.sparkContext.broadcast((often["shingle"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    def run(batches):
+        common, times = held.value
+        for b in batches:
+            lists = b.column("shingles")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            count = np.zeros(len(flat), dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                count = np.where(common[at] == flat, times[at], 0)
+            order = np.lexsort((flat, count, doc))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            kept = np.flatnonzero(pos < first[doc])
+            take = pa.array(doc[kept])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shingle": pa.array(flat[order][kept]),
+                    "key": b.column("key").take(take),
+                    "doc_id": b.column("doc_id").take(take),
+                    "n": pa.array(size[doc[kept]].astype(np.int32)),
+                    "pos": pa.array(pos[kept].astype(np.int32)),
+                }
+            )
+
+    return whole.mapInArrow(run, "shingle long, key long, doc_id long, n int, pos int")
+
+
+def overlap_possible(similarity: float, n, pos, m, at, least):
+    """Whether texts of n and m shingles whose first shared ones are at ``pos``
+    and ``at`` can still reach the similarity (columns or arrays alike)."""
+    return least(n - pos, m - at) * (1 + similarity) + 1e-6 >= similarity * (n + m)
+
+
+def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+    """(src, dst): every two texts of different roots that share a prefix shingle
+    and can reach the similarity, compared in blocks of bounded size."""
+    named = shared.select("shingle", "key", "n", "pos").distinct().join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
+    named = stored(named.withColumn("root", F.coalesce("root", "key")), "rooted")
+    many = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    rows = named.join(many, "shingle").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("x"), F.greatest(o, "mine").alias("y")))
+    rows = rows.select("shingle", F.struct("key", "root", "n", "pos").alias("p"), F.explode(both).alias("pair"))
+    packed = rows.groupBy("shingle", "pair.x", "pair.y").agg(F.collect_list("p").alias("p"))
+
+    def compare(batches):
+        for batch in batches:
+            for p in batch.column("p"):
+                key, root, n, pos = (p.values.field(i).to_numpy() for i in range(4))
+                for lo in range(0, len(key), 256):
+                    hi = min(lo + 256, len(key))
+                    ok = overlap_possible(similarity, n[lo:hi, None], pos[lo:hi, None], n[None], pos[None], np.minimum)
+                    ok &= (root[lo:hi, None] != root[None]) & (key[lo:hi, None] > key[None])
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        yield pa.RecordBatch.from_pydict({"src": pa.array(key[lo + i]), "dst": pa.array(key[j])})
+
+    return packed.mapInArrow(compare, "src long, dst long").distinct()
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 8) -> DataFrame:
     """The documents without their copies: of each group, whole, the row of
     smallest doc_id (one of them, if that id repeats).
 
-    Documents with equal texts are one vertex. Candidates are vertices whose
-    fingerprints of the *set* of their words differ in at most ``bits`` bits:
-    few changed words leave most of the set alone, though each changes ``words``
-    shingles. A candidate links if its text's word shingles have the Jaccard
-    similarity. Rows without a doc_id can't be told apart and stay.
+    Documents with equal texts are one vertex. Two link if their word shingles
+    have the Jaccard similarity. First tried are the nearest fingerprint of the
+    *set* of words within ``bits`` bits (few changed words leave most of the set
+    alone) and the first document with the same prefix shingle; then every pair
+    the prefix filter leaves between the groups so far, so that no link is lost.
+    Rows without a doc_id can't be told apart and stay.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit(""))))
     prints = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), 1, repeats=False, keep=True)
     prints = stored(prints.select("doc_id.doc_id", "doc_id.key", "fp"), "fingerprints")
     points = stored(prints.where("doc_id is not null").groupBy("key", "fp").agg(F.min("doc_id").alias("rep")), "points")
-    pairs = stored(nearest_links(points, bits), "candidates")
-    linked = similar(pairs, docs.select(key.alias("key"), "text"), words, similarity)
-    root = components(linked)
+    texts = docs.where("doc_id is not null").select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(prefixes(texts, words, similarity), "prefixes")
+    head = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "key", "n", "pos")).alias("head"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("shingle", "head")
+    shared = stored(rows.join(head, "shingle"), "shared")
+    forget(rows)
+    possible = overlap_possible(similarity, F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), F.least)
+    star = shared.where(possible & (F.col("key") != F.col("head.key"))).select(F.greatest("key", "head.key").alias("src"), F.least("key", "head.key").alias("dst"))
+    near = nearest_links(points, bits).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    pairs = stored(near.unionByName(star).distinct(), "candidates")
+    linked = stored(similar(pairs, texts, words, similarity), "linked")
+    rest = stored(prefix_pairs(shared, components(linked), similarity), "candidates")
+    forget(shared)
+    root = components(linked.unionByName(similar(rest, texts, words, similarity)))
     member = points.join(root, points["key"] == root["vertex"], "left").select("rep", F.coalesce("root", "key").alias("root"))
     found = member.groupBy("root").agg(F.min("rep").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
