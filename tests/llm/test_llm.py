@@ -364,6 +364,19 @@ def test_near_copies_of_one_text_all_go(spark):
     assert {x["doc_id"] for x in simhash.one_of_each(df).collect()} == near_copy_groups(texts) == {0}
 
 
+def test_near_copies_scattered_appended_and_cut(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(60):
+        base = words(1000 + i, r.randrange(40, 400)).split()
+        extra = words(2000 + i, max(1, len(base) * 15 // 100), 5000).split()
+        scattered = [f"z{i}" if at % 90 == 11 else w for at, w in enumerate(base)]
+        texts += [" ".join(x) for x in (base, base + extra, base[: len(base) * 85 // 100], scattered)]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.one_of_each(df).collect()} == near_copy_groups(texts)
+
+
 def test_links_lose_nothing_in_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     r = random.Random(8)
