@@ -179,6 +179,22 @@ def test_grammar_round_trip_and_random_access():
 # 4
 
 
+def zipf(r, n, size=20000):
+    return [f"v{int(size ** r.random())}" for _ in range(n)]
+
+
+def test_passages_with_words_changed_at_random_are_aligned(spark):
+    r, rows = random.Random(3), []
+    for i in range(100):
+        passage = zipf(r, 50)
+        changed = list(passage)
+        for at in r.sample(range(50), 7):
+            changed[at] = f"z{i}q{at}"
+        rows += [(k + i, " ".join(zipf(r, 60) + p + zipf(r, 60))) for k, p in ((0, passage), (1000, changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.pieces(df).where("doc_id = source_id + 1000 and t1 - t0 >= 35").select("doc_id").distinct().count() >= 98
+
+
 def test_passages(spark):
     shared = words(1, 70)
     fuzzy = shared.split()

@@ -68,6 +68,19 @@ def forget(df: DataFrame) -> None:
     jvm.System.gc()
 
 
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, and the shuffle files of the write go at once: ``df`` must be
+    of no further use."""
+    sc = df.sparkSession.sparkContext._jsc.sc()
+    first = sc.newShuffleId()
+    out = stored(df, name)
+    cleaner = sc.cleaner()
+    for shuffle in range(first + 1, sc.newShuffleId()):
+        if cleaner.isDefined():
+            cleaner.get().doCleanupShuffle(shuffle, True)
+    return out
+
+
 def crc_fold(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 4; the fold 2 is held out. A null id is text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
