@@ -195,6 +195,17 @@ def test_passages_with_words_changed_at_random_are_aligned(spark):
     assert passages.pieces(df).where("doc_id = source_id + 1000 and t1 - t0 >= 35").select("doc_id").distinct().count() >= 98
 
 
+def test_passages_of_lines_known_from_elsewhere(spark):
+    r = random.Random(4)
+    lines = [zipf(r, r.choice((10, 11))) for _ in range(400)]
+    rows = [(i, " ".join(sum((r.choice(lines) for _ in range(12)), []))) for i in range(600)]
+    for i in range(100):
+        passage = sum((r.choice(lines) for _ in range(6)), [])[:50]
+        rows += [(k + i, " ".join(zipf(r, 30) + passage + zipf(r, 30))) for k in (10_000, 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeated_passages(df).where("doc_id >= 20000 and start <= 33 and end >= 77").select("doc_id").distinct().count() == 100
+
+
 def test_passages(spark):
     shared = words(1, 70)
     fuzzy = shared.split()
