@@ -23,6 +23,12 @@ def test_runs(name, spark, data):
     assert queries.QUERIES[name](spark, data).count() > 0
 
 
+def test_relative_strength_index_covers_all_users(spark, data, db):
+    ids = {r["event_id"] for r in queries.QUERIES["relative_strength_index"](spark, data).collect()}
+    rows = db.execute("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events) WHERE i > 20").fetchall()
+    assert {r[0] for r in rows} <= ids
+
+
 def test_entry(spark):
     import __spark_entry__
 

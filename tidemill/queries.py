@@ -244,8 +244,9 @@ op("label_replace", lambda s: sequences.label_replace(s, "event_type", "short",
 _EMA = """, x AS (SELECT event_type, list(_value ORDER BY _time, event_id) AS v, list(event_id ORDER BY _time, event_id) AS ids FROM ev GROUP BY 1),
 t AS (WITH RECURSIVE f AS (SELECT event_type, v, ids, 10 AS i, list_avg(v[1:10]) AS e FROM x UNION ALL SELECT event_type, v, ids, i + 1, v[i + 1] * 2 / 11 + e * 9 / 11 FROM f WHERE i < len(v)) SELECT event_type, ids[i] AS event_id, e FROM f)"""
 op("exponential_moving_average", lambda s: sequences.exponential_moving_average(shape.filter(s, lambda r: r["user_id"] < 30), 10), ["event_id", "round(_value, 6) AS _value"], _EMA.replace("FROM ev GROUP", "FROM ev WHERE user_id < 30 GROUP") + " SELECT event_id, round(e, 6) AS _value FROM t")
-for _n, _fn in (("double_ema", sequences.double_ema), ("triple_ema", sequences.triple_ema), ("triple_exponential_derivative", sequences.triple_exponential_derivative), ("relative_strength_index", sequences.relative_strength_index), ("kaufmans_ama", sequences.kaufmans_ama)):
+for _n, _fn in (("double_ema", sequences.double_ema), ("triple_ema", sequences.triple_ema), ("triple_exponential_derivative", sequences.triple_exponential_derivative), ("kaufmans_ama", sequences.kaufmans_ama)):
     add(_n, lambda s, d, fn=_fn: fn(shape.filter(ev(s, d), lambda r: r["user_id"] < 10), 5).df.select("event_id", r4()))
+add("relative_strength_index", lambda s, d: sequences.relative_strength_index(ev(s, d), 5).df.select("event_id", r4()))
 add("holt_winters", lambda s, d: sequences.holt_winters(windows.aggregate_window(ev(s, d), "1d", "mean", create_empty=False), 5, "1d").df)
 add("simplify_line", lambda s, d: sequences.simplify_line(windows.aggregate_window(ev(s, d), "6h", "mean", create_empty=False), epsilon=0.5).df)
 add("extrapolated_rate", lambda s, d: sequences.extrapolated_rate(shape.range(ev(s, d), "2024-01-02T00:00:00Z", "2024-01-09T00:00:00Z")).df.select("event_type", r4()))
