@@ -43,9 +43,7 @@ def st_distance(region: dict, point: dict, unit: str | None = None) -> Column:
     if "radius" in region:
         return F.greatest(haversine(region["lat"], region["lon"], lat, lon, unit) - region["radius"], F.lit(0.0))
     if "minLat" in region:
-        near_lat = F.greatest(F.least(lat, _c(region["maxLat"])), _c(region["minLat"]))
-        near_lon = F.greatest(F.least(lon, _c(region["maxLon"])), _c(region["minLon"]))
-        return haversine(near_lat, near_lon, lat, lon, unit)
+        return _box_distance(region, lat, lon, unit)
     if "points" in region:
         points, radius = [(p["lat"], p["lon"]) for p in region["points"]], _radius(unit)
 
@@ -57,6 +55,30 @@ def st_distance(region: dict, point: dict, unit: str | None = None) -> Column:
     return haversine(region["lat"], region["lon"], lat, lon, unit)
 
 
+def _in_longitudes(region: dict, lon: Column) -> Column:
+    """Whether a box, which may reach over the antimeridian, has a longitude."""
+    if region["minLon"] <= region["maxLon"]:
+        return lon.between(region["minLon"], region["maxLon"])
+    return (lon >= region["minLon"]) | (lon <= region["maxLon"])
+
+
+def _box_distance(region: dict, lat: Column, lon: Column, unit: str | None) -> Column:
+    """North or south of a box the way is along the meridian; else it ends on the
+    nearer of the box's two meridian edges, at its foot or at a corner."""
+    low, high = float(region["minLat"]), float(region["maxLat"])
+    straight = F.radians(F.greatest(lat - high, F.lit(low) - lat, F.lit(0.0))) * _radius(unit)
+
+    def edge(at: float) -> Column:
+        turn = F.radians(lon - at)
+        foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(turn)))
+        near = F.greatest(F.least(foot, F.lit(high)), F.lit(low))
+        ahead = (F.cos(turn) > 0) & (near == foot)
+        corner = F.least(haversine(low, at, lat, lon, unit), haversine(high, at, lat, lon, unit))
+        return F.when(ahead, haversine(foot, at, lat, lon, unit)).otherwise(corner)
+
+    return F.when(_in_longitudes(region, lon), straight).otherwise(F.least(edge(float(region["minLon"])), edge(float(region["maxLon"]))))
+
+
 def _xyz(lat, lon) -> np.ndarray:
     a, b = np.radians(lat), np.radians(lon)
     return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], -1)
@@ -87,7 +109,7 @@ def st_contains(region: dict, geometry: dict, unit: str | None = None) -> Column
         inside = lambda p: st_contains(region, {"lat": p["lat"], "lon": p["lon"]}, unit)
         return F.forall(line_points(geometry["linestring"]), inside)
     if "minLat" in region:
-        return _c(geometry["lat"]).between(region["minLat"], region["maxLat"]) & _c(geometry["lon"]).between(region["minLon"], region["maxLon"])
+        return _c(geometry["lat"]).between(region["minLat"], region["maxLat"]) & _in_longitudes(region, _c(geometry["lon"]))
     return st_distance(region, geometry, unit) <= 0
 
 
@@ -168,7 +190,16 @@ def _angle(region: dict, lat: float, lon: float, unit: str | None) -> float:
     if "radius" in region:
         return max(between(region["lat"], region["lon"], lat, lon) - region["radius"] / _radius(unit), 0.0)
     if "minLat" in region:
-        return between(min(max(lat, region["minLat"]), region["maxLat"]), min(max(lon, region["minLon"]), region["maxLon"]), lat, lon)
+        west, east, low, high = (region[k] for k in ("minLon", "maxLon", "minLat", "maxLat"))
+        if west <= lon <= east or (west > east and (lon >= west or lon <= east)):
+            return math.radians(max(lat - high, low - lat, 0.0))
+        out = []
+        for at in (west, east):
+            turn = math.radians(lon - at)
+            foot = math.degrees(math.atan2(math.sin(math.radians(lat)), math.cos(math.radians(lat)) * math.cos(turn)))
+            ends = [foot] if math.cos(turn) > 0 and low <= foot <= high else [low, high]
+            out += [between(x, at, lat, lon) for x in ends]
+        return min(out)
     if "points" in region:
         return float(polygon_distance([(p["lat"], p["lon"]) for p in region["points"]], np.array([lat]), np.array([lon]))[0])
     return between(region["lat"], region["lon"], lat, lon)

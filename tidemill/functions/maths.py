@@ -188,20 +188,26 @@ def _erfinv(y: float) -> float:
     return x
 
 
+def _integral(fn, a: float, b: float, panels: int) -> float:
+    """Gauss-Legendre over equal panels."""
+    x, w = np.polynomial.legendre.leggauss(48)
+    half = (b - a) / panels / 2
+    middles = a + half * (2 * np.arange(panels) + 1)
+    return float((fn(middles[:, None] + half * x) * w).sum() * half)
+
+
 def _bessel(n: int, x: float, second: bool = False) -> float:
     """Integer order Bessel functions by their integrals."""
-    theta = (np.arange(4000) + 0.5) * (math.pi / 4000)
+    panels = 4 + int((abs(x) + abs(n)) / 8)
     if not second:
-        return float(np.cos(n * theta - x * np.sin(theta)).mean())
+        return _integral(lambda t: np.cos(n * t - x * np.sin(t)), 0, math.pi, panels) / math.pi
     if x < 0:
         return NAN
     if x == 0:
         return -INF
-    first = np.sin(x * np.sin(theta) - n * theta).mean()
-    top = math.asinh(750 / x)
-    t = (np.arange(20000) + 0.5) * (top / 20000)
-    rest = (np.exp(n * t - x * np.sinh(t)) + (-1) ** n * np.exp(-n * t - x * np.sinh(t))).sum() * (top / 20000) / math.pi
-    return float(first - rest)
+    first = _integral(lambda t: np.sin(x * np.sin(t) - n * t), 0, math.pi, panels)
+    rest = _integral(lambda t: np.exp(n * t - x * np.sinh(t)) + (-1) ** n * np.exp(-n * t - x * np.sinh(t)), 0, math.asinh(750 / x), 24)
+    return (first - rest) / math.pi
 
 
 def _ilogb(x):

@@ -71,10 +71,27 @@ def skew_of(s, column):
 
 
 def quantile_of(s, column, q=0.5, method="estimate_tdigest", compression=1000.0):
+    """``exact_mean`` interpolates between all values; the estimate between at
+    most ``compression`` centroids (a mergeable sketch; as many distinct values
+    are exact), each standing for as many equal values as it holds."""
     c = col(column).cast("double")
     if method == "exact_mean":
         return F.percentile(c, F.lit(float(q)))
-    return F.percentile_approx(c, F.lit(float(q)), F.lit(int(max(compression, 1)) * 10))
+    real = F.when(~F.isnan(c), c)
+    sketch = F.histogram_numeric(real, F.lit(int(max(compression, 2))))
+    at = F.lit(float(q)) * F.count(real)
+    start = F.struct(F.lit(0.0).alias("n"), F.min(real).alias("x"), F.lit(None).cast("double").alias("out"))
+
+    def step(acc, bin_):
+        begin, end = acc["n"] + 0.5, acc["n"] + bin_["y"] - 0.5
+        between = acc["x"] + (bin_["x"] - acc["x"]) * F.least(F.greatest(at - (acc["n"] - 0.5), F.lit(0.0)), F.lit(1.0))
+        here = F.when(at <= begin, F.when(acc["n"] == 0, acc["x"]).otherwise(between)).when(at <= end, bin_["x"])
+        return F.struct((acc["n"] + bin_["y"]).alias("n"), bin_["x"].alias("x"), F.coalesce(acc["out"], here).alias("out"))
+
+    def finish(acc):
+        return F.coalesce(acc["out"], acc["x"] + (F.max(real) - acc["x"]) * F.least(F.greatest((at - acc["n"] + 0.5) * 2, F.lit(0.0)), F.lit(1.0)))
+
+    return finish(F.aggregate(F.transform(sketch, lambda b: F.struct(b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y"))), start, step))
 
 
 def first_of(s, column):
@@ -173,11 +190,11 @@ def pearsonr(x: TableStream, y: TableStream, on: Sequence[str]) -> TableStream:
 
 
 def linear_bins(start: float, width: float, count: int, infinity: bool = True) -> list[float]:
-    return [start + i * width for i in range(count)] + ([float("inf")] if infinity else [])
+    return [float(start + i * width) for i in range(count)] + ([float("inf")] if infinity else [])
 
 
 def logarithmic_bins(start: float, factor: float, count: int, infinity: bool = True) -> list[float]:
-    return [start * factor**i for i in range(count)] + ([float("inf")] if infinity else [])
+    return [float(start * factor**i) for i in range(count)] + ([float("inf")] if infinity else [])
 
 
 def histogram(s: TableStream, bins: Sequence[float], column: str = VALUE, upper_bound_column: str = "le", count_column: str = VALUE, normalize: bool = False) -> TableStream:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from . import selectors, shape
 
 #: Levels a check can find, the first that is true counting (fixed values).
 LEVELS = ("crit", "warn", "info", "ok", "unknown")
+#: Where statuses go unless told, and the time of a task that never ran (fixed values).
+BUCKET, ZERO_TIME = "_monitoring", datetime(1970, 1, 1)
 OK, INFO, WARN, CRIT, UNKNOWN, ANY = "ok", "info", "warn", "crit", "unknown", "any"
 
 

@@ -1,16 +1,17 @@
 """Row-sequence operators: what depends on the rows before, within a table.
 
 Window functions wherever a rule looks back by rows or to the last non-null row;
-recursions (exponential averages and kin) fold the table's ordered array inside
-the JVM; only the forecasts and the line simplification go to pandas, a group at
-a time.
+recursions (exponential averages and kin), forecasts and the line simplification
+go through a table at a time, in its order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,44 +129,47 @@ def kaufmans_er(s: TableStream, n: int) -> TableStream:
     return out.to(out.df.withColumn(VALUE, F.abs(col(VALUE)) / 100.0))
 
 
-# Recursions: the table's rows as an ordered array, folded, and exploded again.
+# Recursions: a table at a time in its order, in time linear in its rows.
 
 
-def _folded(s: TableStream, column: str, fold: Callable[[Column], Column], skip: Callable[[Column], Column]) -> TableStream:
-    """``fold`` maps the ordered values of a table to new values; ``skip`` tells
-    (from the old size) how many leading rows have none."""
-    names = s.columns
-    order = F.struct(*(col(o) if isinstance(o, str) else o for o in s.order)) if s.order else F.lit(0)
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*map(col, names)).alias("r"))))
-    grouped = s.df.groupBy(*map(col, s.key)).agg(rows.alias("__rows"))
-    values = F.transform("__rows", lambda x: x["r"][column].cast("double"))
-    grouped = grouped.withColumn("__new", fold(values))
-    lead = skip(F.size("__rows"))
-    kept = F.slice(F.col("__rows"), lead + 1, F.greatest(F.size("__rows") - lead, F.lit(0)))
-    pairs = F.arrays_zip(kept.alias("a"), F.col("__new").alias("b"))
-    out = grouped.select(F.explode(pairs).alias("__p"))
-    fields = [F.col("__p.b").alias(n) if n == column else F.col(f"__p.a.r.`{n}`").alias(n) for n in names]
-    return s.to(out.select(*fields), empty=None)
+def _folded(s: TableStream, column: str, fold: Callable[[np.ndarray], tuple[int, np.ndarray]]) -> TableStream:
+    """``fold`` maps the ordered values of a table (NaN for null) to how many
+    leading rows go and the new values of the others (NaN for null)."""
+    s.need(column)
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == column else f for f in s.df.schema])
+    rows = s.df.withColumns({column: col(column).cast("double"), _I: F.row_number().over(s.rows())})
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by(_I)
+        values = part.column(column).to_numpy()
+        lead, new = fold(np.where(np.equal(values, None), np.nan, values).astype(float) if values.dtype == object else values)
+        part = part.slice(lead).drop_columns([_I])
+        return part.set_column(part.schema.get_field_index(column), column, pa.array(new, pa.float64(), from_pandas=True))
+
+    by = [col(k) for k in s.key] or [F.lit(0)]
+    return s.to(rows.groupBy(*by).applyInArrow(run, schema), empty=None)
 
 
-def _mean(values: Column) -> Column:
-    real = F.filter(values, lambda v: v.isNotNull())
-    total = F.aggregate(real, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(real) > 0, total / F.size(real))
+def _mean(values: np.ndarray) -> float:
+    real = values[~np.isnan(values)]
+    return float(real.sum() / len(real)) if len(real) else NAN
 
 
-def _ema(values: Column, n: int, k: float) -> Column:
+def _ema(values: np.ndarray, n: int, k: float) -> np.ndarray:
     """Mean of the first n values, then the recursion; nulls repeat the last."""
-    seed = F.array(_mean(F.slice(values, 1, n)))
-    rest = F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0)))
-    step = lambda acc, v: F.concat(acc, F.array(F.when(v.isNull(), F.element_at(acc, -1)).otherwise(F.when(F.element_at(acc, -1).isNull(), v).otherwise(v * k + F.element_at(acc, -1) * (1 - k)))))
-    return F.aggregate(rest, seed, step)
+    now = _mean(values[:n])
+    out = [now]
+    for v in values[n:].tolist():
+        if v == v:
+            now = v * k + now * (1 - k) if now == now else v
+        out.append(now)
+    return np.array(out)
 
 
 def exponential_moving_average(s: TableStream, n: int, column: str = VALUE) -> TableStream:
     """EMA with k = 2 / (n + 1), seeded by the mean of the first n rows; a
     shorter table gives one mean."""
-    return _folded(s, column, lambda v: _ema(v, n, 2 / (n + 1)), lambda size: F.least(F.lit(n), size) - 1)
+    return _folded(s, column, lambda v: (min(n, len(v)) - 1, _ema(v, n, 2 / (n + 1))))
 
 
 def double_ema(s: TableStream, n: int) -> TableStream:
@@ -179,47 +183,43 @@ def triple_ema(s: TableStream, n: int) -> TableStream:
 
 
 def _multi_ema(s: TableStream, n: int, depth: int, combine) -> TableStream:
-    lag = depth * (n - 1)
-
-    def fold(values: Column) -> Column:
-        one = _ema(values, n, 2 / (n + 1))
-        layers = [one]
+    def fold(values: np.ndarray):
+        layers = [_ema(values, n, 2 / (n + 1))]
         for _ in range(depth - 1):
             layers.append(_ema(layers[-1], n, 2 / (n + 1)))
-        size = F.size(layers[-1])
-        last = [F.slice(x, F.size(x) - size + 1, size) for x in layers]
-        return F.transform(F.sequence(F.lit(1), size), lambda i: combine([F.element_at(x, i) for x in last]))
+        size = len(layers[-1])
+        return len(values) - size, combine([x[-size:] for x in layers])
 
-    return _folded(s, VALUE, fold, lambda size: F.least(F.lit(lag), F.greatest(size - 1, F.lit(0))))
+    return _folded(s, VALUE, fold)
 
 
 def triple_exponential_derivative(s: TableStream, n: int) -> TableStream:
     """Per cent change of the triple-smoothed EMA."""
 
-    def fold(values: Column) -> Column:
+    def fold(values: np.ndarray):
         x = values
         for _ in range(3):
             x = _ema(x, n, 2 / (n + 1))
-        change = F.transform(F.sequence(F.lit(2), F.size(x)), lambda i: (F.element_at(x, i) / F.element_at(x, i - 1) - 1) * 100)
-        return F.when(F.size(x) > 1, change).otherwise(F.array(F.lit(None).cast("double")))
+        new = (x[1:] / x[:-1] - 1) * 100 if len(x) > 1 else np.array([NAN])
+        return len(values) - len(new), new
 
-    return _folded(s, VALUE, fold, lambda size: F.least(F.lit(3 * (n - 1) + 1), size - 1))
+    return _folded(s, VALUE, fold)
 
 
 def relative_strength_index(s: TableStream, n: int, columns: Sequence[str] = (VALUE,)) -> TableStream:
     """100 - 100 / (1 + gains / losses), both smoothed with 1 / n; the change of
     the first row counts from 0; the first n rows go."""
-    for c in columns:
 
-        def fold(values: Column) -> Column:
-            prior = F.concat(F.array(F.lit(0.0)), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))))
-            d = F.zip_with(values, prior, lambda a, b: a - b)
-            up = _ema(F.transform(d, lambda x: F.when(x > 0, x).otherwise(0.0)), n, 1 / n)
-            down = _ema(F.transform(d, lambda x: F.when(x < 0, -x).otherwise(0.0)), n, 1 / n)
-            rsi = F.zip_with(up, down, lambda a, b: F.when(b == 0, F.when(a == 0, NAN).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + a / F.nullif(b, F.lit(0.0)))))
-            return F.when(F.size(rsi) > 1, F.slice(rsi, 2, F.size(rsi))).otherwise(rsi)
+    def fold(values: np.ndarray):
+        d = np.diff(values, prepend=0.0)
+        up, down = (_ema(np.where(x > 0, x, 0.0), n, 1 / n) for x in (d, -d))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            new = np.where(down == 0, np.where(up == 0, NAN, 100.0), 100.0 - 100.0 / (1.0 + up / down))
+        new = new[1:] if len(new) > 1 else new
+        return len(values) - len(new), new
 
-        s = _folded(s, c, fold, lambda size: F.least(F.lit(n), size - 1))
+    for c in columns:
+        s = _folded(s, c, fold)
     return s
 
 
@@ -228,20 +228,22 @@ def kaufmans_ama(s: TableStream, n: int, column: str = VALUE) -> TableStream:
     smoothing between 2 and 30 rows; the first n rows go."""
     fast, slow = 2 / (2 + 1), 2 / (30 + 1)
 
-    def fold(values: Column) -> Column:
-        d = F.transform(F.sequence(F.lit(2), F.size(values)), lambda i: F.abs(F.element_at(values, i) - F.element_at(values, i - 1)))
-        at = F.sequence(F.lit(n + 1), F.size(values))
-
-        def step(acc, i):
-            noise = F.aggregate(F.slice(d, i - n, n), F.lit(0.0), lambda a, x: a + x)
-            er = F.when(noise == 0, 0.0).otherwise(F.abs(F.element_at(values, i) - F.element_at(values, i - n)) / F.nullif(noise, F.lit(0.0)))
-            sc = (er * (fast - slow) + slow) * (er * (fast - slow) + slow)
-            prior = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.element_at(values, i - 1))
-            return F.concat(acc, F.array(prior + sc * (F.element_at(values, i) - prior)))
-
-        return F.when(F.size(values) > n, F.aggregate(at, F.array().cast("array<double>"), step)).otherwise(F.array().cast("array<double>"))
+    def fold(values: np.ndarray):
+        if len(values) <= n:
+            return len(values), values[:0]
+        steps = np.abs(np.diff(values))
+        noise = np.convolve(steps, np.ones(n), "valid")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(noise == 0, 0.0, np.abs(values[n:] - values[:-n]) / noise)
+        gain = (ratio * (fast - slow) + slow) ** 2
+        now, out = values[n - 1], []
+        for v, g in zip(values[n:].tolist(), gain.tolist()):
+            now = now + g * (v - now)
+            out.append(now)
+        return n, np.array(out)
 
-    return _folded(s, column, fold, lambda size: F.least(F.lit(n), size)).pipe(lambda x: x.to(x.df.where(col(column).isNotNull())))
+    out = _folded(s, column, fold)
+    return out.to(out.df.where(col(column).isNotNull()))
 
 
 # States
@@ -253,18 +255,17 @@ def state_tracking(s: TableStream, fn: Callable[[Record], Column], count_column:
     w = s.rows()
     on = F.coalesce(fn(s.r), F.lit(False))
     df = s.df.withColumn("__on", on)
-    df = df.withColumn("__turn", F.coalesce((F.lag("__on").over(w) != F.col("__on")).cast("int"), F.lit(0)))
-    df = df.withColumn("__isle", F.sum("__turn").over(s.upto()))
-    inner = Window.partitionBy(*map(col, s.key), F.col("__isle")).orderBy(*s.ordering())
+    df = df.withColumns({"__new": F.col("__on") & F.coalesce(~F.lag("__on").over(w), F.lit(True)), _I: F.row_number().over(w)})
+    begun = lambda c: F.last(F.when(F.col("__new"), c), ignorenulls=True).over(s.upto())
     if count_column:
-        df = df.withColumn(count_column, F.when(F.col("__on"), F.row_number().over(inner)).otherwise(-1).cast("long"))
+        df = df.withColumn(count_column, F.when(F.col("__on"), F.col(_I) - begun(F.col(_I)) + 1).otherwise(-1).cast("long"))
     if duration_column:
         t = F.unix_micros(col(time_column))
         bad = t.isNull() | (F.lag(t).over(w) > t)
-        span = ((t - F.first(t).over(inner)) / float(parse(duration_unit).micros)).cast("long")
+        span = ((t - begun(t)) / float(parse(duration_unit).micros)).cast("long")
         safe = F.when(bad, F.raise_error(F.lit("state duration: null or out-of-order time")).cast("long")).otherwise(span)
         df = df.withColumn(duration_column, F.when(F.col("__on"), safe).otherwise(F.lit(-1)).cast("long"))
-    return s.to(df.drop("__on", "__turn", "__isle"))
+    return s.to(df.drop("__on", "__new", _I))
 
 
 def state_count(s: TableStream, fn, column: str = "stateCount") -> TableStream:
@@ -350,16 +351,24 @@ def linear_regression(s: TableStream, predict: bool = False, from_now: float = 0
 
 def double_exponential(s: TableStream, smoothing: float, trend: float) -> TableStream:
     """Level of double exponential smoothing after a table's last point."""
-    order = F.struct(*(col(o) if isinstance(o, str) else o for o in s.order))
-    grouped = s.df.where(col(VALUE).isNotNull()).groupBy(*map(col, s.key)).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), col(VALUE).cast("double").alias("v")))).alias("a")).where("size(a) > 1")
-    v = F.transform("a", lambda x: x["v"])
-    start = F.struct(F.element_at(v, 1).alias("l"), (F.element_at(v, 2) - F.element_at(v, 1)).alias("b"))
-
-    def step(acc, x):
-        level = x * smoothing + (acc["l"] + acc["b"]) * (1 - smoothing)
-        return F.struct(level.alias("l"), (trend * (level - acc["l"]) + (1 - trend) * acc["b"]).alias("b"))
-
-    return s.to(grouped.select(*map(col, s.key), F.aggregate(F.slice(v, 2, F.size(v)), start, step)["l"].alias(VALUE)), order=(), empty=None)
+    rows = s.df.where(col(VALUE).isNotNull()).withColumn(_I, F.row_number().over(s.rows()))
+    rows = rows.select(*map(col, s.key), F.col(_I), col(VALUE).cast("double").alias(VALUE))
+    schema = T.StructType([*(s.df.schema[k] for k in s.key), T.StructField(VALUE, T.DoubleType())])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by(_I)
+        values = part.column(VALUE).to_pylist()
+        one = part.slice(0, min(1, len(values) - 1)).drop_columns([_I])
+        if len(values) > 1:
+            level, slope = values[0], values[1] - values[0]
+            for x in values[1:]:
+                before, level = level, smoothing * x + (1 - smoothing) * (level + slope)
+                slope = trend * (level - before) + (1 - trend) * slope
+            one = one.set_column(one.schema.get_field_index(VALUE), VALUE, pa.array([level]))
+        return one
+
+    by = [col(k) for k in s.key] or [F.lit(0)]
+    return s.to(rows.groupBy(*by).applyInArrow(run, schema), order=(), empty=None)
 
 
 def label_replace(s: TableStream, source: str, destination: str, regex: str, replacement: str) -> TableStream:
@@ -423,15 +432,21 @@ def holt_winters(s: TableStream, n: int, interval, seasonality: int = 0, with_fi
 
 def simplify_line(s: TableStream, epsilon: float | None = None, retention: float | None = None, column: str = VALUE, time_column: str = TIME) -> TableStream:
     """Ramer-Douglas-Peucker: rows within ``epsilon`` of the line between kept
-    rows go; or the share ``retention`` of rows that matter most stays."""
+    rows go; or the share ``retention`` of rows that matter most stays; with
+    neither, the tolerance of every stretch follows from its length and slope."""
+    if epsilon and retention:
+        raise ValueError("give epsilon or retention, not both")
     keys = list(s.key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from ..functions.forecast import line_importance
+        from ..functions.forecast import digital_line, line_importance
 
         pdf = pdf.sort_values(time_column).reset_index(drop=True)
-        t = pdf[time_column].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        weight = line_importance(t, pdf[column].astype(float).to_numpy())
+        t = pdf[time_column].astype("datetime64[us]").astype("int64").to_numpy() * 1e3  # nanoseconds
+        values = pdf[column].astype(float).to_numpy()
+        if not epsilon and retention is None:
+            return pdf.loc[digital_line(t, values)]
+        weight = line_importance(t, values)
         if retention is not None:
             keep = max(2, round(len(pdf) * retention / 100 if retention > 1 else len(pdf) * retention))
             return pdf.loc[sorted(pd.Series(weight).nlargest(keep).index)]

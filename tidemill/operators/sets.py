@@ -63,6 +63,44 @@ def should_error(fn, want: str) -> None:
     raise AssertionError("expected an error")
 
 
+def should_error_with_code(fn, want: str, code: int) -> None:
+    """``should_error``, and the error's code (1 unless it has one) is ``code``."""
+    try:
+        fn()
+    except Exception as e:
+        if want not in str(e):
+            raise AssertionError(f"the error {e} does not have {want!r}") from e
+        if getattr(e, "code", 1) != code:
+            raise AssertionError(f"the error has code {getattr(e, 'code', 1)}, not {code}") from e
+        return
+    raise AssertionError("expected an error")
+
+
+def assert_matches(got: str, want: str) -> None:
+    import re
+
+    if not re.search(want, got):
+        raise AssertionError(f"Regex `{want}` does not match `{got}`")
+
+
+#: Names by which a test may be picked.
+tags: list[str] = []
+
+
+def fail() -> None:
+    raise AssertionError("fail")
+
+
+def make_any(value):
+    return value
+
+
+class make_record(dict):  # noqa: N801
+    """A record of any fields, read as attributes."""
+
+    __getattr__ = dict.get
+
+
 def expect_plan(s: TableStream, pattern: str, count: int | None = None) -> None:
     """The physical plan must match the pattern (``count`` times)."""
     import re

@@ -8,7 +8,7 @@ each row into the few windows that hold it, and nothing else multiplies rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,10 +88,13 @@ def window(s: TableStream, every, period=None, offset="0s", time_column: str = T
         if s.bounds is None:
             raise ValueError("createEmpty needs the bounds of a range")
         rest = [k for k in key if k not in (start_column, stop_column)]
-        wins = all_windows(s, every, period, offset, location).toDF(start_column, stop_column)
-        keys = s.df.select(*map(col, rest)).distinct() if rest else None
-        # windows of the bounds, a few, beside each key
-        empty = keys.join(F.broadcast(wins)) if rest else wins
+        a_, b_ = map(time_lit, s.bounds)
+        keys = s.df.select(*map(col, rest)).distinct() if rest else s.df.sparkSession.range(1)
+        # each key is multiplied by the windows of the bounds where it is
+        begun = keys.withColumn("__w", F.explode(_starts(s.bounds, every, period, offset, location)))
+        stop = _end(F.col("__w"), period, location)
+        begun = begun.where((F.col("__w") < b_) & (stop > a_))
+        empty = begun.withColumns({start_column: F.greatest("__w", a_), stop_column: F.least(stop, b_)})
         empty = empty.select(*map(col, key))
     return s.to(out, key=key, empty=empty)
 
@@ -102,16 +105,12 @@ def _end(start: Column, period: Duration, location: str) -> Column:
     return F.to_utc_timestamp(period.added_to(F.from_utc_timestamp(start, location)), location)
 
 
-def all_windows(s: TableStream, every: Duration, period: Duration, offset: Duration, location: str = "UTC"):
-    """The clipped windows that overlap the bounds, made by Spark."""
-    a, b = map(time_lit, s.bounds)
-    one = s.df.sparkSession.range(1)
-    first = floor_time(a, every, offset, location)
-    first = (-every).scale(_overlaps(every, period) - 1).added_to(first)
+def _starts(bounds: tuple[datetime, datetime], every: Duration, period: Duration, offset: Duration, location: str) -> Column:
+    """Array of the starts of the windows that may overlap the bounds."""
+    a, b = map(time_lit, bounds)
+    first = (-every).scale(_overlaps(every, period) - 1).added_to(floor_time(a, every, offset, location))
     step = F.make_ym_interval(F.lit(0), F.lit(every.months)) if every.months else F.expr(f"make_dt_interval(0, 0, 0, {every.micros / 1e6:.6f})")
-    wins = one.select(F.explode(F.sequence(first, b, step)).alias("w"))
-    stop = _end(F.col("w"), period, location)
-    return wins.where((F.col("w") < b) & (stop > a)).select(F.greatest("w", a).alias("a"), F.least(stop, b).alias("b"))
+    return F.sequence(first, b, step)
 
 
 #: Aggregates and selectors that aggregate_window knows by name.
@@ -191,24 +190,38 @@ def interpolate_linear(s: TableStream, every, column: str = VALUE) -> TableStrea
     return s.to(out.select(*map(col, dict.fromkeys([*s.key, TIME, column]))), order=(TIME,), empty=None)
 
 
+def day_formatter(start: datetime) -> dict[str, datetime]:
+    """Start and stop of the day that begins at ``start``."""
+    return {"start": start, "stop": start + timedelta(days=1)}
+
+
+def week_formatter(start: datetime) -> dict[str, datetime]:
+    return {"start": start, "stop": start + timedelta(days=7)}
+
+
+def day_finder(weekday: int, now: datetime | None = None) -> datetime:
+    """The last such weekday (Sunday is 0) before today."""
+    day = _today(now)
+    return day - timedelta(days=(day.isoweekday() % 7 - weekday) % 7 or 7)
+
+
+def _today(now: datetime | None) -> datetime:
+    return (now or clock.now()).replace(hour=0, minute=0, second=0, microsecond=0)
+
+
 def bounds_of(period: str, now: datetime | None = None) -> dict[str, datetime]:
     """Start and stop of the most recent such calendar period: yesterday, a
     weekday's name, week or month."""
-    from datetime import timedelta
-
-    day = (now or clock.now()).replace(hour=0, minute=0, second=0, microsecond=0)
-    names = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+    day = _today(now)
+    names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
     if period == "yesterday":
-        return {"start": day - timedelta(days=1), "stop": day}
+        return day_formatter(day - timedelta(days=1))
     if period == "week":
-        start = day - timedelta(days=day.weekday())
-        return {"start": start, "stop": start + timedelta(days=7)}
+        return week_formatter(day - timedelta(days=day.weekday()))
     if period == "month":
         start = day.replace(day=1)
         return {"start": start, "stop": Duration(1).after(start)}
-    back = (day.weekday() - names.index(period)) % 7 or 7
-    start = day - timedelta(days=back)
-    return {"start": start, "stop": start + timedelta(days=1)}
+    return day_formatter(day_finder(names.index(period), now))
 
 
 def last_of_window(s: TableStream, every, column: str = VALUE) -> TableStream:

@@ -17,6 +17,24 @@ options: dict[str, object] = {"location": "UTC", "profilers": (), "timeout": 30.
 EPOCH = datetime(1970, 1, 1)
 MIN_TIME, MAX_TIME = datetime(1677, 9, 21, 0, 12, 43, 145224), datetime(2262, 4, 11, 23, 47, 16, 854775)
 
+TRUE, FALSE = True, False
+
+
+def feature(spark: SparkSession, key: str) -> str | None:
+    """A setting of the session by name; None if there is none."""
+    try:
+        return spark.conf.get(key)
+    except Exception:  # unknown to Spark
+        return None
+
+
+def vectorize(s: TableStream, fn) -> TableStream:
+    """``map``: all expressions run in generated code, over columns where the
+    scan gives columns."""
+    from ..operators.shape import extend
+
+    return extend(s, fn)
+
 
 def version() -> str:
     import pyspark

@@ -12,6 +12,19 @@ from pyspark.sql import types as T
 from ..plans.stream import START, STOP, TIME, VALUE, Record, TableStream, as_column, col
 
 
+#: Requests unless told (fixed values).
+DEFAULT_CONFIG: dict[str, object] = {"timeout": 30.0, "insecure_skip_verify": False}
+EMPTY_BODY = b""
+#: Where the services' messages go unless told, and limits and options of theirs (fixed values).
+DEFAULT_URLS = {
+    "slack": "https://slack.com/api/chat.postMessage", "pagerduty": "https://events.pagerduty.com/v2/enqueue",
+    "pushbullet": "https://api.pushbullet.com/v2/pushes", "telegram": "https://api.telegram.org/bot",
+    "discord": "https://discordapp.com/api/webhooks/", "bigpanda": "https://api.bigpanda.io/data/v2/alerts",
+}
+TELEGRAM = {"parse_mode": "MarkdownV2", "disable_web_page_preview": False, "silent": True}
+SUMMARY_CUTOFF, TOKEN_PREFIX = 70, "Bearer"
+
+
 def _escape(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, f"([{chars}])", r"\\$1")
 
@@ -71,7 +84,8 @@ def _append(df, where: str, fmt: str, partition_by: Sequence[str]) -> None:
 
 
 def to_sql(s: TableStream, driver: str, url: str, table: str, batch_size: int = 10_000, **options) -> TableStream:
-    """Create the table if need be and insert in batches, from the executors."""
+    """Create the table if need be and insert in batches: through JDBC from the
+    executors; into a sqlite file, which is the driver's, row by row there."""
     if driver == "awsathena":
         raise ValueError("this database is read-only")
     if driver == "sqlite3":
@@ -167,11 +181,11 @@ def endpoint(make: Callable[[dict], dict], send: Callable[[dict], bool] | None =
 
 
 #: Message makers of common services: (url, fixed headers, row -> body).
-def slack_message(url: str, token: str = "", channel: str = "", text: str = "", color: str = "good") -> dict:
+def slack_message(url: str = DEFAULT_URLS["slack"], token: str = "", channel: str = "", text: str = "", color: str = "good") -> dict:
     return {"url": url, "headers": {"Content-Type": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})}, "data": {"channel": channel, "as_user": False, "attachments": [{"color": color, "text": text, "mrkdwn_in": ["text"]}]}}
 
 
-def pagerduty_message(routing_key: str, summary: str, severity: str, source: str, event_action: str = "trigger", dedup_key: str = "", url: str = "https://events.pagerduty.com/v2/enqueue", **more) -> dict:
+def pagerduty_message(routing_key: str, summary: str, severity: str, source: str, event_action: str = "trigger", dedup_key: str = "", url: str = DEFAULT_URLS["pagerduty"], **more) -> dict:
     payload = {"summary": summary[:1024], "severity": severity, "source": source, **{k: v for k, v in more.items() if v is not None}}
     return {"url": url, "headers": {"Accept": "application/vnd.pagerduty+json;version=2", "Content-Type": "application/json"}, "data": {"payload": payload, "routing_key": routing_key, "dedup_key": dedup_key, "event_action": event_action}}
 
@@ -195,19 +209,19 @@ def opsgenie_message(api_key: str, message: str, alias: str = "", description: s
     return {"url": url, "headers": {"Content-Type": "application/json; charset=utf-8", "Authorization": f"GenieKey {api_key}"}, "data": {"message": message[:130], "alias": alias[:512], "description": description[:15000], "responders": people(responders), "visibleTo": people(visible_to), "actions": list(actions), "tags": list(tags), "details": details or {}, "entity": entity[:512], "priority": priority}}
 
 
-def telegram_message(token: str, channel: str, text: str, parse_mode: str = "MarkdownV2", disable_web_page_preview: bool = False, silent: bool = True, url: str = "https://api.telegram.org/bot") -> dict:
+def telegram_message(token: str, channel: str, text: str, parse_mode: str = TELEGRAM["parse_mode"], disable_web_page_preview: bool = TELEGRAM["disable_web_page_preview"], silent: bool = TELEGRAM["silent"], url: str = DEFAULT_URLS["telegram"]) -> dict:
     return {"url": f"{url}{token}/sendMessage", "data": {"chat_id": channel, "text": text, "parse_mode": parse_mode, "disable_web_page_preview": disable_web_page_preview, "disable_notification": silent}}
 
 
-def discord_message(webhook_id: str, webhook_token: str, content: str, username: str = "", avatar_url: str = "", url: str = "https://discordapp.com/api/webhooks/") -> dict:
+def discord_message(webhook_id: str, webhook_token: str, content: str, username: str = "", avatar_url: str = "", url: str = DEFAULT_URLS["discord"]) -> dict:
     return {"url": f"{url}{webhook_id}/{webhook_token}", "data": {"username": username, "content": content, "avatar_url": avatar_url}}
 
 
 def teams_message(url: str, title: str, text: str, summary: str = "") -> dict:
-    return {"url": url, "data": {"@type": "MessageCard", "@context": "http://schema.org/extensions", "title": title, "text": text, "summary": summary or (text[:67] + "..." if len(text) > 70 else text)}}
+    return {"url": url, "data": {"@type": "MessageCard", "@context": "http://schema.org/extensions", "title": title, "text": text, "summary": summary or (text[: SUMMARY_CUTOFF - 3] + "..." if len(text) > SUMMARY_CUTOFF else text)}}
 
 
-def pushbullet_message(token: str, title: str, text: str, url: str = "https://api.pushbullet.com/v2/pushes") -> dict:
+def pushbullet_message(token: str, title: str, text: str, url: str = DEFAULT_URLS["pushbullet"]) -> dict:
     return {"url": url, "headers": {"Access-Token": token, "Content-Type": "application/json"}, "data": {"type": "note", "title": title, "body": text}}
 
 
@@ -219,8 +233,8 @@ def alerta_message(url: str, api_key: str, resource: str, event: str, severity:
     return {"url": url, "headers": {"Authorization": f"Key {api_key}", "Content-Type": "application/json"}, "data": {"resource": resource, "event": event, "severity": severity, "environment": environment, "service": list(service), "group": group, "value": value, "text": text, "tags": list(tags), "attributes": attributes or {}, "origin": origin, "type": type_}}
 
 
-def bigpanda_message(token: str, app_key: str, status: str, record: dict, url: str = "https://api.bigpanda.io/data/v2/alerts") -> dict:
-    return {"url": url, "headers": {"Authorization": f"Bearer {token}", "Content-Type": "application/json"}, "data": {**record, "app_key": app_key, "status": status}}
+def bigpanda_message(token: str, app_key: str, status: str, record: dict, url: str = DEFAULT_URLS["bigpanda"]) -> dict:
+    return {"url": url, "headers": {"Authorization": f"{TOKEN_PREFIX} {token}", "Content-Type": "application/json"}, "data": {**record, "app_key": app_key, "status": status}}
 
 
 def bigpanda_status(level: str) -> str:
@@ -251,7 +265,7 @@ def zenoss_message(url: str, username: str, password: str, device: str, componen
 # Requests and helpers of the services above
 
 
-def request(method: str, url: str, params: dict | None = None, headers: dict | None = None, body: bytes = b"", timeout: float | None = None) -> dict:
+def request(method: str, url: str, params: dict | None = None, headers: dict | None = None, body: bytes = EMPTY_BODY, timeout: float | None = None) -> dict:
     """Any HTTP request: statusCode, body, headers and duration in nanoseconds."""
     import time as clock
     from urllib.parse import urlencode

@@ -10,9 +10,12 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from datetime import UTC, datetime
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators import shape
 from ..plans.duration import parse
@@ -25,6 +28,11 @@ CSV_TYPES = {
     "base64Binary": T.BinaryType(), "duration": T.LongType(),
 }
 
+#: Where the HTTP sources ask, unless told (fixed values).
+HTTP_SQL_URL, LOG_URL, LOG_PATH = "http://127.0.0.1:8123", "http://127.0.0.1:3100", "/loki/api/v1/query_range"
+#: Bounds that schema exploration uses, unless told (fixed values).
+EXPLORED_START, EXPLORED_STOP = "-30d", "0s"
+
 
 def from_rows(spark: SparkSession, rows: Iterable[dict], schema: str | T.StructType | None = None) -> TableStream:
     """One table without a key, of literal records."""
@@ -78,14 +86,14 @@ def cardinality(s: TableStream, start, stop=None, predicate=None) -> TableStream
 # Schema exploration
 
 
-def tag_values(s: TableStream, tag: str, predicate=None, start="-30d", stop=None) -> TableStream:
+def tag_values(s: TableStream, tag: str, predicate=None, start=EXPLORED_START, stop=None) -> TableStream:
     kept = shape.range(s, start, stop) if start is not None else s
     kept = shape.filter(kept, predicate) if predicate else kept
     out = kept.df.where(col(tag).isNotNull()).select(col(tag).alias(VALUE)).distinct()
     return TableStream(out, (), (VALUE,))
 
 
-def tag_keys(s: TableStream, predicate=None, start="-30d", stop=None) -> TableStream:
+def tag_keys(s: TableStream, predicate=None, start=EXPLORED_START, stop=None) -> TableStream:
     """Key labels that some row of the range has a value for."""
     kept = shape.range(s, start, stop) if start is not None else s
     kept = shape.filter(kept, predicate) if predicate else kept
@@ -161,7 +169,7 @@ def csv_tables(text: str) -> list[dict]:
         elif block is None:
             names = row[1:]
             kinds = [CSV_TYPES[t] for t in notes["datatype"]]
-            block = {"names": names, "kinds": kinds, "group": [g == "true" for g in notes.get("group", ["false"] * len(names))], "default": notes.get("default", [""] * len(names)), "rows": []}
+            block = {"names": names, "types": notes["datatype"], "kinds": kinds, "group": [g == "true" for g in notes.get("group", ["false"] * len(names))], "default": notes.get("default", [""] * len(names)), "rows": []}
             out.append(block)
         else:
             cells = [c if c != "" else d for c, d in zip(row[1:], block["default"])]
@@ -179,7 +187,7 @@ def from_csv(spark: SparkSession, csv_text: str | None = None, file: str | None
         rows = list(csv.reader(io.StringIO(csv_text)))
         return table(spark.createDataFrame([tuple(r) for r in rows[1:]], T.StructType([T.StructField(n, T.StringType()) for n in rows[0]])))
     if file:
-        csv_text = "\n".join(r[0] for r in spark.read.text(file, wholetext=True).collect())
+        return _from_csv_files(spark, file)
     df, key = None, {}
     for b in csv_tables(csv_text):
         at = [i for i, n in enumerate(b["names"]) if n not in ("result", "table")]
@@ -192,6 +200,38 @@ def from_csv(spark: SparkSession, csv_text: str | None = None, file: str | None
     return table(df, tuple(key))
 
 
+def _from_csv_files(spark: SparkSession, file: str) -> TableStream:
+    """Annotated files, each parsed where it is read. Only the blocks' headers go
+    to the driver, which makes one schema of them."""
+    whole = spark.read.text(file, wholetext=True)
+
+    def heads(batches):
+        for pdf in batches:
+            found = {json.dumps([b["names"], b["types"], b["group"]]) for text in pdf["value"] for b in csv_tables(text)}
+            yield pd.DataFrame({"head": sorted(found)})
+
+    fields, key = {}, {}
+    for r in whole.mapInPandas(heads, "head string").distinct().sort("head").collect():
+        for name, kind, grouped in zip(*json.loads(r["head"])):
+            if name not in ("result", "table"):
+                fields.setdefault(name, kind)
+                key |= {name: 1} if grouped else {}
+    if not fields:
+        raise ValueError("no tables in the csv")
+    schema = T.StructType([T.StructField(n, CSV_TYPES[k]) for n, k in fields.items()])
+    kinds = to_arrow_schema(schema)
+
+    def rows(batches):
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                for b in csv_tables(text):
+                    at = {n: i for i, n in enumerate(b["names"])}
+                    cols = [pa.array([r[at[f.name]] if f.name in at else None for r in b["rows"]], f.type) for f in kinds]
+                    yield pa.RecordBatch.from_arrays(cols, schema=kinds)
+
+    return table(whole.mapInArrow(rows, schema), tuple(key))
+
+
 def from_url(spark: SparkSession, url: str, mode: str = "annotations") -> TableStream:
     return from_csv(spark, fetch(url)["body"].decode(), mode=mode)
 
@@ -284,21 +324,29 @@ def from_connector(spark: SparkSession, fmt: str, **options) -> TableStream:
     return table(spark.read.format(fmt).options(**options).load())
 
 
-def from_http_sql(spark: SparkSession, url: str, query: str, limit: int = 100, max_bytes: int = 10_000_000, fmt: str = "CSVWithNames") -> TableStream:
-    """SQL over HTTP, answered as CSV with names."""
+def from_http_sql(spark: SparkSession, query: str, url: str = HTTP_SQL_URL, limit: int = 100, max_bytes: int = 10_000_000, fmt: str = "CSVWithNames", cors: str = "1") -> TableStream:
+    """SQL over HTTP, answered as CSV with names; the limits are the server's."""
+    return from_csv(spark, fetch(http_sql_url(url, query, limit, max_bytes, fmt, cors), headers={"X-ClickHouse-Format": fmt})["body"].decode(), mode="raw")
+
+
+def http_sql_url(url: str, query: str, limit: int = 100, max_bytes: int = 10_000_000, fmt: str = "CSVWithNames", cors: str = "1") -> str:
     from urllib.parse import urlencode
 
-    body = fetch(f"{url}?{urlencode({'query': f'{query} LIMIT {limit} FORMAT {fmt}'})}")["body"][:max_bytes]
-    return from_csv(spark, body.decode(), mode="raw")
+    return f"{url}?{urlencode({'query': query, 'default_format': fmt, 'max_result_rows': limit, 'max_result_bytes': max_bytes, 'add_http_cors_header': cors})}"
 
 
-def from_log_query(spark: SparkSession, url: str, query: str, start, end=None, path: str = "/loki/api/v1/query_range", limit: int = 100, step: int = 10, org: str = "") -> TableStream:
+def from_log_query(spark: SparkSession, query: str, start, end=None, url: str = LOG_URL, path: str = LOG_PATH, limit: int = 100, step: int = 10, org: str = "") -> TableStream:
     """Rows of a log store's range query."""
+    full = log_query_url(query, start, end, url, path, limit, step)
+    return from_csv(spark, fetch(full, headers={"X-Scope-OrgID": org} if org else {})["body"].decode(), mode="raw")
+
+
+def log_query_url(query: str, start, end=None, url: str = LOG_URL, path: str = LOG_PATH, limit: int = 100, step: int = 10) -> str:
     from urllib.parse import urlencode
 
     ns = lambda t: int(instant(t).timestamp() * 1e9)
     args = {"query": query, "limit": limit, "start": ns(start), "end": ns(end or "0s"), "step": step, "csv": 1}
-    return from_csv(spark, fetch(f"{url}{path}?{urlencode(args)}", headers={"X-Scope-OrgID": org} if org else {})["body"].decode(), mode="raw")
+    return f"{url}{path}?{urlencode(args)}"
 
 
 _SAMPLE = re.compile(r"^([A-Za-z_:][\w:]*)(\{.*\})?\s+(\S+)(?:\s+(-?\d+))?$")
