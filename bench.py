@@ -38,7 +38,7 @@ HEADLINE = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from tidemill import queries
+    from tidemill import queries, queries_more  # noqa: F401
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (

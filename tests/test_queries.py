@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from tidemill import queries
+from tidemill import queries, queries_more  # noqa: F401
 
 PLAIN = [n for n in queries.QUERIES if n not in queries.SQL]
 

@@ -188,15 +188,6 @@ add("window_months", lambda s, d: _orders_monthly(s, d), "SELECT o_orderpriority
 op("window_offset_zone", lambda s: aggregates.count(windows.window(s, "1d", location="America/New_York")), ["event_type", "_start", VALUE], "SELECT event_type, date_trunc('day', _time - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS _start, count(*) AS _value FROM ev GROUP BY 1, 2")
 for _n, _sql in (("count", "count(*)"), ("sum", "round(sum(_value), 6)"), ("max", "max(_value)"), ("last", "arg_max(_value, (_time, event_id))")):
     op(f"aggregate_window_{_n}", lambda s, n=_n: windows.aggregate_window(s, "1d", n, create_empty=False), ["event_type", TIME, "round(_value, 6) AS _value"], f"SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, {_sql} AS _value FROM ev GROUP BY 1, 2")
-op(
-    "aggregate_window_empty",
-    lambda s: windows.aggregate_window(shape.filter(shape.range(s, "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"), lambda r: r["user_id"] < 20), "30m", "count"),
-    ["event_type", TIME, VALUE],
-    """, w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-05 23:30:00', INTERVAL 30 MINUTE)) AS a),
-e AS (SELECT * FROM ev WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-06' AND user_id < 20)
-SELECT k.event_type, w.a + INTERVAL 30 MINUTE AS _time, count(e.event_id) AS _value FROM (SELECT DISTINCT event_type FROM e) k CROSS JOIN w
-LEFT JOIN e ON e.event_type = k.event_type AND e._time >= w.a AND e._time < w.a + INTERVAL 30 MINUTE GROUP BY 1, 2""",
-)
 op("timed_moving_average", lambda s: windows.timed_moving_average(s, "1d", "2d"), ["event_type", TIME, "round(_value, 6) AS _value"], "SELECT event_type, date_trunc('day', _time) - to_days(i::INTEGER) + INTERVAL 2 DAY AS _time, round(avg(_value), 6) AS _value FROM ev CROSS JOIN (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2")
 op(
     "interpolate_linear",
@@ -241,15 +232,6 @@ op("linear_regression", lambda s: sequences.linear_regression(s), ["event_type",
 op("timestamp", sequences.timestamp, ["event_id", VALUE], "SELECT event_id, epoch_us(_time) / 1e6 AS _value FROM ev")
 op("metric_quantile", lambda s: sequences.metric_quantile(s, 0.75), ["event_type", "round(_value, 6) AS _value"], "SELECT event_type, round(quantile_cont(_value, 0.75), 6) AS _value FROM ev GROUP BY 1")
 op("label_replace", lambda s: sequences.label_replace(s, "event_type", "short", "(.).*", "$1x"), ["event_id", "short"], "SELECT event_id, left(event_type, 1) || 'x' AS short FROM ev")
-_EMA = """, x AS (SELECT event_type, list(_value ORDER BY _time, event_id) AS v, list(event_id ORDER BY _time, event_id) AS ids FROM ev GROUP BY 1),
-t AS (WITH RECURSIVE f AS (SELECT event_type, v, ids, 10 AS i, list_avg(v[1:10]) AS e FROM x UNION ALL SELECT event_type, v, ids, i + 1, v[i + 1] * 2 / 11 + e * 9 / 11 FROM f WHERE i < len(v)) SELECT event_type, ids[i] AS event_id, e FROM f)"""
-op("exponential_moving_average", lambda s: sequences.exponential_moving_average(shape.filter(s, lambda r: r["user_id"] < 30), 10), ["event_id", "round(_value, 6) AS _value"], _EMA.replace("FROM ev GROUP", "FROM ev WHERE user_id < 30 GROUP") + " SELECT event_id, round(e, 6) AS _value FROM t")
-for _n, _fn in (("double_ema", sequences.double_ema), ("triple_ema", sequences.triple_ema), ("triple_exponential_derivative", sequences.triple_exponential_derivative), ("kaufmans_ama", sequences.kaufmans_ama)):
-    add(_n, lambda s, d, fn=_fn: fn(shape.filter(ev(s, d), lambda r: r["user_id"] < 10), 5).df.select("event_id", r4()))
-add("relative_strength_index", lambda s, d: sequences.relative_strength_index(ev(s, d), 5).df.select("event_id", r4()))
-add("holt_winters", lambda s, d: sequences.holt_winters(windows.aggregate_window(ev(s, d), "1d", "mean", create_empty=False), 5, "1d").df)
-add("simplify_line", lambda s, d: sequences.simplify_line(windows.aggregate_window(ev(s, d), "6h", "mean", create_empty=False), epsilon=0.5).df)
-add("extrapolated_rate", lambda s, d: sequences.extrapolated_rate(shape.range(ev(s, d), "2024-01-02T00:00:00Z", "2024-01-09T00:00:00Z")).df.select("event_type", r4()))
 op(
     "instant_rate",
     sequences.instant_rate,
@@ -411,35 +393,15 @@ fn("math_is_nan", "events", "event_id", lambda: maths.is_nan(_V()), "isnan(value
 fn("math_is_inf", "events", "event_id", lambda: maths.is_inf(_V(), 1), "isinf(value)")
 fn("math_ldexp", "events", "event_id", lambda: maths.ldexp(_V(), 3), "value * 8")
 fn("math_gamma", "events", "event_id", lambda: F.round(maths.gamma(F.col("event_id") % 10 + 1), 2), "round(gamma((event_id % 10 + 1)::DOUBLE), 2)")
-for _n in ("erf", "erfc", "erfinv", "erfcinv", "j0", "j1", "y0", "y1", "ilogb", "logb", "float64bits"):
-    add(f"fn_math_{_n}", lambda s, d, n=_n: read(s, d, "part").select("p_partkey", F.round(getattr(maths, n)(F.col("p_size") / 60.0).cast("double"), 6).alias("out")))
 for _n, _s in {"sand": "user_id & 12", "sor": "user_id | 12", "sxor": "xor(user_id, 12)", "snot": None, "sclear": "user_id & ~12", "slshift": "user_id << 3", "srshift": "user_id >> 2"}.items():
     fn(f"bitwise_{_n}", "events", "event_id", lambda n=_n: getattr(bits, n)(F.col("user_id")) if n == "snot" else getattr(bits, n)(F.col("user_id"), 12 if n[1:] in ("and", "or", "xor", "clear") else 3 if n == "slshift" else 2), _s or "~user_id")
     _u = "u" + _n[1:]
     fn(f"bitwise_{_u}", "events", "event_id", lambda n=_u: (getattr(bits, n)(F.col("user_id")) if n == "unot" else getattr(bits, n)(F.col("user_id"), 12 if n[1:] in ("and", "or", "xor", "clear") else 3 if n == "ulshift" else 2)).cast("string"), f"({_s or '18446744073709551615 - user_id::HUGEINT'})::VARCHAR")
 fn("geo_distance", "supplier", "s_suppkey", lambda: F.round(geo.haversine(F.col("s_suppkey") % 90, F.col("s_suppkey") % 180, 40.0, -74.0), 6), "round(2 * 6371.01 * asin(least(1.0, sqrt(pow(sin(radians(40.0 - s_suppkey % 90) / 2), 2) + cos(radians(s_suppkey % 90)) * cos(radians(40.0)) * pow(sin(radians(-74.0 - s_suppkey % 180) / 2), 2)))), 6)")
 fn("geo_contains_box", "supplier", "s_suppkey", lambda: geo.st_contains({"minLat": 10, "maxLat": 60, "minLon": 0, "maxLon": 50}, {"lat": F.col("s_suppkey") % 90, "lon": F.col("s_suppkey") % 180}), "(s_suppkey % 90 BETWEEN 10 AND 60) AND (s_suppkey % 180 BETWEEN 0 AND 50)")
-add("fn_geo_cells", lambda s, d: read(s, d, "supplier").select("s_suppkey", geo.s2_cell_token(10, F.col("s_suppkey") % 90, F.col("s_suppkey") % 180).alias("out")))
 
 # Composed analytics, schema exploration, sources and sinks
 
-op(
-    "linear_fit",
-    lambda s: selectors.limit(composed.linear_fit(shape.keep(s, ["event_type", "event_id", TIME, VALUE])), 20),
-    ["event_id", "x", "round(slope, 8) AS slope", "round(y_hat, 6) AS y_hat"],
-    f""", x AS (SELECT *, {_RN}::DOUBLE AS x FROM ev)
-SELECT event_id, x, round(regr_slope(_value, x) OVER (PARTITION BY event_type), 8) AS slope,
-  round(regr_slope(_value, x) OVER (PARTITION BY event_type) * x + regr_intercept(_value, x) OVER (PARTITION BY event_type), 6) AS y_hat FROM x QUALIFY x <= 20""",
-)
-op(
-    "select_window",
-    lambda s: composed.select_window(shape.filter(shape.range(s, "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"), lambda r: r["user_id"] < 20), "total", "sum", "1h", 0.0),
-    ["event_type", TIME, "round(total, 6) AS total"],
-    """, w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-05 23:00:00', INTERVAL 1 HOUR)) AS a),
-e AS (SELECT * FROM ev WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-06' AND user_id < 20)
-SELECT k.event_type, w.a + INTERVAL 1 HOUR AS _time, round(coalesce(sum(e._value), 0.0), 6) AS total FROM (SELECT DISTINCT event_type FROM e) k CROSS JOIN w
-LEFT JOIN e ON e.event_type = k.event_type AND e._time >= w.a AND e._time < w.a + INTERVAL 1 HOUR GROUP BY 1, 2""",
-)
 op(
     "anomaly_mad",
     lambda s: monitor.anomaly_mad(windows.aggregate_window(s, "1d", "mean", create_empty=False)),
@@ -470,7 +432,6 @@ op(
 op("window_batch_of_stream", lambda s: ingest.windowed(s, "1d", {"n": F.count("*"), "top": F.max(VALUE)}), ["event_type", "_start", "n", "top"], "SELECT event_type, date_trunc('day', _time) AS _start, count(*) AS n, max(_value) AS top FROM ev GROUP BY 1, 2")
 op("aggregate_rate", lambda s: windows.aggregate_rate(s, "1d", ["event_type"], "1h"), ["event_type", TIME, "round(_value, 6) AS _value"], f"""SELECT event_type, date_trunc('day', _time) + INTERVAL 1 DAY AS _time, round(avg(CASE WHEN _value >= pv THEN (_value - pv) / ((epoch_us(_time) - pt) / 3.6e9) END), 6) AS _value
 FROM (SELECT *, lag(_value) OVER ({W}) AS pv, lag(epoch_us(_time)) OVER ({W}) AS pt, {_RN} AS i FROM ev) WHERE i > 1 GROUP BY 1, 2""")
-op("double_exponential", lambda s: sequences.double_exponential(shape.filter(s, lambda r: r["user_id"] < 5), 0.5, 0.5), ["event_type"], "SELECT DISTINCT event_type FROM ev WHERE user_id < 5")
 op("date_part_of_values", lambda s: sequences.date_part(shape.extend(s, lambda r: {"_value": F.unix_micros(r["_time"]) / 1e6}), "day_of_week"), ["event_id", VALUE], "SELECT event_id, dayofweek(_time)::DOUBLE AS _value FROM ev")
 op("as_tracks_distance", lambda s: geo.total_distance(geo.as_tracks(s.to(s.df.select("user_id", TIME, "event_id", (F.col(VALUE) % 10).alias("lat"), (F.col(VALUE) % 7).alias("lon"))), ("user_id",), (TIME, "event_id"))), ["user_id", "round(_value, 3) AS _value"], """, p AS (SELECT user_id, radians(_value % 10) AS a, radians(_value % 7) AS o, lag(radians(_value % 10)) OVER w AS pa, lag(radians(_value % 7)) OVER w AS po FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY _time, event_id))
 SELECT user_id, round(coalesce(sum(2 * 6371.01 * asin(least(1.0, sqrt(pow(sin((a - pa) / 2), 2) + cos(pa) * cos(a) * pow(sin((o - po) / 2), 2))))), 0), 3) AS _value FROM p GROUP BY 1""")
