@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import re
+import sys
 import tempfile
 import uuid
 import zlib
@@ -17,6 +24,44 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Rows and bytes of one Arrow batch: texts may be long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
+#: Ids sent to every executor at most, to pick rows without moving all of them.
+PICKED = 1_000_000
+#: Allocations from this size on go back to the system as soon as they are freed
+#: (glibc's M_MMAP_THRESHOLD, whose number is -3).
+BIG, _MMAP_THRESHOLD = 4 << 20, -3
+
+_LIBC = None
+if sys.platform == "linux":
+    _LIBC = ctypes.CDLL(None)
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(_MMAP_THRESHOLD, BIG)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim() -> None:
+    """Give freed memory back: Spark keeps Python workers for later tasks, and
+    what one keeps is missing for the others of its executor."""
+    gc.collect()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow or applyInArrow that ends with ``trim``."""
+
+    def through(batches):
+        yield from run(batches)
+        trim()
+
+    @functools.wraps(run)
+    def whole(arg):
+        if not isinstance(arg, pa.Table):
+            return through(arg)
+        out = run(arg)
+        trim()
+        return out
+
+    return whole
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -31,16 +76,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one
-    is made only where the session names none, as in local tests."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one is
+    made only on a local master, where driver and executors are one process."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[[^,]*\])?$", sc.master or ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidemill-")
         sc.setCheckpointDir(where)
     return where
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    """Intermediate tables go when the application ends: until then a returned
+    DataFrame may read them."""
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _remove(spark, path)
+
+
+@contextlib.contextmanager
+def recorded():
+    """The tables that ``stored`` writes meanwhile, as a list that ``remove`` takes."""
+    n, out = len(_WRITTEN), []
+    yield out
+    out += _WRITTEN[n:]
+
+
+def remove(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete stored tables that nothing will read again."""
+    for t in tables:
+        if t in _WRITTEN:
+            _remove(*t)
+            _WRITTEN.remove(t)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -50,22 +129,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing will read again, and
-    let Spark's cleaner drop shuffle files no plan refers to."""
-    import gc
-
-    spark, top = df.sparkSession, shared_dir(df.sparkSession)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.startswith(top) or top.rsplit(":", 1)[-1].strip("/") in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    """Delete the files of a ``stored`` table that nothing will read again."""
+    _remove(df.sparkSession, df._stored_at)
 
 
 def stored_alone(df: DataFrame, name: str) -> DataFrame:
@@ -109,6 +183,19 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - offsets[0], words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
 
 
+def named(words: list[str], make, seen: dict, most: int = 100_000) -> list:
+    """``make`` of each word; up to ``most`` words are remembered in ``seen``."""
+    out = []
+    for w in words:
+        x = seen.get(w)
+        if x is None:
+            x = make(w)
+            if len(seen) < most:
+                seen[w] = x
+        out.append(x)
+    return out
+
+
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices start..start+len-1 of every run, one after another."""
     ends = np.cumsum(lens)
@@ -116,6 +203,24 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(total)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of integers, all lowest bytes first: the high ones compress to little."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def picked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of some ids. Up to PICKED ids are sent to the rows, which then
+    stay where they are; more meet them in an ordinary join."""
+    ids = ids.distinct()
+    few = ids.limit(PICKED + 1).count() <= PICKED
+    return rows.join(F.broadcast(ids) if few else ids, name, "left_semi")
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFrame:
     """Rows whose vector is non-null, non-empty, and finite in every component
     (and not all zero unless allowed), as columns ``vec_id`` and ``vec`` (doubles)."""
@@ -125,20 +230,42 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) ->
     return out if allow_zero else out.where(F.exists("vec", lambda x: x != 0))
 
 
+def asked_vectors(df: DataFrame) -> DataFrame:
+    """Query rows with a key of their vector: rows equal in id and vector are one
+    query, an id on unlike vectors is a query for each."""
+    return df.withColumn("vec_key", F.xxhash64("vec")).dropDuplicates(["vec_id", "vec_key"])
+
+
 def lanes(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def meet(rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+#: Queries of a tile, and how many a task keeps lists for before it gives them out.
+TILE, KEPT = 4096, 8192
+
+
+def meet(rows: DataFrame, queries: DataFrame, n_queries: int, n: int) -> DataFrame:
     """Bring each packed block of rows together with each packed query block.
 
-    Row blocks are dealt to ``n`` lanes; the (100 times fewer) query blocks are
-    copied to every lane, so no block is in one place only and no lane grows
-    with a key. An equi-join on the lane: rows never pair one by one in Spark.
+    Query blocks are dealt to tiles of about ``TILE`` queries, row blocks in turn
+    to lanes; a cell is a lane and a tile, and every block is copied to the cells
+    of its lane or tile. A task so holds the lists of few tiles however many
+    queries there are, and no cell grows with a key: an equi-join on the cell,
+    where rows never pair one by one in Spark.
     """
-    left = rows.withColumn("lane", F.pmod(F.xxhash64("r_ids"), F.lit(n)).cast("int"))
-    right = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.repartition(n, "lane").join(right.hint("shuffle_hash"), "lane")
+    tiles = max(1, -(-n_queries // TILE))
+    wide = max(1, n // tiles)
+    left = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    left = left.withColumn("cell", F.col("tile") * wide + F.pmod(F.col("r_no"), F.lit(wide))).drop("tile", "r_no")
+    right = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("lane"))
+    right = right.withColumn("cell", F.pmod(F.col("q_no"), F.lit(tiles)) * wide + F.col("lane")).drop("lane", "q_no")
+    return left.repartition(tiles * wide, "cell").join(right.hint("shuffle_hash"), "cell")
+
+
+def block_number(part: int, seq: int) -> int:
+    """Numbers that go through the lanes in turn: blocks of a partition one after
+    the other, partitions from different beginnings."""
+    return part + seq
 
 
 def top_smallest(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
