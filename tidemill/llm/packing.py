@@ -3,11 +3,13 @@
 The histogram (at most ``capacity`` numbers, whatever the input) goes to the
 driver. There the covering program over sequence configurations is solved by
 multiplicative weights: each round prices configurations with a knapsack
-dynamic program over the current weights, adds a step of the best one, and
-lowers the weights of the lengths it covers. Rounding takes whole multiples of
-the configurations; what they leave is packed best-fit decreasing. Pieces are then matched to places by
-their rank within their length, counted per partition, so that no length (one
-may hold a third of all pieces) has to meet in one task.
+dynamic program over the current worths, takes for each length that lags behind
+the best configuration that holds it, and lowers the worth of what is covered.
+The worths give a lower bound of the program (and of any packing). Rounding takes
+whole multiples of the configurations; what they leave is packed best-fit
+decreasing. Pieces are then matched to places by their rank within their length,
+counted per partition, so that no length (one may hold a third of all pieces)
+has to meet in one task.
 """
 
 from __future__ import annotations
@@ -20,52 +22,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, partition_id, stored, tune
+from .common import crc_ids, lean, partition_id, stored, tune
 from .tokens import encode_with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_no long"
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack pricing: the multiset of lengths of largest total value that
-    fits. ``value[l]`` is the worth of one piece of length l (0: not offered)."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, list[list[int]]]:
+    """Pricing: for every space up to ``capacity`` the largest total worth of
+    pieces that fit, any number of each, and these pieces (indices)."""
+    best, chosen = np.zeros(capacity + 1), [[]]
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        total = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        at = int(total.argmax())
-        if total[at] > best[c - 1] and value[at + 1] > 0:
-            best[c], choice[c] = total[at], at + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = Counter(), capacity
-    while c > 0:
-        if choice[c]:
-            out[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return dict(out)
-
-
-def solve_lp(hist: np.ndarray, capacity: int, rounds: int = 400, step: float = 0.8, eta: float = 3.0) -> Counter:
-    """Amounts of configurations, fractional, by multiplicative weights.
-
-    A length's weight falls exponentially with the share of its pieces already
-    covered, so pricing turns to what still lacks cover. Each round adds the
-    best configuration ``step`` times as often as its scarcest length allows.
+        best[c] = best[c - 1]
+        chosen.append(chosen[c - 1])
+        if fits[c]:
+            total = worth[: fits[c]] + best[c - lengths[: fits[c]]]
+            at = int(total.argmax())
+            if total[at] > best[c]:
+                best[c] = total[at]
+                chosen[c] = [at, *chosen[c - int(lengths[at])]]
+    return best, chosen
+
+
+def solve_lp(hist: np.ndarray, capacity: int, rounds: int = 60, eta: float = 1.0, width: float = 16.0, slack: float = 0.02) -> tuple[Counter, float]:
+    """The covering program by multiplicative weights: amounts of configurations
+    (fractions) that cover every length's pieces, and a lower bound of their sum.
+
+    After round t of T every length should have t/T of its pieces covered. A
+    length's worth is its share of the capacity times e to the power of ``eta``
+    times what it lags, so pricing turns to what lacks cover. Lengths whose best
+    configuration is worth ``1 - slack`` of the best of all get it, until they
+    are on time; none gets ahead by more than ``width`` rounds. What the rounds
+    leave uncovered is covered best-fit decreasing. By duality the pieces' worth
+    over the worth of the best configuration bounds every packing from below.
     """
-    need = hist.astype(float)
-    weight = np.where(need > 0, np.arange(capacity + 1, dtype=float), 0.0)  # at first a piece is worth its length
-    amounts: Counter = Counter()
-    for _ in range(rounds if need.any() else 0):
-        config = best_configuration(weight, capacity)
-        if not config:
-            break
-        ls, a = np.array(list(config)), np.array(list(config.values()), dtype=float)
-        x = step * (need[ls] / a).min()
-        amounts[tuple(sorted(config.items()))] += x
-        weight[ls] *= np.exp(-eta * x * a / need[ls])
-    return amounts
+    lengths = np.flatnonzero(hist[: capacity + 1])
+    need = hist[lengths].astype(float)
+    cover, amounts, bound = np.zeros(len(lengths)), Counter(), 0.0
+    for turn in range(1, rounds + 1) if len(lengths) else ():
+        worth = lengths / capacity * np.exp(eta * ((turn - 1) / rounds - cover))
+        best, chosen = knapsack(lengths, worth, capacity)
+        bound = max(bound, float(need @ worth / best[capacity]))
+        value = worth + best[capacity - lengths]
+        due = turn / rounds
+        for at in np.argsort(-value, kind="stable").tolist():
+            if value[at] < (1 - slack) * best[capacity]:
+                break
+            if cover[at] >= due:
+                continue
+            config = Counter([at, *chosen[capacity - int(lengths[at])]])
+            ks, times = np.array(list(config)), np.array(list(config.values()), dtype=float)
+            x = min((due - cover[at]) * need[at] / config[at], ((due + width / rounds - cover[ks]) * need[ks] / times).min())
+            if x > 0:
+                cover[ks] += x * times / need[ks]
+                amounts[tuple(sorted((int(lengths[k]), n) for k, n in config.items()))] += x
+    left, out = hist[: capacity + 1].astype(float), Counter()
+    for config, x in amounts.most_common():  # nothing is covered twice
+        x = min(x, *(left[l] / n for l, n in config))
+        if x > 0:
+            out[config] += x
+            for l, n in config:
+                left[l] -= n * x
+    out.update(best_fit(np.ceil(left - 1e-6).astype(np.int64), capacity))
+    return out, bound
 
 
 def best_fit(rest: np.ndarray, capacity: int) -> Counter:
@@ -113,27 +133,28 @@ def best_fit(rest: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def plan(hist: np.ndarray, capacity: int, few: int = 20_000) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Whole numbers of configurations that pack exactly the histogram.
 
     ``hist[l]`` is the number of pieces of length l, 0 < l <= capacity. The
-    program's amounts are rounded down, and what they leave (all of it, if there
-    are no more than ``few`` pieces, where whole multiples say little) is packed
-    best-fit decreasing.
+    program's amounts are rounded down and what they leave is packed best-fit
+    decreasing. If that takes more sequences than best-fit decreasing of all
+    pieces (rounding may cost one a length), the latter stands.
     """
     rest = hist.astype(np.int64).copy()
     out: Counter = Counter()
     if rest[capacity]:
         out[((capacity, 1),)] = int(rest[capacity])
         rest[capacity] = 0
-    if rest.sum() > few:
-        for config, x in solve_lp(rest, capacity).most_common():
-            times = min(int(x), *(int(rest[l]) // a for l, a in config))
-            if times > 0:
-                out[config] += times
-                for l, a in config:
-                    rest[l] -= times * a
-    out.update(best_fit(rest, capacity))
+    plain, rounded = best_fit(rest, capacity), Counter()
+    for config, x in solve_lp(rest, capacity)[0].most_common():
+        times = min(int(x + 1e-6), *(int(rest[l]) // a for l, a in config))
+        if times > 0:
+            rounded[config] += times
+            for l, a in config:
+                rest[l] -= times * a
+    rounded.update(best_fit(rest, capacity))
+    out.update(min(rounded, plain, key=lambda c: sum(c.values())))
     return list(out.items())
 
 
@@ -162,6 +183,7 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @lean
     def run(batches):
         part, count = partition_id(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -214,6 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         hist[r["length"]] = r["n"]
     where = spark.sparkContext.broadcast(slots(plan(hist, capacity), capacity))
 
+    @lean
     def placed(batches):
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
