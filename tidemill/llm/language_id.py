@@ -2,14 +2,18 @@
 
 A letter run with one boundary at each side is a word of the model; a gram is
 four 16-bit symbols in one 64-bit integer, so that contexts and suffixes are
-shifts and masks. All training documents are counted. Per language the model is
-a few sorted arrays (grams with their discounted probability, contexts with
-their back-off weight). The language of lowest cross-entropy per symbol wins; a
-text much less likely than the winner's own training text is marked rejected.
+shifts and masks. All training documents but a calibration share are counted,
+and all distinct grams are kept, so the model grows with the input (as distinct
+grams do: far slower than texts). Per language the model is a few sorted arrays
+(grams with their discounted probability, contexts with their back-off weight),
+made where its counts are. The language of lowest cross-entropy per symbol wins;
+a text less likely than all but a few of the language's own calibration texts,
+by a margin, is marked rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, tune
+from .common import chunks, lean, stored, tune
 
 ORDER = 4
-#: Distinct grams, over all languages, above which a shorter order is used: the
-#: bound of what is sent to the workers (about 12 bytes each).
-MOST_GRAMS = 6_000_000
-
+#: One training text of so many calibrates instead; the share of these that may be
+#: surprising beyond the limit, and how much wider the limit is drawn.
+CALIBRATE, BEYOND, WIDER = 20, 0.001, 1.5
 
 _LETTER: list[np.ndarray] = []
 
@@ -66,7 +69,8 @@ def grams_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class KneserNey:
     """For orders 1..n: sorted grams, their discounted probability, sorted
     contexts and their back-off weight; ``mean`` and ``sd`` of the training
-    text's surprisal per symbol."""
+    text's surprisal per symbol; ``spread`` of that of whole texts, and the
+    ``limit`` of what is no surprise, in such spreads."""
 
     grams: list[np.ndarray]
     probs: list[np.ndarray]
@@ -74,6 +78,13 @@ class KneserNey:
     weights: list[np.ndarray]
     mean: float = 0.0
     sd: float = 1.0
+    spread: float = 0.3
+    limit: float = 6.0
+
+    def surprise(self, surprisal, symbols):
+        """How far a text's mean surprisal is above the language's own, in
+        spreads of texts of that length (columns or arrays alike)."""
+        return (surprisal - self.mean) / (self.spread + self.sd / symbols**0.5)
 
     def log_prob(self, gram: np.ndarray) -> np.ndarray:
         """log p of the last symbol given those before it."""
@@ -105,9 +116,9 @@ def fit_kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int = ORDER) ->
         ctx, at = np.unique(g >> np.uint64(16), return_inverse=True)
         total, kinds = np.bincount(at, weights=c), np.bincount(at)
         model.grams.append(g)
-        model.probs.append(np.maximum(c - d, 0) / total[at])
+        model.probs.append((np.maximum(c - d, 0) / total[at]).astype(np.float32))
         model.contexts.append(ctx)
-        model.weights.append(d * kinds / total)
+        model.weights.append((d * kinds / total).astype(np.float32))
     s = -model.log_prob(top)
     model.mean = float((s * n).sum() / n.sum())
     model.sd = float(np.sqrt(((s - model.mean) ** 2 * n).sum() / n.sum()))
@@ -117,6 +128,7 @@ def fit_kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int = ORDER) ->
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows (text, lang), counted per batch first."""
 
+    @lean
     def run(batches):
         held: dict[str, list] = {}
 
@@ -147,40 +159,76 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _model_row(table: pa.Table) -> pa.Table:
+    """One language's model, as bytes."""
+    m = fit_kneser_ney(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
+    return pa.table({"lang": table.column("lang").slice(0, 1), "model": pa.array([pickle.dumps(m)], pa.binary())})
+
+
 def fit(docs: DataFrame) -> tuple[list[str], list[KneserNey]]:
-    """Models of every non-null lang of (text, lang) rows that has letters."""
-    counted = stored(count_grams(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())), "grams")
-    order, most = ORDER, counted.count()
-    while most > MOST_GRAMS and order > 1:
-        order -= 1
-        counted = counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        most = counted.count()
-    table = counted.toPandas()  # at most MOST_GRAMS rows
-    names, models = [], []
-    for name, part in sorted(table.groupby("lang"), key=lambda x: x[0]):
-        names.append(name)
-        models.append(fit_kneser_ney(part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(), order))
+    """Models of every non-null lang of (text, lang) rows that has letters.
+
+    Texts whose hash mod ``CALIBRATE`` is 0 are not counted but calibrate the
+    limit of rejection: the surprise that the share ``BEYOND`` of them exceeds,
+    ``WIDER`` times. Repeated rows count as often as they stand. Null texts and
+    langs teach nothing; without rows there is no model. The driver holds the
+    finished arrays only (about 16 bytes a distinct gram of a language).
+    """
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    taught = taught.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    held = F.pmod(F.xxhash64("text"), F.lit(CALIBRATE)) == 0
+    found = {}
+    for rows in (taught.where(~held), taught):  # few rows: all are counted
+        made = count_grams(rows).groupBy("lang").applyInArrow(lean(_model_row), "lang string, model binary").collect()
+        for r in made:
+            found.setdefault(r["lang"], pickle.loads(r["model"]))  # noqa: S301
+        if len(found) and taught.where(~held).select("lang").distinct().count() == taught.select("lang").distinct().count():
+            break
+    names = sorted(found)
+    models = [found[n] for n in names]
+    if names:
+        _calibrate(taught.where(held), names, models)
     return names, models
 
 
-def predict(docs: DataFrame, names: list[str], models: list[KneserNey], keep: Sequence[Column] = (), margin: float = 1.5, spread: float = 6.0) -> DataFrame:
-    """``keep`` columns and lang_pred, score, rejected for every row's ``text``.
+def _calibrate(held: DataFrame, names: list[str], models: list[KneserNey]) -> None:
+    """Set spread and limit of the models from texts they have not seen."""
+    scored = stored(predict(held, names, models, [F.col("lang")]).where("lang = lang_pred").select("lang", "surprisal", "symbols"), "calibration")
+    for r in scored.where("symbols >= 100").groupBy("lang").agg(F.stddev_samp("surprisal").alias("sd")).collect():
+        if r["sd"] == r["sd"] and r["sd"]:
+            models[names.index(r["lang"])].spread = max(r["sd"], 0.02)
+    by_lang = F.lit(None).cast("double")
+    for name, m in zip(names, models, strict=True):
+        by_lang = F.when(F.col("lang") == name, m.surprise(F.col("surprisal"), F.col("symbols"))).otherwise(by_lang)
+    limit = scored.agg(F.percentile_approx(by_lang, 1 - BEYOND, 100_000)).first()[0]
+    for m in models:
+        m.limit = max(WIDER * limit, 3.0) if limit is not None else m.limit
+
+
+def predict(docs: DataFrame, names: list[str], models: list[KneserNey], keep: Sequence[Column] = ()) -> DataFrame:
+    """``keep`` columns and lang_pred, score, rejected, surprisal, symbols for
+    every row's ``text``.
 
     ``und`` (score 0, rejected) if the text is null or has no letter, or if no
     language was learned. score is the winner's share of the likelihoods of a
-    text of at most 100 symbols, at this text's mean. rejected: the mean
-    surprisal exceeds the winner's training mean by more than ``margin`` nats and
-    ``spread`` standard errors. Ties go to the first name.
+    text of at most 100 symbols, at this text's mean. surprisal is the mean of
+    the winner over the text's symbols; rejected: it is beyond the winner's
+    calibrated limit. Ties go to the first name. Repeated rows are judged one by
+    one; an empty table gives no rows. ``keep`` may not bring a column of these
+    names.
     """
     spark = tune(docs.sparkSession)
     held = spark.sparkContext.broadcast((names, models))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    rows = docs.select(F.struct(F.lit(0).alias("any"), *keep).alias("kept"), F.col("text").cast("string").alias("text"))
+    shown = ["lang_pred", "score", "rejected", "surprisal", "symbols"]
+    kept = rows.select("kept.*").columns[1:]
+    if clash := set(shown) & set(kept):
+        raise ValueError(f"keep may not bring {sorted(clash)}")
 
+    @lean
     def run(batches):
         langs, found = held.value
         for b in batches:
-            out = {n: b.column(n) for n in b.schema.names if n != "text"}
             offsets, codes, words = chunks(b.column("text"))
             n_docs = b.num_rows
             gram, of, n_letters = grams_of(words)
@@ -195,14 +243,21 @@ def predict(docs: DataFrame, names: list[str], models: list[KneserNey], keep: Se
                 best = mean.argmin(0)
                 low = mean[best, np.arange(n_docs)]
                 share = 1 / np.exp(-(mean - low) * np.clip(symbols, 1, 100)).sum(0)
-                limit = np.array([m.mean for m in found])[best] + margin + spread * np.array([m.sd for m in found])[best] / np.sqrt(np.maximum(symbols, 1))
-                odd = low > limit
+                n = np.maximum(symbols, 1).astype(float)
+                odd = np.array([found[k].surprise(x, y) > found[k].limit for k, x, y in zip(best.tolist(), low.tolist(), n.tolist(), strict=True)], dtype=bool)
             else:
-                best, share, odd = np.zeros(n_docs, dtype=int), np.zeros(n_docs), np.ones(n_docs, dtype=bool)
+                best, share, odd, low = np.zeros(n_docs, dtype=int), np.zeros(n_docs), np.ones(n_docs, dtype=bool), np.zeros(n_docs)
                 has = has & False
-            out["lang_pred"] = pa.array([langs[k] if h else "und" for k, h in zip(best.tolist(), has.tolist(), strict=True)], pa.string())
-            out["score"] = pa.array(np.where(has, share, 0.0))
-            out["rejected"] = pa.array(odd | ~has)
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kept": b.column("kept"),
+                    "lang_pred": pa.array([langs[k] if h else "und" for k, h in zip(best.tolist(), has.tolist(), strict=True)], pa.string()),
+                    "score": pa.array(np.where(has, share, 0.0)),
+                    "rejected": pa.array(odd | ~has),
+                    "surprisal": pa.array(np.where(has, low, 0.0)),
+                    "symbols": pa.array(np.where(has, symbols, 0).astype(np.int64)),
+                }
+            )
 
-    return rows.mapInArrow(run, ", ".join(x for x in (schema, "lang_pred string, score double, rejected boolean") if x))
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double, rejected boolean, surprisal double, symbols long"
+    return rows.mapInArrow(run, schema).select(*(F.col(f"kept.`{c}`") for c in kept), *shown)
