@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lanes, meet, stored, top_smallest, tune, valid_vectors
+from .common import KEPT, asked_vectors, block_number, lanes, lean, meet, partition_id, stored, top_smallest, tune, valid_vectors
 
 #: Bound of the sample the codebooks are fitted on, and rows of a packed block.
 SAMPLE, BLOCK, QUERY_BLOCK = 10_000, 8192, 1024
@@ -89,42 +89,42 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def pack_vectors(df: DataFrame, prefix: str, block: int, encode=None, sort: bool = False) -> DataFrame:
-    """Rows (vec_id, vec) as blocks: ids, row bytes (vectors or, with ``encode``,
-    what it makes of them) and the number of rows."""
+def pack_vectors(df: DataFrame, prefix: str, block: int, encode=None) -> DataFrame:
+    """Rows (vec_id, vec and for queries vec_key) as blocks: ids (and keys), row
+    bytes (vectors or, with ``encode``, what it makes of them), a number."""
+    names = [c for c in ("vec_id", "vec_key") if c in df.columns]
 
+    @lean
     def run(batches):
-        ids, vecs, n = [], [], 0
+        part, seq, held, n = partition_id(), 0, [], 0
 
         def flush():
-            i, v = np.concatenate(ids), np.concatenate(vecs)
-            for at in range(0, len(i), block):
-                order = np.argsort(i[at : at + block], kind="stable")
-                a, b = i[at : at + block][order], v[at : at + block][order]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        f"{prefix}_ids": pa.array([a.astype("<i8").tobytes()], pa.binary()),
-                        f"{prefix}_data": pa.array([(encode(b) if encode else b.astype("<f8")).tobytes()], pa.binary()),
-                    }
-                )
+            nonlocal seq
+            *ids, v = (np.concatenate(c) for c in zip(*held))
+            for at in range(0, len(v), block):
+                seq += 1
+                cols = {f"{prefix}_{name.removeprefix('vec_')}s": pa.array([i[at : at + block].astype("<i8").tobytes()], pa.binary()) for name, i in zip(names, ids)}
+                some = v[at : at + block]
+                data = pa.array([(encode(some) if encode else some.astype("<f8")).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_pydict(cols | {f"{prefix}_data": data, f"{prefix}_no": pa.array([block_number(part, seq)], pa.int64())})
 
         for batch in batches:
             if batch.num_rows:
-                ids.append(batch.column("vec_id").to_numpy())
-                vecs.append(_matrix(batch.column("vec")))
+                held.append([*(batch.column(name).to_numpy() for name in names), _matrix(batch.column("vec"))])
                 n += batch.num_rows
                 if n >= block:
                     yield from flush()
-                    ids, vecs, n = [], [], 0
+                    held, n = [], 0
         if n:
             yield from flush()
 
-    return df.select("vec_id", "vec").mapInArrow(run, f"{prefix}_ids binary, {prefix}_data binary")
+    cols = ", ".join(f"{prefix}_{name.removeprefix('vec_')}s binary" for name in names)
+    return df.select(*names, "vec").mapInArrow(run, f"{cols}, {prefix}_data binary, {prefix}_no long")
 
 
 def merge_top(parts: DataFrame, k: int, order: list) -> DataFrame:
     """The best k rows of each query out of what the blocks kept."""
-    w = Window.partitionBy("query_id").orderBy(*order)
+    w = Window.partitionBy("query_id", "vec_key").orderBy(*order)
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -133,23 +133,32 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
 
     Distances are Euclidean on the original vectors in double precision; ties go
     to the smaller vec_id. Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do those whose dimension is not the
-    commonest one of the fitting sample. A repeated id is a row of its own. An
-    empty table gives no rows. The codebooks are fitted on at most ``SAMPLE``
-    rows, those of smallest id hash; every row is encoded and searched.
+    non-finite components take no part. A distance is defined between vectors of
+    one dimension: each dimension is a search of its own. Query rows equal in id
+    and vector are one query; an id on unlike vectors is a query for each, with
+    ranks of its own, and a row of any of its vectors is no candidate for it. A
+    repeated id among the candidates is a row each time. An empty table gives no
+    rows; other columns are ignored. The codebooks of a dimension are fitted on at
+    most ``SAMPLE`` of its rows, those of smallest id hash; every row is encoded
+    and searched.
     """
     spark = tune(vectors.sparkSession)
     rows = valid_vectors(vectors, id_col, vec_col, allow_zero=False)
-    asked = valid_vectors(queries, id_col, vec_col, allow_zero=False)
+    asked = asked_vectors(valid_vectors(queries, id_col, vec_col, allow_zero=False))
+    out = None
+    for r in asked.groupBy(F.size("vec").alias("dim")).count().sort("dim").collect():  # one row a dimension
+        same = F.size("vec") == r["dim"]
+        found = _search(rows.where(same), asked.where(same), r["count"], k, shortlist, books, words)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, asked: DataFrame, n_asked: int, k: int, shortlist: int, books: int, words: int) -> DataFrame:
+    spark = rows.sparkSession
     sample = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
-        return spark.createDataFrame([], schema)
-    dims = np.array([len(v) for v in sample])
-    dim = int(np.bincount(dims).argmax())
-    model = fit(np.array([v for v in sample if len(v) == dim]), books, words)
-    held = spark.sparkContext.broadcast(model.books)
-    rows, asked = rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    held = spark.sparkContext.broadcast(fit(np.array(sample), books, words).books)
     record = np.dtype([("code", "<u2", (books,)), ("norm", "<f4")])
 
     def encode(x: np.ndarray) -> np.ndarray:
@@ -159,37 +168,43 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
         out["code"], out["norm"] = codes, (m.decode(codes) ** 2).sum(1)
         return out
 
-    index = pack_vectors(rows, "r", BLOCK, encode)
-    blocks = pack_vectors(asked, "q", QUERY_BLOCK)
+    index, blocks = pack_vectors(rows, "r", BLOCK, encode), pack_vectors(asked, "q", QUERY_BLOCK)
 
+    @lean
     def score(batches):
         c, found = held.value, {}
+
+        def given():
+            for (query, key), (s, ids) in found.items():
+                same = lambda x: pa.array(np.full(len(s), x))  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"query_id": same(query), "vec_key": same(key), "vec_id": pa.array(ids), "approx": pa.array(s.astype(np.float64))})
+            found.clear()
+
         for batch in batches:
-            for q_ids, q_data, r_ids, r_data in zip(*(batch.column(n) for n in ("q_ids", "q_data", "r_ids", "r_data")), strict=True):
-                qi = np.frombuffer(q_ids.as_buffer(), "<i8")
+            for q_ids, q_keys, q_data, r_ids, r_data in zip(*(batch.column(n) for n in ("q_ids", "q_keys", "q_data", "r_ids", "r_data")), strict=True):
+                qi, qk, ri = (np.frombuffer(x.as_buffer(), "<i8") for x in (q_ids, q_keys, r_ids))
                 q = np.frombuffer(q_data.as_buffer(), "<f8").reshape(len(qi), -1).astype(np.float32)
-                ri, r = np.frombuffer(r_ids.as_buffer(), "<i8"), np.frombuffer(r_data.as_buffer(), record)
+                r = np.frombuffer(r_data.as_buffer(), record)
                 tables = (q @ c.reshape(-1, c.shape[2]).T).reshape(len(q), *c.shape[:2])
-                for n, (query, t) in enumerate(zip(qi.tolist(), tables, strict=True)):
+                for query, key, t in zip(qi.tolist(), qk.tolist(), tables, strict=True):
                     s = r["norm"] - 2 * sum(t[m][r["code"][:, m]] for m in range(len(c)))
                     s[ri == query] = np.inf
-                    old = found.get((query, n))
+                    old = found.get((query, key))
                     if old is not None:  # what this task has kept of the query so far
                         s, ids = np.concatenate([old[0], s]), np.concatenate([old[1], ri])
                     else:
                         ids = ri
                     at = top_smallest(s, ids, shortlist)
                     at = at[np.isfinite(s[at])]
-                    found[(query, n)] = (s[at], ids[at])
-        for (query, _), (s, ids) in found.items():
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": pa.array(np.full(len(s), query)), "vec_id": pa.array(ids), "approx": pa.array(s.astype(np.float64))}
-            )
-
-    near = meet(index, blocks, lanes(spark)).mapInArrow(score, "query_id long, vec_id long, approx double")
-    near = merge_top(near, shortlist, [F.col("approx"), F.col("vec_id")]).select("query_id", "vec_id").distinct()
+                    found[(query, key)] = (s[at], ids[at])
+                if len(found) > KEPT:
+                    yield from given()
+        yield from given()
+
+    near = meet(index, blocks, n_asked, lanes(spark)).mapInArrow(score, "query_id long, vec_key long, vec_id long, approx double")
+    near = merge_top(near, shortlist, [F.col("approx"), F.col("vec_id")]).select("query_id", "vec_key", "vec_id").distinct()
     near = stored(near, "ann-shortlist")
-    pairs = near.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+    pairs = near.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "vec_key", F.col("vec").alias("q")), ["query_id", "vec_key"])
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    out = merge_top(pairs.select("query_id", "vec_id", exact.alias("score")), k, [F.col("score"), F.col("vec_id")])
+    out = merge_top(pairs.select("query_id", "vec_key", "vec_id", exact.alias("score")), k, [F.col("score"), F.col("vec_id")])
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
