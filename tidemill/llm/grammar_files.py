@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, partition_id, stored, tune
+from .common import crc_ids, lean, partition_id, stored, tune
 from .tokens import encode_with_end
 
 HEAD = struct.Struct("<4sHHIIIIQQ")
@@ -149,6 +149,7 @@ class Shard:
 
 
 def _shards(path: str, end_id: int, base: int, shard_ids: int):
+    @lean
     def run(batches):
         part, shard, held, size = partition_id(), 0, [], 0
 
@@ -204,6 +205,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     whole order), n_tokens, ids_crc32. No shards give no rows."""
     tune(shards.sparkSession)
 
+    @lean
     def decode(batches):
         for b in batches:
             for part, shard, image in zip(b.column("part").to_pylist(), b.column("shard").to_pylist(), b.column("image"), strict=True):

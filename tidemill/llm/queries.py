@@ -98,14 +98,6 @@ _VECTORS = """
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
 ORACLE_SQL: dict[str, str] = {
-    # the exact answer, which the approximate search meets on tables this small
-    "op1_additive_ann": f"""
-WITH e AS ({_VECTORS}), z AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-        sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
-      FROM z q JOIN z c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_exact_topk": f"""
 WITH e AS (SELECT vec_id, list_transform(v, lambda x: floor(1024 * x)::BIGINT) AS w FROM ({_VECTORS})),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,

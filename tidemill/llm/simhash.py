@@ -17,13 +17,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, stored, tune
+from .common import chunks, forget, lanes, lean, named, picked, planes, stored, stored_alone, tune, unplanes
 
 #: Fingerprints of one cell that are compared in one go with as many others.
 BLOCK = 1024
+#: Characters of text whose prefix shingles make a bucket; rows gathered before they are dealt.
+BUCKET, GATHER = 64_000_000, 1_000_000
+#: One text of so many tells which shingles are frequent; how many of these are told.
+ONE_OF, FREQUENT = 4, 500_000
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, keep: bool = False) -> DataFrame:
@@ -34,6 +38,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool
     """
     tune(docs.sparkSession)
 
+    @lean
     def run(batches):
         from xxhash import xxh64_intdigest
 
@@ -106,6 +111,7 @@ def links(points: DataFrame, bits: int = 3, groups: int = 6) -> DataFrame:
     the links within ``bits`` connect. ``points``: fp, distinct."""
     masks = cell_masks(groups, bits)
 
+    @lean
     def cells(batches):
         salt = [np.uint64((i * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)) for i in range(len(masks))]
         for b in batches:
@@ -138,6 +144,7 @@ def links(points: DataFrame, bits: int = 3, groups: int = 6) -> DataFrame:
         F.collect_list(F.when(F.col("mine") != F.col("x"), F.col("fp"))).alias("b"),
     )
 
+    @lean
     def compare(batches):
         for batch in batches:
             src, dst = [], []
@@ -200,85 +207,42 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def nearest_links(points: DataFrame, bits: int = 8, groups: int = 10, block: int = 4096) -> DataFrame:
-    """(src, dst): of each point (fp, rep, key) the nearest one of smaller rep
-    within ``bits``, per grid cell: at most one link a point, cell and block."""
-    masks = cell_masks(groups, bits)
-
-    def cells(batches):
-        salt = [np.uint64((i * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)) for i in range(len(masks))]
-        for b in batches:
-            counts = segment_counts(b.column("fp").to_numpy().view(np.uint64))
-            for m, s in zip(masks, salt, strict=True):
-                k = (counts & np.uint64(m)) * np.uint64(0xBF58476D1CE4E5B9) + s
-                k = (k ^ (k >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(k.view(np.int64)), **{n: b.column(n) for n in ("fp", "rep", "key")}})
-
-    celled = stored(points.select("fp", "rep", "key").mapInArrow(cells, "cell long, fp long, rep long, key long"), "cells")
-    many = celled.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = celled.join(many, "cell").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("x"), F.greatest(o, "mine").alias("y")))
-    point = F.struct("fp", "rep", "key")
-    rows = rows.select("cell", point.alias("p"), "mine", F.explode(pairs).alias("pair"))
-    packed = rows.groupBy("cell", "pair.x", "pair.y").agg(F.collect_list("p").alias("p"))
-
-    def compare(batches):
-        for batch in batches:
-            src, dst = [], []
-            for p in batch.column("p"):
-                fp, rep, key = (p.values.field(i).to_numpy() for i in range(3))
-                order = np.argsort(rep, kind="stable")
-                fp, key = fp[order].view(np.uint64), key[order]
-                coarse = np.bitwise_count(fp).astype(np.int16)
-                for lo in range(1, len(fp), 256):
-                    hi = min(lo + 256, len(fp))
-                    # Manhattan distance of the whole counts first, then the bits
-                    away = np.bitwise_count(fp[lo:hi, None] ^ fp[None, :hi])
-                    away = np.where(np.abs(coarse[lo:hi, None] - coarse[None, :hi]) <= bits, away, 64)
-                    away[np.arange(lo, hi)[:, None] <= np.arange(hi)[None, :]] = 64
-                    near = away.argmin(1)
-                    ok = np.flatnonzero(away[np.arange(hi - lo), near] <= bits)
-                    src.append(key[lo + ok])
-                    dst.append(key[near[ok]])
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"src": cat(src), "dst": cat(dst)})
-
-    return packed.mapInArrow(compare, "src long, dst long").distinct()
-
-
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose texts (key, text) have word shingles of at
     least this Jaccard similarity; two texts without words are alike."""
 
+    @lean
     def run(batches):
         def shingles(text: str) -> set:
             w = text.encode().lower().split()
             return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
 
         for b in batches:
-            ok = []
+            ok, prior, t = [], None, set()
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                s, t = shingles(x or ""), shingles(y or "")
-                both = len(s & t)
+                s, t = shingles(x or ""), t if y == prior else shingles(y or "")
+                prior, both = y, len(s & t)
                 ok.append(both >= similarity * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("src", "dst")}).filter(pa.array(ok, pa.bool_()))
 
-    named = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
-    held = texts.join(named, "key", "left_semi").dropDuplicates(["key"])
+    named = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key")))
+    held = stored(picked(texts.select("key", "text"), named, "key").dropDuplicates(["key"]), "texts")
     both = pairs.join(held.select(F.col("key").alias("src"), F.col("text").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("text").alias("b")), "dst")
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
-    """Distinct shingles of every text as ``similar`` sees them, in hashed form:
-    (key, doc_id, shingles) with the shingles sorted by hash."""
+    """(key, shingles): the distinct shingles of every text as ``similar`` sees
+    them, in hashed form and sorted by hash."""
 
+    @lean
     def run(batches):
         from xxhash import xxh64_intdigest
 
+        seen: dict[str, int] = {}
         for b in batches:
-            offsets, codes, names = chunks(pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text"))))
-            h = np.array([xxh64_intdigest(w) for w in names], dtype=np.uint64)[codes]
+            offsets, codes, words_ = chunks(pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text"))))
+            h = np.array(named(words_, xxh64_intdigest, seen), dtype=np.uint64)[codes]
             out = []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 n = max(1, hi - lo - words + 1)
@@ -290,51 +254,135 @@ def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
                 out.append(np.unique(k ^ (k >> np.uint64(29))).view(np.int64))
             ends = np.cumsum([0, *map(len, out)])
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "doc_id": b.column("doc_id"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+
+    return texts.select("key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, shingles array<long>")
+
+
+def _by_bucket(flat: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Hashes by bucket: their order, buckets, low 40 bits, and the runs of a bucket."""
+    of = ((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(of, kind="stable")
+    of, raw = of[order], flat[order].view(np.uint8).reshape(-1, 8)[:, :5]
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    return order, of, raw, list(zip(cuts[:-1], cuts[1:]))
+
+
+def _hashes(table: pa.Table) -> np.ndarray:
+    raw = np.frombuffer(b"".join(table.column("shingle").to_pylist()), dtype=np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
 
-    return texts.select("key", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, doc_id long, shingles array<long>")
 
+def frequent(texts: DataFrame, words: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (40 bits of the) shingles that stand in three or more of every
+    ``ONE_OF``-th text, and in how many; the ``FREQUENT`` most frequent of them."""
 
-def prefixes(texts: DataFrame, words: int, similarity: float, sample: int = 20_000) -> DataFrame:
-    """(shingle, key, doc_id, n, pos): the first shingles of every text, so many
-    that two texts of the similarity must share one (the prefix filter, exact).
+    @lean
+    def run(batches):
+        parts, total = [], 0
+
+        def deal():
+            _, of, raw, cuts = _by_bucket(np.concatenate(parts), buckets)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(of[[a for a, _ in cuts]].astype(np.int32)), "shingle": pa.array([raw[a:b].tobytes() for a, b in cuts], pa.binary())})
 
-    That holds for any order all texts share. Here shingles frequent in about
-    ``sample`` texts come last, so that common lines head few texts; the sample
-    moves the cost, never the result.
+        for b in batches:
+            parts.append(b.column("shingles").flatten().to_numpy().view(np.uint64))
+            total += len(parts[-1])
+            if total >= GATHER:
+                yield deal()
+                parts, total = [], 0
+        if total:
+            yield deal()
+
+    @lean
+    def count(table: pa.Table) -> pa.Table:
+        flat, n = np.unique(_hashes(table), return_counts=True)
+        kept = n > 2
+        return pa.table({"shingle": pa.array(flat[kept].view(np.int64)), "n": pa.array(n[kept])})
+
+    some = shingle_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(ONE_OF)) == 0), words)
+    counted = some.mapInArrow(run, "bucket int, shingle binary").groupBy("bucket").applyInArrow(count, "shingle long, n long")
+    often = stored_alone(counted, "frequent").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().groupby("shingle")["n"].max()
+    return often.index.to_numpy(np.int64), often.to_numpy(np.int64)
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(shingle, key, n, pos, texts): the first shingles of every text, so many that
+    two texts of the similarity must share one (the prefix filter, exact), as far
+    as more than one text has them, and how many texts have them.
+
+    That holds for any order all texts share. Here ``frequent`` shingles come
+    last, so that common lines head few texts; which ones are known to be frequent
+    moves the cost, never the result. Rows travel once, packed by a hash of the
+    shingle (40 bits: unlike shingles that meet are told apart by ``similar``).
     """
     whole = shingle_rows(texts, words)
-    share = max(1, texts.count() // sample)
-    some = shingle_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), words)
-    often = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 3").orderBy(F.desc("count")).limit(500_000).toPandas().sort_values("shingle")
-    held = texts.sparkSession.sparkContext.broadcast((often["shingle"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
-
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    buckets = int(chars // BUCKET) + lanes(texts.sparkSession)
+    held = texts.sparkSession.sparkContext.broadcast(frequent(texts, words, buckets))
+
+    def deal(parts):
+        flat, key, n, pos = (np.concatenate(c) for c in zip(*parts))
+        order, of, raw, cuts = _by_bucket(flat, buckets)
+        column = lambda x: pa.array([planes(x[a:b]) for a, b in cuts], pa.binary())
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array(of[[a for a, _ in cuts]].astype(np.int32)),
+                "shingle": pa.array([raw[a:b].tobytes() for a, b in cuts], pa.binary()),
+                "key": column(key[order]), "n": column(n[order]), "pos": column(pos[order]),
+            }
+        )
+
+    @lean
     def run(batches):
         common, times = held.value
+        parts, total = [], 0
         for b in batches:
             lists = b.column("shingles")
             size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             flat, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
             count = np.zeros(len(flat), dtype=np.int64)
             if len(common):
-                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                count = np.where(common[at] == flat, times[at], 0)
+                low = flat & ((1 << 40) - 1)
+                at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+                count = np.where(common[at] == low, times[at], 0)
             order = np.lexsort((flat, count, doc))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
             kept = np.flatnonzero(pos < first[doc])
-            take = pa.array(doc[kept])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shingle": pa.array(flat[order][kept]),
-                    "key": b.column("key").take(take),
-                    "doc_id": b.column("doc_id").take(take),
-                    "n": pa.array(size[doc[kept]].astype(np.int32)),
-                    "pos": pa.array(pos[kept].astype(np.int32)),
-                }
-            )
-
-    return whole.mapInArrow(run, "shingle long, key long, doc_id long, n int, pos int")
+            of = doc[kept]
+            parts.append((flat[order][kept].view(np.uint64), b.column("key").to_numpy()[of], size[of].astype(np.int32), pos[kept].astype(np.int32)))
+            total += len(kept)
+            if total >= GATHER:
+                yield deal(parts)
+                parts, total = [], 0
+        if total:
+            yield deal(parts)
+
+    @lean
+    def shared(table: pa.Table) -> pa.Table:
+        """Rows whose shingle stands in two different texts or more."""
+        flat = _hashes(table)
+        order = np.argsort(flat)
+        flat = flat[order]
+        same = flat[1:] == flat[:-1]
+        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        order, flat = order[kept], flat[kept]
+        key, n, pos = (np.concatenate([unplanes(x, t) for x in table.column(c).to_pylist()])[order] for c, t in (("key", "<i8"), ("n", "<i4"), ("pos", "<i4")))
+        order = np.lexsort((key, flat))
+        flat, key, n, pos = flat[order], key[order], n[order], pos[order]
+        new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (key[1:] != key[:-1])])[: len(flat)]  # equal texts are one
+        flat, key, n, pos = flat[new], key[new], n[new], pos[new]
+        same = flat[1:] == flat[:-1]
+        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(flat) else new
+        flat, key, n, pos = flat[kept], key[kept], n[kept], pos[kept]
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        return pa.table({"shingle": pa.array(flat.view(np.int64)), "key": pa.array(key), "n": pa.array(n), "pos": pa.array(pos), "texts": pa.array(times[at])})
+
+    packed = whole.mapInArrow(run, "bucket int, shingle binary, key binary, n binary, pos binary")
+    return packed.groupBy("bucket").applyInArrow(shared, "shingle long, key long, n int, pos int, texts long")
 
 
 def overlap_possible(similarity: float, n, pos, m, at, least):
@@ -354,6 +402,7 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float, block:
     rows = rows.select("shingle", F.struct("key", "root", "n", "pos").alias("p"), F.explode(both).alias("pair"))
     packed = rows.groupBy("shingle", "pair.x", "pair.y").agg(F.collect_list("p").alias("p"))
 
+    @lean
     def compare(batches):
         for batch in batches:
             for p in batch.column("p"):
@@ -369,37 +418,53 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float, block:
     return packed.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
     """The documents without their copies: of each group, whole, the row of
-    smallest doc_id (one of them, if that id repeats).
+    smallest doc_id (of rows with that id the text of smallest hash).
 
-    Documents with equal texts are one vertex. Two link if their word shingles
-    have the Jaccard similarity. First tried are the nearest fingerprint of the
+    Documents with equal texts are one vertex, whatever their ids; an id on
+    unlike texts is a document for each. Two link if their word shingles have
+    the Jaccard similarity. First tried are the links of the fingerprints of the
     *set* of words within ``bits`` bits (few changed words leave most of the set
-    alone) and the first document with the same prefix shingle; then every pair
-    the prefix filter leaves between the groups so far, so that no link is lost.
-    Rows without a doc_id can't be told apart and stay.
+    alone) and one document with the same prefix shingles; then every pair the
+    prefix filter leaves between the groups so far, so that no link is lost.
+    Null, empty and wordless texts are copies of each other. Rows without a
+    doc_id can't be told apart and stay. An empty table gives no rows; other
+    columns stay as they are.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit(""))))
-    prints = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), 1, repeats=False, keep=True)
-    prints = stored(prints.select("doc_id.doc_id", "doc_id.key", "fp"), "fingerprints")
-    points = stored(prints.where("doc_id is not null").groupBy("key", "fp").agg(F.min("doc_id").alias("rep")), "points")
-    texts = docs.where("doc_id is not null").select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(prefixes(texts, words, similarity), "prefixes")
-    head = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "key", "n", "pos")).alias("head"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("shingle", "head")
-    shared = stored(rows.join(head, "shingle"), "shared")
-    forget(rows)
+    named = docs.where(F.col("doc_id").isNotNull())
+    prints = fingerprints(named.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).alias("doc_id"), "text"), 1, repeats=False, keep=True)
+    rows = stored(prints.select("doc_id.doc_id", "doc_id.key", "fp"), "fingerprints")
+    points = stored(rows.groupBy("key", "fp").agg(F.min("doc_id").alias("rep")), "points")
+    texts = named.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    shared = stored_alone(prefixes(texts, words, similarity), "shared")
+    # Of a large group the text whose shingles most others have is likely similar
+    # to all of them: it heads its shingles, and each text tries its commonest head.
+    known = shared.groupBy("key").agg(F.sum("texts").alias("known"))
+    head = shared.join(known, "key").groupBy("shingle").agg(F.max_by(F.struct("key", "n", "pos"), F.struct("known", "key")).alias("head"))
     possible = overlap_possible(similarity, F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), F.least)
-    star = shared.where(possible & (F.col("key") != F.col("head.key"))).select(F.greatest("key", "head.key").alias("src"), F.least("key", "head.key").alias("dst"))
-    near = nearest_links(points, bits).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    pairs = stored(near.unionByName(star).distinct(), "candidates")
+    star = shared.join(head, "shingle").where(possible & (F.col("key") != F.col("head.key"))).groupBy("key", F.col("head.key").alias("head")).agg(F.count("*").alias("n"))
+    star = star.groupBy("key").agg(F.max_by("head", F.struct("n", "head")).alias("head")).select(F.greatest("key", "head").alias("src"), F.least("key", "head").alias("dst"))
+    first = stored(points.groupBy("fp").agg(F.min("key").alias("key")), "first")
+    alike = points.join(first.withColumnRenamed("key", "least"), "fp").where("key <> least").select(F.col("key").alias("src"), F.col("least").alias("dst"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("key").alias(f"{end}_key"))
+    near = links(first, bits).join(of("src"), "src").join(of("dst"), "dst").select(F.greatest("src_key", "dst_key").alias("src"), F.least("src_key", "dst_key").alias("dst"))
+    pairs = stored(near.unionByName(alike).unionByName(star).distinct(), "candidates")
     linked = stored(similar(pairs, texts, words, similarity), "linked")
     rest = stored(prefix_pairs(shared, components(linked), similarity), "candidates")
     forget(shared)
-    root = components(linked.unionByName(similar(rest, texts, words, similarity)))
-    member = points.join(root, points["key"] == root["vertex"], "left").select("rep", F.coalesce("root", "key").alias("root"))
-    found = member.groupBy("root").agg(F.min("rep").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.select("*", F.row_number().over(w).alias("_row_no")).where("_row_no = 1").drop("_row_no")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    if not rest.isEmpty():
+        linked = linked.unionByName(similar(rest, texts, words, similarity))
+    root = components(linked)
+    member = points.join(root, points["key"] == root["vertex"], "left").select("rep", "key", F.coalesce("root", "key").alias("root"))
+    found = stored(member.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("of")).select(F.col("of.rep").alias("rep"), F.col("of.key").alias("least")), "found")
+    names = list(docs.columns)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    who, where = F.col(f"c{names.index('doc_id')}"), F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
+    mine = F.xxhash64(where, F.length(where))
+    kept = inner.join(found, (who.cast("long") == F.col("rep")) & (mine == F.col("least")), "left_semi")
+    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():  # rows alike in id and text: one stays
+        every = [F.col(c) for c in inner.columns]
+        kept = kept.groupBy(who.cast("long").alias("id"), mine.alias("hash")).agg(F.first(F.struct(*every)).alias("row")).select("row.*")
+    return kept.unionByName(inner.where(who.isNull())).toDF(*names)
