@@ -1,9 +1,11 @@
 """The training-data operators against brute force on small tables."""
 
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,63 @@ def test_ann_recall_and_ties(spark, vectors):
     assert additive_ann.search(vectors.limit(0), vectors.limit(0), "vec_id", "embedding").count() == 0
 
 
+def odd_vectors(spark):
+    """Repeated ids, dimensions, nulls inside, huge components, clashing columns."""
+    rows = [(0, [1.0, 2.0, 3e6]), (0, [1.0, 2.0, 3e6]), (0, [9.0, 0.0, 1.0]), (1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (2, [5.0, 5.0, 5.0]), (3, [1.0, None, 2.0]), (4, [1.0, 2.0]), (100, [2.0, 2.0]), (5, None), (None, [1.0, 2.0, 3.0])]
+    return spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, vec_key int, score int")
+
+
+def test_exact_topk_of_repeated_ids(spark):
+    df = odd_vectors(spark)
+    out = exact_topk.search(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding").collect()
+    w = lambda v: [int(np.floor(1024 * x)) for x in v]
+    rows = [(i, w(v)) for i, v in [(0, [1.0, 2.0, 3e6]), (0, [1.0, 2.0, 3e6]), (0, [9.0, 0.0, 1.0]), (1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (2, [5.0, 5.0, 5.0]), (4, [1.0, 2.0]), (100, [2.0, 2.0])]]
+    want = []
+    for i, v in [rows[0], rows[2], rows[7]]:
+        best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in rows if j != i)
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(best[:10], 1)]
+    assert sorted(tuple(r) for r in out) == sorted(want)
+    assert max(r["score"] for r in out) > 2**42
+    assert exact_topk.search(df.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_ann_of_repeated_ids_and_dimensions(spark):
+    df = odd_vectors(spark)
+    out = sorted(tuple(r) for r in additive_ann.search(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding").collect())
+    rows = [(0, [1.0, 2.0, 3e6]), (0, [9.0, 0.0, 1.0]), (1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (2, [5.0, 5.0, 5.0]), (4, [1.0, 2.0]), (100, [2.0, 2.0])]
+    want = []
+    for i, v in [rows[0], rows[1], rows[6]]:
+        best = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, u)))), j) for j, u in rows if j != i and len(u) == len(v))
+        want += [(i, n, j, s) for n, (s, j) in enumerate(best, 1)]
+    assert [(a, b, c) for a, b, c, _ in out] == [(a, b, c) for a, b, c, _ in sorted(want)]
+    assert [s for *_, s in out] == pytest.approx([s for *_, s in sorted(want)])
+
+
+def test_query_tiles_give_the_same(spark, vectors, monkeypatch):
+    from tidemill.llm import common
+
+    every = vectors.where("vec_id % 7 = 0")
+    want = sorted(tuple(r) for r in exact_topk.search(vectors, every, "vec_id", "embedding").collect())
+    monkeypatch.setattr(common, "TILE", 16)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 8)
+    assert sorted(tuple(r) for r in exact_topk.search(vectors, every, "vec_id", "embedding").collect()) == want
+
+
+def test_ann_recall_where_the_shortlist_is_small(spark):
+    """50,000 rows around 2,000 centres: 256 of them, half a per cent, are reranked."""
+    rng = np.random.default_rng(11)
+    n, d = 50_000, 32
+    v = (rng.normal(size=(2000, d))[rng.integers(0, 2000, n)] + 0.35 * rng.normal(size=(n, d))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), d).cast(pa.list_(pa.float32()))}))
+    out = additive_ann.search(df, df.where("vec_id % 500 = 0"), "vec_id", "embedding").toPandas()
+    hits = 0
+    for q in range(0, n, 500):
+        away = ((v.astype(float) - v[q].astype(float)) ** 2).sum(1)
+        away[q] = np.inf
+        hits += len(set(np.argsort(away, kind="stable")[:10]) & set(out[out["query_id"] == q]["vec_id"]))
+    assert hits >= 0.9 * 10 * 100
+
+
 # 2
 
 
@@ -99,29 +158,147 @@ def test_url_model_tells_apart(spark):
     assert (out[600], out[601]) == ("allow", "block")
 
 
+def brute_witten_bell(urls):
+    """log p of every symbol by dictionaries of strings."""
+    from collections import Counter
+
+    count, n = url_filter.ORDER, [Counter() for _ in range(url_filter.ORDER)]
+    seqs = [[0] * (count - 1) + [b + 1 for b in u.encode()] + [0] for u in urls]
+    for s in seqs:
+        for i in range(count - 1, len(s)):
+            for k in range(count):
+                n[k][tuple(s[i - k : i + 1])] += 1
+
+    def p(ctx, x):
+        if ctx is None:
+            return 1 / url_filter.A
+        mine = {g: c for g, c in n[len(ctx)].items() if g[:-1] == ctx}
+        lower = p(ctx[1:] if ctx else None, x)
+        total, kinds = sum(mine.values()), len(mine)
+        return (mine.get((*ctx, x), 0) + kinds * lower) / (total + kinds) if total else lower
+
+    def score(u):
+        s = [0] * (count - 1) + [b + 1 for b in u.encode()] + [0]
+        return [np.log(p(tuple(s[i - count + 1 : i]), s[i])) for i in range(count - 1, len(s))]
+
+    return score
+
+
+def fitted(urls):
+    gram, *_ = url_filter.grams_of(pa.array(urls))
+    return url_filter.fit_witten_bell(*np.unique(gram, return_counts=True))
+
+
+def test_url_ratio_against_brute_force():
+    good, bad = ["http://a.org/fr/x", "http://b.org/fr/yé", "x"], ["http://c.net/zz", "http://d.net/q?1"]
+    asked = [*good, *bad, "http://a.net/fr", "", None, "ünknown☃"]
+    one, two = brute_witten_bell(good), brute_witten_bell(bad)
+    want = [np.mean(one(u or "")) - np.mean(two(u or "")) for u in asked]
+    assert url_filter.ratio_of(pa.array(asked, pa.string()), fitted(good), fitted(bad)) == pytest.approx(want)
+
+
 def test_markov_probabilities_sum_to_one():
-    counts = np.zeros(url_filter.A**url_filter.ORDER)
-    counts[np.random.default_rng(0).integers(0, len(counts), 5000)] = 3
-    assert np.exp(url_filter.log_probabilities(counts)).reshape(-1, url_filter.A).sum(1) == pytest.approx(1.0)
+    m = fitted(["http://a.org/x", "http://a.com/y", "häh"])
+    for ctx in list(m.contexts[-1][:20]) + [np.uint64(7 << 9 | 3)]:
+        p = np.exp(m.log_prob((ctx << np.uint64(url_filter.BITS)) | np.arange(url_filter.A, dtype=np.uint64))).sum()
+        assert p == pytest.approx(1.0)
+
+
+def test_url_verdicts_are_the_models(spark):
+    """Verdicts of URLs without a rule follow the brute ratio and one threshold."""
+    r = random.Random(4)
+    rows = [(i, f"https://s{r.randrange(9)}.org/fr/p{r.randrange(99)}" if i % 2 else f"https://w{r.randrange(9)}.net/c{r.randrange(99)}") for i in range(60)]
+    rows += [(100 + i, f"https://z{i}.io/{'fr/p' if i % 2 else 'c'}{i}") for i in range(20)] + [(200, None), (200, "x" * 20_000), (201, "no scheme")]
+    pages = spark.createDataFrame([(*x, "c", 0.0) for x in rows], "page_id long, url string, rule string, score double")
+    out = url_filter.judge(pages, queries.URL_RULES).collect()
+    assert len(out) == len(rows)
+    taught = [(u, i % 2) for i, u in rows[:60] if zlib.crc32(str(i).encode()) % 5]
+    one, two = (fitted([u for u, k in taught if k == g]) for g in (1, 0))
+    by_id = {r["page_id"]: r for r in out if r["page_id"] < 200}
+    want = url_filter.ratio_of(pa.array([u for i, u in rows[:80]]), one, two)
+    assert [by_id[i]["score"] for i, _ in rows[:80]] == pytest.approx(want.tolist())
+    free = [r for r in out if r["rule"] is None]
+    assert min([r["score"] for r in free if r["verdict"] == "allow"], default=9) >= max([r["score"] for r in free if r["verdict"] == "block"], default=-9)
+    assert url_filter.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
 # 3 and 6
 
 
+def packed(plan, hist, capacity):
+    """Number of sequences, after checking that the plan holds exactly the pieces."""
+    done = np.zeros(len(hist), dtype=int)
+    for config, times in plan:
+        assert times > 0 and sum(l * a for l, a in config) <= capacity
+        for l, a in config:
+            done[l] += a * times
+    assert (done == hist).all()
+    return sum(times for _, times in plan)
+
+
 def test_plan_packs_exactly():
     r = np.random.default_rng(5)
-    for n, few in ((50, 20_000), (3000, 0)):
+    for n in (50, 3000):
         hist = np.bincount(r.integers(1, 101, n), minlength=101)
-        done, total = np.zeros(101, dtype=int), 0
-        for config, times in packing.plan(hist, 100, few):
-            assert times > 0 and sum(l * a for l, a in config) <= 100
-            total += times
-            for l, a in config:
-                done[l] += a * times
-        assert (done == hist).all()
+        total = packed(packing.plan(hist, 100), hist, 100)
         assert total <= 1.05 * -(-(hist * np.arange(101)).sum() // 100) + 1
 
 
+def test_program_beats_best_fit_where_that_is_far_off():
+    hist = np.zeros(101, dtype=int)
+    hist[[51, 27, 26, 23]] = [60, 60, 60, 120]
+    amounts, bound = packing.solve_lp(hist, 100)
+    assert bound == pytest.approx(90) and sum(amounts.values()) == pytest.approx(90)
+    assert packed(packing.plan(hist, 100), hist, 100) == 90 and sum(packing.best_fit(hist, 100).values()) == 110
+
+
+@pytest.mark.parametrize("low,high,n,gap", [(1, 2048, 20_000, 1.01), (300, 1000, 5000, 1.03), (700, 1400, 30_000, 1.02), (900, 1100, 300, 1.1)])
+def test_program_covers_and_its_bound_holds(low, high, n, gap):
+    hist = np.bincount(np.random.default_rng(low).integers(low, high, n), minlength=2049)
+    amounts, bound = packing.solve_lp(hist, 2048)
+    cover = np.zeros(2049)
+    for config, x in amounts.items():
+        assert x > 0 and sum(l * a for l, a in config) <= 2048
+        for l, a in config:
+            cover[l] += a * x
+    assert (cover >= hist - 1e-6).all()
+    total = packed(packing.plan(hist, 2048), hist, 2048)
+    assert (hist * np.arange(2049)).sum() / 2048 <= bound + 1e-6 and bound <= sum(amounts.values()) + 1e-6
+    assert total >= bound - 1e-6 and total <= gap * bound + 1
+
+
+def fewest(pieces, capacity):
+    """Exhaustive: the least number of sequences."""
+    best = len(pieces)
+
+    def put(i, spaces):
+        nonlocal best
+        if len(spaces) >= best and i < len(pieces):
+            return
+        if i == len(pieces):
+            best = min(best, len(spaces))
+            return
+        for j in {s: j for j, s in enumerate(spaces) if s >= pieces[i]}.values():
+            put(i + 1, [*spaces[:j], spaces[j] - pieces[i], *spaces[j + 1 :]])
+        put(i + 1, [*spaces, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plan_against_exhaustive_packing():
+    r = random.Random(8)
+    off = 0
+    for _ in range(40):
+        pieces = sorted((r.randrange(2, 14) for _ in range(r.randrange(4, 10))), reverse=True)
+        hist = np.bincount(pieces, minlength=21)
+        total, best = packed(packing.plan(hist, 20), hist, 20), fewest(pieces, 20)
+        assert best >= packing.solve_lp(hist, 20)[1] - 1e-9
+        off += total - best
+        assert total <= best + 1
+    assert off <= 4
+
+
 def check_packed(rows, docs, capacity):
     for doc, piece, start, length, crc, *_ in rows:
         pass
@@ -221,6 +398,51 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_of_repeated_ids_and_clashing_names(spark):
+    """An id on unlike texts: each is a document of its own; rows alike are one."""
+    shared = words(1, 70)
+    rows = [(1, words(2, 100) + " " + shared), (1, words(3, 90)), (5, words(4, 30) + " " + shared), (5, shared + " " + words(6, 20)), (5, words(7, 60)), (5, words(7, 60)), (None, shared), (9, None)]
+    df = spark.createDataFrame([(*r, 0, "x", None) for r in rows], "doc_id long, text string, _row_no int, _spans string, spans string")
+    found = {(r["doc_id"], r["start"], r["end"], r["source_id"]) for r in passages.repeated_passages(df).collect()}
+    assert found == {(5, 30, 100, 1), (5, 0, 70, 1)}
+    out = passages.cut_passages(df, passages.repeated_passages(df))
+    assert out.columns == df.columns and out.count() == len(rows)
+    texts = sorted((r["text"] for r in out.where("doc_id = 5").collect()), key=len)
+    assert sorted(map(str.split, texts)) == sorted([words(4, 30).split(), words(6, 20).split(), words(7, 60).split(), words(7, 60).split()])
+    assert out.where("doc_id IS NULL").first()["text"] == shared
+
+
+def test_passages_of_a_very_long_text(spark):
+    long = " ".join(zipf(random.Random(5), 60_000))
+    part = long.split()[30_000:30_200]
+    df = spark.createDataFrame([(1, long), (2, " ".join(zipf(random.Random(6), 40) + part)), (3, long)], "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["end"]) for r in passages.repeated_passages(df).collect()}
+    assert found == {(2, 40, 240), (3, 0, 60_000)}
+
+
+def test_exact_passage_known_only_in_parts(spark):
+    """All seeds of the passage stand in other documents, none of which has 12 of
+    its words: found, since every word is known."""
+    r = random.Random(9)
+    passage = zipf(r, 60)
+    rows = [(i, " ".join(zipf(r, 20) + passage[i : i + 9] + zipf(r, 20))) for i in range(0, 52, 3)]
+    rows += [(100, " ".join(zipf(r, 20) + passage + zipf(r, 20)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    (row,) = passages.repeated_passages(df).collect()
+    assert (row["doc_id"], row["start"], row["end"]) == (100, 20, 80)
+
+
+def test_long_gaps_are_aligned_by_words():
+    r = random.Random(2)
+    for _ in range(50):
+        a, b = (np.array([r.randrange(6) for _ in range(r.randrange(1, 90))]) for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i, j] = best[i - 1, j - 1] + 1 if x == y else max(best[i - 1, j], best[i, j - 1])
+        assert passages._lcs(a, b) == best[-1, -1]
+
+
 def test_repeated_word_run(spark):
     df = spark.createDataFrame([(1, words(1, 30) + " the" * 100), (2, words(2, 30) + " the" * 80)], "doc_id long, text string")
     (row,) = passages.repeated_passages(df).collect()
@@ -257,15 +479,39 @@ def test_pieces_equal_the_library(spark, odd):
     assert back == {(i, t or "") for i, t in text}
 
 
-def test_native_lattice(spark):
+def test_lattice_of_words_equals_the_library(spark):
+    """Every distinct word of the documents, and odd ones, folded in Spark."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    ws = {pieces.SPACE + w for t in texts for w in (t or "").split(" ") if w and pieces.SPACE not in w}
+    ws |= {pieces.SPACE + w for w in "theory Éauouon hello xyzzy Straße 漢字 supercalifragilistic aaaaaaaaaaaa ababababab \x01 ☃☃".split()}
+    ws |= {pieces.SPACE + "theory" * 30, pieces.SPACE * 7 + "x", pieces.SPACE + "z" * 61, pieces.SPACE + "z" * 62}
+    out = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*sorted(ws), "", None]], "word string"), PIECE).collect()}
+    assert set(out) == ws
+    bad = [w for w in ws if out[w] != lib.encode(w[1:] if w[1:2] != pieces.SPACE else w[1:].replace(pieces.SPACE, " "))]
+    assert not bad
+
+
+def test_pieces_by_chunks_are_the_same(spark, odd, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 500)
+    rows = lambda told: sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in pieces.encode_documents(odd, PIECE, told).collect())
+    assert rows(0) == rows(10**6)
+    assert pieces.encode_documents(empty(spark), PIECE).count() == 0 == pieces.encode_documents(empty(spark), PIECE, -1).count()
+
+
+def test_piece_query(spark, data):
     import sentencepiece
 
-    lib, m = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.model(PIECE)
-    ws = [pieces.SPACE + w for w in "theory Éauouon hello xyzzy Straße 漢字 supercalifragilistic".split()]
-    for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*ws, "", None]], "word string"), PIECE).collect():
-        got = [y for x in r["ids"] for y in ([x] if x >= 0 else m.spell(chr(-1 - x)))]
-        assert got == lib.encode(r["word"][1:])
-    assert np.frombuffer(m.fold_long("▁" + "theory" * 30), "<i4").tolist() == lib.encode("theory" * 30)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    out = queries.op5_piece_lattice(spark, data).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        ids = lib.encode(texts[r["doc_id"]] or "")
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        assert r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode())
 
 
 # 7 and 10
@@ -294,12 +540,63 @@ def test_toxicity(spark, odd):
     assert len(some) == 10 and some["score"].between(0, 1).all() and (some["predicted"] == 0).all()
 
 
-def test_grammar_composition():
+def test_grammar_of_clauses():
     g = toxicity.Grammar({"moron": 1.0})
-    read = lambda t: g.read(__import__("pyarrow").array([t]))[0].tolist()
-    plain, target, no, said = read("such moron talk"), read("you moron"), read("you are not a moron"), read("he wrote moron again")
-    assert target[0] > plain[0] > no[0] and no[3] > 0 and said[4] > 0
-    assert read("kill you")[5] == 0 and read("you I will kill")[5] > 0 and read("nothing here") == [0.0] * 6
+    read = lambda t: g.read(pa.array([t]))[0].tolist()
+    plain, target, after, no, said = (read(t) for t in ("such moron talk", "you moron", "moron that you are", "you are not a moron", "he wrote moron again"))
+    assert target[0] == after[0] > plain[0] > no[0] and no[3] > 0 and said[4] > 0
+    assert read("kill you")[5] > 0 and read("you I will kill")[5] > 0 and read("kill time")[5] == 0 == read("never kill you")[5]
+    assert read("better watch your back")[5] > 0 and read("watch your step, back")[5] == 0 and read("nothing here") == [0.0] * 6
+    # a conjunction or a full stop ends what is quoted, denied or aimed
+    assert read("he said it is fine but you moron")[0] == target[0] and read("he said. moron")[4] == 0
+    assert read("not. a moron")[3] == 0 and read("you. moron")[0] == plain[0]
+
+
+def test_composed_machines_do_what_one_after_the_other_does():
+    t = toxicity
+    stages = [t.phrase_machine([[t._PHRASED[w] for w in p.split()] for p in t.PHRASES], t._KIND_OF), t.NEGATED, t.AIMING, t.REPORTED]
+    some = [t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT, t.MODAL, *(t._PHRASED[w] for w in "watch your back".split())]
+    sequences = list(itertools.product(some, repeat=4)) + [tuple(random.Random(i).choice(some) for _ in range(12)) for i in range(500)]
+    for x in sequences:
+        want = list(x)
+        for m in stages:
+            want = m.run(want)
+        assert t.clause_machine().run(x) == want
+
+
+def test_the_grammar_adds_to_the_lexicon(spark):
+    """Insults aimed at someone are toxic here, denied and quoted ones are not."""
+    r, rows, labels = random.Random(6), [], []
+    for i in range(600):
+        kind = i % 3
+        aimed, denied, quoted = ["you {}", "they are {}", "{} that you are"], ["this is not {}", "never a {}"], ["as the critic wrote {}", "he claimed {}"]
+        line = r.choice([aimed, denied, quoted][kind]).format(r.choice(["moronic", "scumbag", "lowlife"]))
+        every = [x.format("table") for x in aimed + denied + quoted]  # so no other word tells anything
+        rows.append((i, ". ".join([words(i, 20), line, *every, words(i + 1000, 20)])))
+        labels.append((i, int(kind == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    right = {}
+    for name, machine in (("grammar", None), ("lexicon", toxicity.LEXICON_ALONE)):
+        g = toxicity.fit(docs, marks, odds=0.5, machine=machine)
+        g.lexicon = {w: 1.0 for w in g.lexicon if w in ("moronic", "scumbag", "lowlife")}
+        g = toxicity.fit_map(docs, marks, g)
+        out = toxicity.predict(docs.where(crc_fold(F.col("doc_id")) == 2), g, [F.col("doc_id")]).toPandas()
+        toxic, found = out["doc_id"] % 3 == 0, out["predicted"] == 1
+        right[name] = (found[toxic].mean() + 1 - found[~toxic].mean()) / 2
+    assert right["grammar"] > 0.95 and right["lexicon"] < 0.7
+
+
+def test_toxicity_of_empty_tables_and_repeated_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    g = toxicity.fit(empty(spark), none)
+    twice = spark.createDataFrame([(1, "you moron", "a"), (1, "you moron", "a"), (None, "x " * 50_000, None)], "doc_id long, text string, _text string")
+    out = toxicity.predict(twice, g, [F.col("doc_id"), F.col("_text")])
+    assert out.columns == ["doc_id", "_text", "score", "predicted"] and out.count() == 3
+    assert toxicity.predict(empty(spark), g, [F.col("doc_id")]).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.predict(twice, g, [F.col("text").alias("score")])
+    g2 = toxicity.fit(twice, spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id long, toxic int"))
+    assert np.isfinite(g2.weights).all()
 
 
 def test_language(spark, odd):
@@ -317,6 +614,54 @@ def test_language(spark, odd):
     some = {r["doc_id"]: r for r in language_id.predict(odd.where("doc_id < 3"), names, models, [F.col("doc_id"), F.col("piece")]).collect()}
     assert all(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in some.values())
     assert language_id.predict(odd, [], [], [F.col("doc_id")]).where("lang_pred <> 'und'").count() == 0
+    far = spark.createDataFrame([(1, "xqzj wvkk zzqx jjxw qqvz xkcd " * 20), (1, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
+    assert sorted(r["rejected"] for r in language_id.predict(far, names, models).collect()) == [False, False, True]
+    assert language_id.fit(empty(spark))[0] == [] and language_id.predict(empty(spark), names, models).count() == 0
+
+
+def brute_kneser_ney(words):
+    """p of a symbol after a context, from dictionaries of tuples."""
+    from collections import Counter
+
+    n = language_id.ORDER
+    top = Counter()
+    for w in words:
+        s = [0, *(ord(c) for c in w), 0]
+        for i in range(1, len(s)):
+            inner = s[max(1, i - n + 1) : i + 1] if i - n + 1 >= 1 else s[1 : i + 1]
+            top[tuple([0] * (n - len(inner)) + inner)] += 1
+    levels = {n: top}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discount = {}
+    for k, c in levels.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(k, g):
+        if k == 0:
+            return 1e-5
+        c, g = levels[k], g[-k:]
+        mine = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        lower = p(k - 1, g)
+        if not mine:
+            return lower
+        total = sum(mine.values())
+        return max(c[g] - discount[k], 0) / total * (g in c) + discount[k] * len(mine) / total * lower
+
+    return lambda g: p(n, g)
+
+
+def test_kneser_ney_against_brute_force():
+    words_ = ["banana", "bandana", "ananas", "cabana", "nab"]
+    gram, of, count = language_id.grams_of(words_)
+    key, n = np.unique(gram, return_counts=True)
+    m = language_id.fit_kneser_ney(key, n)
+    p = brute_kneser_ney(words_)
+    asked = np.unique(np.concatenate([key, language_id.grams_of(["zebra", "bananas"])[0]]))
+    split = lambda g: tuple(int(g) >> 16 * i & 0xFFFF for i in (3, 2, 1, 0))
+    assert np.exp(m.log_prob(asked)) == pytest.approx([p(split(g)) for g in asked], rel=1e-5)
+    assert count.tolist() == [len(w) for w in words_]
 
 
 def test_kneser_ney_keeps_its_mass():
