@@ -6,9 +6,6 @@ as Parquet and read again as the next one's documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay only where they come first."""
-    return passages.cut_passages(docs, passages.repeated_passages(docs))
+    with recorded() as written:
+        found = stored(passages.repeated_passages(docs), "passages")
+    remove(written[:-1])  # only the passages are read again
+    return passages.cut_passages(docs, found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,33 +51,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary(WORD_BPE))
 
 
-def _tidy(at: int, fn: Callable) -> Callable:
-    """A stage that first deletes the intermediate tables of the stage before:
-    what that stage returned has been written and read again by then."""
-
-    @wraps(fn)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(_LEFT.pop(at - 1, []))
-        with recorded() as mine:
-            out = fn(spark, docs, sf_dir)
-        _LEFT[at] = mine
-        return out
-
-    return stage
-
-
-_LEFT: dict[int, list] = {}
 STAGES = [
-    (name, _tidy(i, fn))
-    for i, (name, fn) in enumerate(
-        [
-            ("toxicity", drop_toxic),
-            ("language_id", keep_languages),
-            ("simhash_near_dedup", drop_near_copies),
-            ("substring_dedup", cut_repeats),
-            ("best_fit_packing", pack),
-        ]
-    )
+    ("toxicity", drop_toxic),
+    ("language_id", keep_languages),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("best_fit_packing", pack),
 ]
 
 #: No stage but the last could be said in SQL; tests hold each against brute force.

@@ -44,6 +44,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
@@ -377,9 +379,9 @@ def _viewed(s, d, name="tm_nation"):
     return name
 
 
-add("iox_from", lambda s, d: tables.measurement(s, _viewed(s, d)).df.select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation")
-add("iox_sql", lambda s, d: tables.from_query(s, f"SELECT n_regionkey, count(*) AS n FROM {_viewed(s, d)} GROUP BY 1").df, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
-add("iox_sql_interval", lambda s, d: s.sql(f"SELECT TIMESTAMP '2024-01-31 00:00:00' + {tables.sql_interval('1mo')} AS a, TIMESTAMP '2024-01-31 00:00:00' + {tables.sql_interval('90m')} AS b"), "SELECT TIMESTAMP '2024-02-29' AS a, TIMESTAMP '2024-01-31 01:30:00' AS b")
+add("measurement_from", lambda s, d: tables.measurement(s, _viewed(s, d)).df.select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation")
+add("query_from", lambda s, d: tables.from_query(s, f"SELECT n_regionkey, count(*) AS n FROM {_viewed(s, d)} GROUP BY 1").df, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+add("sql_interval", lambda s, d: s.sql(f"SELECT TIMESTAMP '2024-01-31 00:00:00' + {tables.sql_interval('1mo')} AS a, TIMESTAMP '2024-01-31 00:00:00' + {tables.sql_interval('90m')} AS b"), "SELECT TIMESTAMP '2024-02-29' AS a, TIMESTAMP '2024-01-31 01:30:00' AS b")
 add("bigtable_from", lambda s, d: tables.from_connector(s, "parquet", path=f"{d}/region.parquet").df.select("r_regionkey", "r_name"), "SELECT r_regionkey, r_name FROM region")
 add("array_from", lambda s, d: tables.from_rows(s, [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]).df, "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) v(a, b)")
 add("csv_from_raw", lambda s, d: tables.from_csv(s, "a,b\n1,x\n2,\n", mode="raw").df, "SELECT * FROM (VALUES ('1', 'x'), ('2', '')) v(a, b)")
@@ -662,12 +664,12 @@ def _runs(s) -> TableStream:
 
 one("tasks_last_success", lambda s: {"out": F.lit(monitor.task_last_success(_runs(s), "2020-01-01T00:00:00Z").isoformat()), "none": F.lit(monitor.task_last_success(_runs(s).pipe(lambda x: x.to(x.df.limit(0))), "2020-01-01T00:00:00Z").isoformat())}, "'2024-01-02T00:00:00' AS out, '2020-01-01T00:00:00' AS none")
 one("tasks_zero_time", lambda s: {"out": F.lit(monitor.ZERO_TIME.isoformat())}, "'1970-01-01T00:00:00' AS out")
-add("tickscript_alert", lambda s, d: composed.alert(ev(s, d), composed.define_check("id1", "name1"), crit=lambda r: r["_value"] > 20, warn=lambda r: r["_value"] > 10, topic="t").df.groupBy("_level", "_message", "id", "_topic").agg(F.count("*").alias("n")), f"SELECT {_LEVEL} AS _level, 'name1 is: ' || {_LEVEL} AS _message, 'id1' AS id, 't' AS _topic, count(*) AS n FROM events GROUP BY 1, 2")
-one("tickscript_define_check", lambda s: {k: F.lit(v) for k, v in composed.define_check("a", "b", "custom").items() if k != "tags"}, "'a' AS check_id, 'b' AS check_name, 'custom' AS type")
-op("tickscript_select", lambda s: composed.select(s, "v"), ["event_id", "v"], "SELECT event_id, _value AS v FROM ev")
-op("tickscript_select_fn", lambda s: composed.select(s, "total", fn=aggregates.sum), ["event_type", "round(total, 4) AS total"], "SELECT event_type, round(sum(_value), 4) AS total FROM ev GROUP BY 1")
-op("tickscript_compute", lambda s: composed.compute(s, "top", fn=selectors.max), ["event_type", "top"], "SELECT event_type, max(_value) AS top FROM ev GROUP BY 1")
-op("tickscript_group_by", lambda s: aggregates.count(composed.group_by(s.to(s.df.withColumn("_measurement", F.lit("m"))), ["user_id"])), ["_measurement", "user_id", VALUE], "SELECT 'm' AS _measurement, user_id, count(*) AS _value FROM ev GROUP BY 2")
+add("alert", lambda s, d: composed.alert(ev(s, d), composed.define_check("id1", "name1"), crit=lambda r: r["_value"] > 20, warn=lambda r: r["_value"] > 10, topic="t").df.groupBy("_level", "_message", "id", "_topic").agg(F.count("*").alias("n")), f"SELECT {_LEVEL} AS _level, 'name1 is: ' || {_LEVEL} AS _message, 'id1' AS id, 't' AS _topic, count(*) AS n FROM events GROUP BY 1, 2")
+one("alert_define_check", lambda s: {k: F.lit(v) for k, v in composed.define_check("a", "b", "custom").items() if k != "tags"}, "'a' AS check_id, 'b' AS check_name, 'custom' AS type")
+op("alert_select", lambda s: composed.select(s, "v"), ["event_id", "v"], "SELECT event_id, _value AS v FROM ev")
+op("alert_select_fn", lambda s: composed.select(s, "total", fn=aggregates.sum), ["event_type", "round(total, 4) AS total"], "SELECT event_type, round(sum(_value), 4) AS total FROM ev GROUP BY 1")
+op("alert_compute", lambda s: composed.compute(s, "top", fn=selectors.max), ["event_type", "top"], "SELECT event_type, max(_value) AS top FROM ev GROUP BY 1")
+op("alert_group_by", lambda s: aggregates.count(composed.group_by(s.to(s.df.withColumn("_measurement", F.lit("m"))), ["user_id"])), ["_measurement", "user_id", VALUE], "SELECT 'm' AS _measurement, user_id, count(*) AS _value FROM ev GROUP BY 2")
 
 
 def _sides(s, d):
@@ -675,8 +677,8 @@ def _sides(s, d):
     return {"a": shape.keep(day("count"), [TIME, VALUE]), "b": shape.keep(day("max"), [TIME, VALUE])}
 
 
-add("tickscript_join", lambda s, d: composed.join_streams(_sides(s, d), measurement="j").df.select(TIME, "_measurement", "_value_a", "_value_b"), "SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS _time, 'j' AS _measurement, count(*) AS _value_a, max(value) AS _value_b FROM events GROUP BY 1")
-add("tickscript_deadman", at_now(lambda s, d: composed.dead_or_alive(ev(s, d).pipe(lambda e: e.to(e.df.withColumn("_measurement", F.lit("m")))), composed.define_check("i", "n"), "gone").df.select("_level", "_message")), "SELECT 'crit' AS _level, 'Deadman Check: n is: dead' AS _message")
+add("alert_join", lambda s, d: composed.join_streams(_sides(s, d), measurement="j").df.select(TIME, "_measurement", "_value_a", "_value_b"), "SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS _time, 'j' AS _measurement, count(*) AS _value_a, max(value) AS _value_b FROM events GROUP BY 1")
+add("alert_deadman", at_now(lambda s, d: composed.dead_or_alive(ev(s, d).pipe(lambda e: e.to(e.df.withColumn("_measurement", F.lit("m")))), composed.define_check("i", "n"), "gone").df.select("_level", "_message")), "SELECT 'crit' AS _level, 'Deadman Check: n is: dead' AS _message")
 _NB = [("a", "x", True)] * 3 + [("a", "y", True)] + [("b", "x", True)] + [("b", "y", True)] * 3 + [(None, "x", False), (None, "y", False)]
 add("naive_bayes", lambda s, d: monitor.naive_bayes(table(rows(s, "c string, f string, train boolean", *_NB)), "c", "f", F.col("train")).df, "SELECT * FROM (VALUES ('x', 'a', 0.75::DOUBLE), ('x', 'b', 0.25), ('y', 'a', 0.25), ('y', 'b', 0.75)) v(f, c, probability)")
 _H = lambda h: datetime(2024, 1, 1, h)
@@ -744,7 +746,7 @@ one("debug_feature", lambda s: {"known": engine.feature(s, "spark.sql.adaptive.e
 one("debug_null", lambda s: {"out": engine.null("long")}, "NULL::BIGINT AS out")
 add("debug_vectorize", lambda s, d: engine.vectorize(ev(s, d), lambda r: {"twice": r["_value"] * 2}).df.select("event_id", "twice"), "SELECT event_id, value * 2 AS twice FROM events")
 one("boolean_constants", lambda s: {"yes": engine.TRUE, "no": engine.FALSE}, "true AS yes, false AS no")
-one("influxql_times", lambda s: {"epoch": F.lit(engine.EPOCH.isoformat()), "first": F.lit(engine.MIN_TIME.isoformat()), "last": F.lit(engine.MAX_TIME.isoformat())}, "'1970-01-01T00:00:00' AS epoch, '1677-09-21T00:12:43.145224' AS first, '2262-04-11T23:47:16.854775' AS last")
+one("epoch_times", lambda s: {"epoch": F.lit(engine.EPOCH.isoformat()), "first": F.lit(engine.MIN_TIME.isoformat()), "last": F.lit(engine.MAX_TIME.isoformat())}, "'1970-01-01T00:00:00' AS epoch, '1677-09-21T00:12:43.145224' AS first, '2262-04-11T23:47:16.854775' AS last")
 one("location_location", lambda s: {"out": dates.location("Europe/Paris"), "bad": _says(lambda: dates.location("No/Where")) != "ok"}, "'Europe/Paris' AS out, true AS bad")
 
 # Plans: what the optimizer does with them

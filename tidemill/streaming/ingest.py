@@ -146,29 +146,6 @@ def narrow(trigger: Trigger, arrivals) -> dict[str, bool]:
     return out
 
 
-def gated(trigger: Trigger, give):
-    """A ``foreachBatch`` function that gives what came since the trigger last
-    fired; until then batches are held by the executors."""
-    import time
-
-    state, waiting = {}, []
-
-    def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        n = df.count()
-        waiting.append(df)
-        if trigger.fired(state, time.time(), n, number):
-            whole = waiting[0]
-            for x in waiting[1:]:
-                whole = whole.unionByName(x)
-            give(whole, number)
-            for x in waiting:
-                x.unpersist()
-            waiting.clear()
-
-    return batch
-
-
 @dataclass
 class Task:
     """A query that runs every so often: ``next_run`` after a time, and ``run``,
