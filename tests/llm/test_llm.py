@@ -749,6 +749,34 @@ def test_near_copies_scattered_appended_and_cut(spark):
     assert {x["doc_id"] for x in simhash.one_of_each(df).collect()} == near_copy_groups(texts)
 
 
+def test_one_of_each_with_repeated_ids_and_clashing_names(spark):
+    """Unlike texts of one id are documents; rows alike are one; copies go."""
+    t = [words(i, 60) for i in range(4)]
+    rows = [(1, t[0]), (1, t[1]), (2, t[2]), (2, t[2]), (3, t[0]), (4, None), (5, ""), (None, t[0]), (None, t[3])]
+    df = spark.createDataFrame([(*r, 0, 0.5, "k") for r in rows], "doc_id long, text string, _row_no int, rep double, key string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, t[0]), (1, t[1]), (2, t[2]), (4, None), (None, t[0]), (None, t[3])], key=repr)
+
+
+def test_prefixes_keep_every_similar_pair(spark, monkeypatch):
+    """Whatever is known to be frequent, similar texts share a first shingle."""
+    r = random.Random(12)
+    lines = [words(900 + i, 12) for i in range(6)]
+    texts = [" ".join([words(i, r.randrange(20, 80)), *r.sample(lines, 3)]) for i in range(60)]
+    texts += [t + " " + words(5000 + i, 4) for i, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = {(a, b) for a in range(80) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for one_of in (1, 4):
+        monkeypatch.setattr(simhash, "ONE_OF", one_of)
+        heads = {}
+        for x in simhash.prefixes(df, 5, 0.8).collect():
+            heads.setdefault(x["shingle"], set()).add(x["key"])
+        assert len(similar) >= 15 and all(any({a, b} <= h for h in heads.values()) for a, b in similar)
+
+
 def test_links_lose_nothing_in_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     r = random.Random(8)
@@ -782,6 +810,45 @@ def test_pipeline_runs(spark, data):
         assert stage(spark, docs, data).columns == docs.columns, name
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage on a fixture whose answer is known; null, empty, equal rows and
+    clashing columns go through all of them."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    base = [" ".join(zipf(random.Random(i), 120)) for i in range(60)]
+    passage = " ".join(zipf(random.Random(99), 80))
+    rows, labels = [], []
+    for i, t in enumerate(base):
+        bad = i % 6 == 0
+        rows.append((i, f"you scumbag lowlife moronic {t} you scumbag" if bad else t))
+        labels.append((i, int(bad)))
+    rows += [(100, base[1]), (101, base[2] + " tail words here"), (102, " ".join(zipf(random.Random(700), 60)) + " " + passage), (103, passage + " " + " ".join(zipf(random.Random(800), 60)))]
+    rows += [(104, None), (105, ""), (106, "123 456"), (107, base[3]), (107, base[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0, "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, spans string")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(i, 1, k) for i, k in labels], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    clean = stage["toxicity"](spark, docs, folder)
+    assert clean.columns == docs.columns and ids(clean) == sorted(i for i, _ in rows if i % 6 or i >= 100)
+    spoken = stage["language_id"](spark, clean, folder)
+    assert ids(spoken) == [i for i in ids(clean) if i not in (104, 105, 106)]
+    single = stage["simhash_near_dedup"](spark, spoken, folder)
+    texts = {i: t for i, t in rows if i in ids(spoken)}
+    order = sorted(texts)
+    assert ids(single) == [order[k] for k in sorted(near_copy_groups([texts[i] for i in order]))] and 107 not in ids(single)
+    cut = stage["substring_dedup"](spark, single, folder)
+    assert ids(cut) == ids(single)
+    by_id = {r["doc_id"]: r for r in cut.collect()}
+    assert by_id[102]["text"] == texts[102] and by_id[103]["text"].split() == zipf(random.Random(800), 60) and by_id[103]["n_chars"] == len(by_id[103]["text"])
+    assert all(by_id[i]["text"] == texts[i] for i in by_id if i != 103)
+    packed_ = stage["best_fit_packing"](spark, cut, folder).collect()
+    check_packed(packed_, [(i, r["text"]) for i, r in by_id.items()], 2048)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(name, spark, data):
     import oracle

@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bas
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stored(ordered.mapInArrow(_shards(tokenizer_path, end_id, base, shard_ids), SHARDS), "token-files")
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, lanes, lean, named, picked, planes, stored, stored_alone, tune, unplanes
+from .common import chunks, lanes, lean, named, picked, planes, recorded, remove, stored, stored_alone, tune, unplanes
 
 #: Fingerprints of one cell that are compared in one go with as many others.
 BLOCK = 1024
@@ -432,6 +432,23 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     doc_id can't be told apart and stay. An empty table gives no rows; other
     columns stay as they are.
     """
+    with recorded() as written:
+        found, repeated = _first_of_each(docs, words, similarity, bits)
+    remove(written[:-1])  # only ``found`` is read again
+    names = list(docs.columns)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    who, where = F.col(f"c{names.index('doc_id')}"), F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
+    mine = F.xxhash64(where, F.length(where))
+    kept = inner.join(found, (who.cast("long") == F.col("rep")) & (mine == F.col("least")), "left_semi")
+    if repeated:  # rows alike in id and text: one stays
+        every = [F.col(c) for c in inner.columns]
+        kept = kept.groupBy(who.cast("long").alias("id"), mine.alias("hash")).agg(F.first(F.struct(*every)).alias("row")).select("row.*")
+    return kept.unionByName(inner.where(who.isNull())).toDF(*names)
+
+
+def _first_of_each(docs: DataFrame, words: int, similarity: float, bits: int) -> tuple[DataFrame, bool]:
+    """(rep, least): doc_id and text hash of the document that stays of each group,
+    and whether rows repeat in both."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit(""))))
     named = docs.where(F.col("doc_id").isNotNull())
     prints = fingerprints(named.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).alias("doc_id"), "text"), 1, repeats=False, keep=True)
@@ -453,18 +470,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     pairs = stored(near.unionByName(alike).unionByName(star).distinct(), "candidates")
     linked = stored(similar(pairs, texts, words, similarity), "linked")
     rest = stored(prefix_pairs(shared, components(linked), similarity), "candidates")
-    forget(shared)
     if not rest.isEmpty():
         linked = linked.unionByName(similar(rest, texts, words, similarity))
     root = components(linked)
     member = points.join(root, points["key"] == root["vertex"], "left").select("rep", "key", F.coalesce("root", "key").alias("root"))
-    found = stored(member.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("of")).select(F.col("of.rep").alias("rep"), F.col("of.key").alias("least")), "found")
-    names = list(docs.columns)
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    who, where = F.col(f"c{names.index('doc_id')}"), F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
-    mine = F.xxhash64(where, F.length(where))
-    kept = inner.join(found, (who.cast("long") == F.col("rep")) & (mine == F.col("least")), "left_semi")
-    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():  # rows alike in id and text: one stays
-        every = [F.col(c) for c in inner.columns]
-        kept = kept.groupBy(who.cast("long").alias("id"), mine.alias("hash")).agg(F.first(F.struct(*every)).alias("row")).select("row.*")
-    return kept.unionByName(inner.where(who.isNull())).toDF(*names)
+    repeated = not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    found = member.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("of")).select(F.col("of.rep").alias("rep"), F.col("of.key").alias("least"))
+    return stored(found, "found"), repeated
