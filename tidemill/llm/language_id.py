@@ -5,15 +5,14 @@ four 16-bit symbols in one 64-bit integer, so that contexts and suffixes are
 shifts and masks. All training documents but a calibration share are counted,
 and all distinct grams are kept, so the model grows with the input (as distinct
 grams do: far slower than texts). Per language the model is a few sorted arrays
-(grams with their discounted probability, contexts with their back-off weight),
-made where its counts are. The language of lowest cross-entropy per symbol wins;
-a text less likely than all but a few of the language's own calibration texts,
-by a margin, is marked rejected.
+(grams with their discounted probability, contexts with their back-off weight).
+The language of lowest cross-entropy per symbol wins; a text less likely than all
+but a few of the language's own calibration texts, by a margin, is marked
+rejected.
 """
 
 from __future__ import annotations
 
-import pickle
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -159,36 +158,35 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _model_row(table: pa.Table) -> pa.Table:
-    """One language's model, as bytes."""
-    m = fit_kneser_ney(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
-    return pa.table({"lang": table.column("lang").slice(0, 1), "model": pa.array([pickle.dumps(m)], pa.binary())})
-
-
 def fit(docs: DataFrame) -> tuple[list[str], list[KneserNey]]:
     """Models of every non-null lang of (text, lang) rows that has letters.
 
-    Texts whose hash mod ``CALIBRATE`` is 0 are not counted but calibrate the
-    limit of rejection: the surprise that the share ``BEYOND`` of them exceeds,
-    ``WIDER`` times. Repeated rows count as often as they stand. Null texts and
-    langs teach nothing; without rows there is no model. The driver holds the
-    finished arrays only (about 16 bytes a distinct gram of a language).
+    Texts whose hash mod ``CALIBRATE`` is 0 are not counted (unless their language
+    has no others) but calibrate the limit of rejection: the surprise that the
+    share ``BEYOND`` of them exceeds, ``WIDER`` times. Repeated rows count as often
+    as they stand. Null texts and langs teach nothing; without rows there is no
+    model. The distinct grams with their counts go to the driver, which makes the
+    arrays (about 60 bytes a gram there, 16 in the arrays).
     """
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     taught = taught.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held = F.pmod(F.xxhash64("text"), F.lit(CALIBRATE)) == 0
-    found = {}
-    for rows in (taught.where(~held), taught):  # few rows: all are counted
-        made = count_grams(rows).groupBy("lang").applyInArrow(lean(_model_row), "lang string, model binary").collect()
-        for r in made:
-            found.setdefault(r["lang"], pickle.loads(r["model"]))  # noqa: S301
-        if len(found) and taught.where(~held).select("lang").distinct().count() == taught.select("lang").distinct().count():
-            break
-    names = sorted(found)
-    models = [found[n] for n in names]
+    models = _models(stored(count_grams(taught.where(~held)), "grams"))
+    rest = [r["lang"] for r in taught.select("lang").distinct().collect() if r["lang"] not in models]
+    if rest:
+        models |= _models(count_grams(taught.where(F.col("lang").isin(rest))))
+    names = sorted(models)
     if names:
-        _calibrate(taught.where(held), names, models)
-    return names, models
+        _calibrate(taught.where(held), names, [models[n] for n in names])
+    return names, [models[n] for n in names]
+
+
+def _models(counted: DataFrame) -> dict[str, KneserNey]:
+    table = counted.toArrow()
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    code = lang.indices.to_numpy(zero_copy_only=False)
+    gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    return {name: fit_kneser_ney(gram[code == i], n[code == i]) for i, name in enumerate(lang.dictionary.to_pylist())}
 
 
 def _calibrate(held: DataFrame, names: list[str], models: list[KneserNey]) -> None:

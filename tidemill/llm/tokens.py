@@ -16,15 +16,15 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from .common import chunks, spread
+from .common import chunks, named, spread
 
 #: The word pattern of the tokenizer file (fixed value; compared at load time).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Without ``<``, which begins the special tokens.
 _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: How many chunks and words a worker remembers before it starts anew.
-CACHE = 120_000
+#: How many chunks and words a worker remembers: the first, and so most of the frequent.
+CACHE = 300_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -55,9 +55,8 @@ class WordTokenizer:
         if out is None:
             spelt = word if word.isascii() else word.translate(self.bytes)
             out = array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = out
+            if len(self.words) < CACHE:
+                self.words[word] = out
         return out
 
     def _chunk(self, chunk: str) -> bytes:
@@ -69,14 +68,7 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, and the offsets of each text in them."""
         offsets, codes, words = chunks(texts)
-        if len(self.seen) >= CACHE:
-            self.seen = {"": b""}
-        seen, parts = self.seen, []
-        for w in words:
-            ids = seen.get(w)
-            if ids is None:
-                ids = seen[w] = self._chunk(w)
-            parts.append(ids)
+        parts = named(words, self._chunk, self.seen, CACHE)
         lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), dtype="<i4")
         each = lens[codes]
