@@ -179,3 +179,63 @@ def test_streaming_window(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["n"], r["total"]) for r in spark.table("win_out").collect()) == [(3, 30.0), (3, 120.0)]
+
+
+def test_box_distance_against_sampled_edges(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    boxes = [(10, 60, 0, 50), (-20, 30, 170, -160), (-80, -40, -30, 100), (5, 6, 5, 6)]
+    for low, high, west, east in boxes:
+        box = {"minLat": low, "maxLat": high, "minLon": west, "maxLon": east}
+        points = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(40)]
+        df = spark.createDataFrame(points, "lat double, lon double")
+        out = [x[0] for x in df.select(geo.st_distance(box, {"lat": F.col("lat"), "lon": F.col("lon")}, "km")).collect()]
+        width = (east - west) % 360
+        t = np.linspace(0, 1, 2001)
+        edge = np.concatenate([np.stack([low + (high - low) * t, np.full_like(t, x)], 1) for x in (west, east)] + [np.stack([np.full_like(t, y), west + width * t], 1) for y in (low, high)])
+        for (lat, lon), got in zip(points, out):
+            inside = low <= lat <= high and (lon - west) % 360 <= width
+            a, b, c, d = np.radians(lat), np.radians(lon), np.radians(edge[:, 0]), np.radians(edge[:, 1])
+            h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+            want = 0.0 if inside else float((2 * 6371.01 * np.arcsin(np.sqrt(np.minimum(h, 1)))).min())
+            assert got == pytest.approx(want, abs=3.0)
+            assert geo._angle(box, lat, lon, "km") * 6371.01 == pytest.approx(got, abs=1e-6)
+
+
+def test_quantile_estimate_interpolates(spark):
+    s = table(spark.createDataFrame([(at(i), "a", v) for i, v in enumerate([1.0, 2.0, 2.0, 2.0, 10.0])], "_time timestamp, tag string, _value double"), ("tag",))
+    got = {q: by_tag(aggregates.quantile(s, q))["a"] for q in (0.0, 0.1, 0.2, 0.25, 0.5, 0.75, 0.85, 1.0)}
+    # the i-th of n values stands at (i - 0.5) / n
+    assert got == pytest.approx({0.0: 1.0, 0.1: 1.0, 0.2: 1.5, 0.25: 1.75, 0.5: 2.0, 0.75: 4.0, 0.85: 8.0, 1.0: 10.0})
+    assert by_tag(aggregates.median(table(s.df.limit(2), ("tag",))))["a"] == 1.5
+    many = table(spark.range(100_000).selectExpr("CAST(id * 7919 % 100000 AS DOUBLE) AS _value"))
+    assert aggregates.quantile(many, 0.9).df.first()[0] == pytest.approx(90_000, rel=0.01)
+
+
+def test_forecasts(spark):
+    from tidemill.functions.forecast import digital_line, fit_and_forecast
+
+    assert fit_and_forecast([1.0], 3) == ([], []) and fit_and_forecast([1.0, 2.0], 3, 4) == ([], [])
+    _, future = fit_and_forecast([10.0 + 2 * i for i in range(20)], 3)
+    assert future == pytest.approx([50, 52, 54], abs=0.5)
+    wave = [10 + 3 * math.sin(i * math.pi / 2) + 0.1 * i for i in range(32)]
+    _, future = fit_and_forecast(wave, 4, 4)
+    assert future == pytest.approx([10 + 3 * math.sin(i * math.pi / 2) + 0.1 * i for i in range(32, 36)], abs=1.0)
+    assert digital_line([0.0, 1e9, 2e9], [0.0, 5.0, 0.0]) == [0, 1, 2]
+    assert digital_line([0.0, 1e9, 2e9], [0.0, 0.0, 0.0]) == [0, 2]
+
+
+def test_nulls_in_recursions(spark):
+    rows = [(at(i), "a", v) for i, v in enumerate([1.0, None, 3.0, 5.0, None, 9.0])]
+    s = table(spark.createDataFrame(rows, "_time timestamp, tag string, _value double"), ("tag",))
+    assert values(sequences.exponential_moving_average(s, 3)) == pytest.approx([2.0, 3.5, 3.5, 6.25])
+    assert values(sequences.exponential_moving_average(s, 9)) == pytest.approx([4.5])
+
+
+def test_calendar_windows_without_rows(s):
+    r = shape.range(s, "2023-11-15T00:00:00Z", "2024-02-10T00:00:00Z")
+    out = windows.aggregate_window(r, "1mo", "count")
+    assert sorted((x["tag"], x["_time"].month, x["_value"]) for x in out.df.collect()) == sorted([(t, m, n if m == 2 and i == 2 else 0) for t, n in (("a", 4), ("b", 2)) for i, m in enumerate((12, 1, 2, 2))])

@@ -93,6 +93,7 @@ def digital_line(x: np.ndarray, y: np.ndarray) -> list[int]:
     """Indices kept when a stretch is split at its farthest point as long as that
     is no nearer than the line's own digitisation error: its length times the
     largest angle that a point off by a unit can turn it."""
+    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
     kept, todo = [], [(0, len(x) - 1)]
     while todo:
         a, b = todo.pop()

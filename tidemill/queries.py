@@ -105,7 +105,7 @@ op("key_values", lambda s: shape.key_values(s, ["event_type"]), ["_key", VALUE],
 op("unpivot", lambda s: shape.unpivot(shape.keep(s, ["event_id", "event_type", TIME, VALUE]), [TIME, "event_id"]), ["event_id", "_field", VALUE], "SELECT event_id, '_value' AS _field, _value FROM ev WHERE _value IS NOT NULL", nulls=True)
 op(
     "pivot",
-    lambda s: shape.pivot(shape.ungroup(shape.extend(s, lambda r: {"day": F.to_date(r["_time"]).cast("string")})), ["day"], ["event_type"]),
+    lambda s: shape.pivot(shape.ungroup(shape.extend(s, lambda r: {"day": F.to_date(r["_time"]).cast("string")})), ["day"], ["event_type"], values=["click", "error", "purchase", "signup", "view"]),
     ["day", "click", "error", "purchase", "signup", "view"],
     "SELECT CAST(_time AS DATE)::VARCHAR AS day, " + ", ".join(f"arg_max(_value, (_time, event_id)) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM ev GROUP BY 1",
 )
