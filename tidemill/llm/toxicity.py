@@ -42,8 +42,8 @@ FACTOR, EXTRA = {INSULT: 1.0, AIMED: 1.25, DENIED: 0.5, QUOTED: 0.5}, {AIM: 0.25
 #: Stem lengths tried besides whole words, and how far a target or negation reaches.
 STEMS, REACH = (4, 5, 6, 7, 8), 3
 #: Labelled rows that teach, and those of them that the probabilities are fitted
-#: on, at most; chunks of text a worker remembers.
-LABELLED, FIT_ROWS, MEMO = 200_000, 20_000, 60_000
+#: on, at most; chunks of text a worker remembers (the first it meets).
+LABELLED, FIT_ROWS, MEMO = 200_000, 20_000, 150_000
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 FEATURES = ("top", "sum", "clauses", "negated", "reported", "threats")
 
@@ -176,6 +176,7 @@ class Grammar:
 
     def __post_init__(self):
         self.memo: dict[str, tuple[int, float, bool, bool]] = {}
+        self.heads = {f.rstrip("*")[: STEMS[0]] for f in self.lexicon}  # no other word has a weight
 
     def tag(self, chunk: str) -> tuple[int, float, bool, bool]:
         """Symbol, weight, clause end and clause begin of a chunk; words of the
@@ -183,11 +184,10 @@ class Grammar:
         out = self.memo.get(chunk)
         if out is None:
             word, ends = normal(chunk)
-            weight = max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
+            weight = max(self.lexicon.get(f, 0.0) for f in features_of(word)) if word and word[: STEMS[0]] in self.heads else 0.0
             out = (INSULT if weight > 0 else SYMBOL.get(word, OTHER), weight, ends, word in CONJUNCTIONS)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[chunk] = out
+            if len(self.memo) < MEMO:
+                self.memo[chunk] = out
         return out
 
     def score(self, symbols: np.ndarray, weights: np.ndarray, clause: np.ndarray) -> list[float]:
@@ -213,7 +213,8 @@ class Grammar:
         """FEATURES of a batch of texts; those without a word of the insult or
         threat classes or the end of a phrase are not gone through."""
         offsets, codes, words = chunks(texts)
-        table = [self.tag(w) for w in words]
+        memo = self.memo
+        table = [memo.get(w) or self.tag(w) for w in words]
         symbols = np.array([t[0] for t in table], dtype=np.int16)
         weights = np.array([t[1] for t in table])
         ends, begins = (np.array([t[i] for t in table], dtype=np.int64) for i in (2, 3))
