@@ -494,13 +494,6 @@ def test_lattice_of_words_equals_the_library(spark):
     assert not bad
 
 
-def test_pieces_by_chunks_are_the_same(spark, odd, monkeypatch):
-    monkeypatch.setattr(pieces, "CHUNK", 500)
-    rows = lambda told: sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in pieces.encode_documents(odd, PIECE, told).collect())
-    assert rows(0) == rows(10**6)
-    assert pieces.encode_documents(empty(spark), PIECE).count() == 0 == pieces.encode_documents(empty(spark), PIECE, -1).count()
-
-
 def test_piece_query(spark, data):
     import sentencepiece
 

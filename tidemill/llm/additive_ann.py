@@ -63,7 +63,7 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 2, beam: int = 4, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, books: int = 24, words: int = 256, rounds: int = 1, beam: int = 4, seed: int = 7) -> Codebooks:
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     k = max(1, min(words, len(x)))
     rest, out = x.copy(), []
@@ -128,7 +128,7 @@ def merge_top(parts: DataFrame, k: int, order: list) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, shortlist: int = 256, books: int = 8, words: int = 256) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, shortlist: int = 256, books: int = 24, words: int = 256) -> DataFrame:
     """The k rows nearest to every query row, itself excluded by id.
 
     Distances are Euclidean on the original vectors in double precision; ties go
@@ -159,7 +159,7 @@ def _search(rows: DataFrame, asked: DataFrame, n_asked: int, k: int, shortlist:
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = spark.sparkContext.broadcast(fit(np.array(sample), books, words).books)
-    record = np.dtype([("code", "<u2", (books,)), ("norm", "<f4")])
+    record = np.dtype([("code", "u1" if words <= 256 else "<u2", (books,)), ("norm", "<f4")])
 
     def encode(x: np.ndarray) -> np.ndarray:
         m = Codebooks(held.value)

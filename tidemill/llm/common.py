@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import functools
-import gc
 import os
 import re
 import sys
@@ -28,7 +27,7 @@ ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 PICKED = 1_000_000
 #: Allocations from this size on go back to the system as soon as they are freed
 #: (glibc's M_MMAP_THRESHOLD, whose number is -3).
-BIG, _MMAP_THRESHOLD = 4 << 20, -3
+BIG, _MMAP_THRESHOLD = 16 << 20, -3
 
 _LIBC = None
 if sys.platform == "linux":
@@ -41,7 +40,6 @@ if sys.platform == "linux":
 def trim() -> None:
     """Give freed memory back: Spark keeps Python workers for later tasks, and
     what one keeps is missing for the others of its executor."""
-    gc.collect()
     if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
 

@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
-The distinct words of all texts are encoded in Spark alone: their substrings of
-bounded length are exploded, equi-joined with the piece table, grouped by word,
-and folded with ``aggregate``. For a BPE model the best path is not the one of
-highest total score, so the fold does not take the Viterbi step: it goes through
-a word's edges from the best score down (leftmost first) and takes each that
-joins two neighbours, which is the library's result, as a piece always scores
-below the two it is made of. A word's boundaries are the bits of one number.
-
-The texts then look their words up. Up to ``TOLD`` distinct words go to all
-executors as sorted arrays; beyond that, chunks of texts and the words of each
-meet by joins.
+The lattice of a word is the equi-join of its substrings of bounded length with
+the piece table. For a BPE model the best path is not the one of highest total
+score, so the fold over a word's lattice does not take the Viterbi step: it takes,
+from the best score down and leftmost first, each edge that joins two neighbours,
+which is the library's result, as a piece always scores below the two it is made
+of.
+
+Two forms: ``encode_words`` is plain Spark (explode, equi-join, group, fold with
+``aggregate``; a word's boundaries are the bits of one number) and serves word
+tables; ``encode_documents`` does the same joins and folds with numpy for the
+distinct words of an Arrow batch, because the distinct words of a corpus are too
+many for the former (README has the figures).
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_ids, lean, named, partition_id, planes, spread, stored, tune, unplanes
+from .common import crc_ids, lean, spread, tune
 
 SPACE = "▁"
-#: Words of more characters (than a number has bits for boundaries) are folded one
-#: by one; distinct words sent to every executor at most (about 24 bytes each);
-#: words of a chunk, where there are more.
-LONG, TOLD, CHUNK = 61, 4_000_000, 2_000_000
+#: Longer words go through a heap (the bits of a number bound ``encode_words``);
+#: words a worker remembers, the first it meets.
+LONG, CACHE = 48, 300_000
+BITS = 61
+_P = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -48,6 +50,11 @@ class PieceModel:
         self.unknown = m.unk_id()
         self.longest = max(len(p) for p, _, _ in self.table)
         self.by_text = {p: (s, i) for p, s, i in self.table}
+        keys = np.array([self._key(p) for p, _, _ in self.table], dtype=np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.scores = np.array([s for _, s, _ in self.table])[order]
+        self.ids = np.array([i for _, _, i in self.table], dtype=np.int64)[order]
         out = [b""] * n
         for p, _, i in self.table:
             out[i] = p.replace(SPACE, " ").encode()
@@ -57,13 +64,82 @@ class PieceModel:
         self.out = np.frombuffer(b"".join(out), dtype=np.uint8)
         self.out_len = np.array([len(x) for x in out], dtype=np.int64)
         self.out_at = np.cumsum(self.out_len) - self.out_len
+        self.seen: dict[str, bytes] = {}
+
+    @staticmethod
+    def _key(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_P) + ord(c)) & (2**64 - 1)
+        return h
 
     def spell(self, char: str) -> list[int]:
         """Ids of a character that is no piece: its bytes, or unknown."""
         return [self.byte_ids.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
+    def fold(self, words: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of each word: explode, join, group, fold."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        cp = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+        total, stop = len(cp), np.cumsum(size)
+        word_end = np.repeat(stop, size)
+        at = np.arange(total)
+        # explode substrings of bounded length, equi-join them with the pieces
+        score = np.full((total, self.longest + 1), -np.inf)
+        piece = np.full((total, self.longest + 1), -1, dtype=np.int64)
+        h = np.zeros(total, dtype=np.uint64)
+        for n in range(1, self.longest + 1):
+            inside = np.flatnonzero(at + n <= word_end)
+            if not len(inside):
+                break
+            h[inside] = h[inside] * _P + cp[inside + n - 1]
+            key = h[inside]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            score[inside[hit], n] = self.scores[found[hit]]
+            piece[inside[hit], n] = self.ids[found[hit]]
+        # group by word and fold: one join of neighbours a word and round
+        end = at + 1
+        live = np.ones(total, dtype=bool)
+        word = np.repeat(np.arange(len(words)), size)
+        pos = at
+        while len(pos):
+            mid = end[pos]
+            ok = mid < word_end[pos]
+            far = np.where(ok, end[np.minimum(mid, total - 1)], mid)
+            span = far - pos
+            s = np.where(ok & (span <= self.longest), score[pos, np.minimum(span, self.longest)], -np.inf)
+            first = np.flatnonzero(np.diff(word[pos], prepend=-1))
+            best = np.maximum.reduceat(s, first)
+            best_here = np.repeat(best, np.diff(np.append(first, len(pos))))
+            hits = np.flatnonzero((s == best_here) & (s > -np.inf))
+            if not len(hits):
+                break
+            _, one = np.unique(word[pos[hits]], return_index=True)  # leftmost of each word
+            hits = hits[one]
+            left = pos[hits]
+            gone = end[left]
+            end[left] = end[gone]
+            live[gone] = False
+            pos = pos[(best_here > -np.inf) & live[pos]]
+        begin = np.flatnonzero(live)
+        ids = piece[begin, end[begin] - begin]
+        lone = np.flatnonzero(ids < 0)
+        if len(lone):
+            spelt = {int(i): self.spell(chr(cp[begin[i]])) for i in lone}
+            reps = np.ones(len(ids), dtype=np.int64)
+            reps[lone] = [len(spelt[int(i)]) for i in lone]
+            owner = np.repeat(word[begin], reps)
+            flat = np.repeat(ids, reps)
+            flat[np.repeat(ids < 0, reps)] = [x for i in lone for x in spelt[int(i)]]
+        else:
+            owner, flat = word[begin], ids
+        cut = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        raw = flat.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
     def fold_long(self, word: str) -> bytes:
-        """Ids of one word, by a heap of joinable neighbours."""
+        """The same fold for one long word, with a heap of joinable neighbours."""
         n = len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end, live, heap = list(range(1, n + 1)), [True] * n, []
@@ -94,11 +170,8 @@ class PieceModel:
                 out += [got[1]] if got else self.spell(word[i])
         return np.array(out, dtype="<i4").tobytes()
 
-    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Words with their leading spaces: each text's offsets into the word codes,
-        the codes, and the distinct words they point to."""
-        if not len(texts):
-            return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Words with their leading spaces: offsets, codes, distinct words."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{SPACE}"), pc.equal(texts, ""))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
@@ -117,6 +190,26 @@ class PieceModel:
         size = [len(p) for p in parts]
         return np.concatenate([[0], np.cumsum(size)]), np.concatenate(parts), list(names)
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch and the offsets of each text in them."""
+        if not len(texts):
+            return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        offsets, codes, words = self._units(texts)
+        got = {w: self.seen.get(w) for w in words}
+        fresh = [w for w, ids in got.items() if ids is None]
+        short = [w for w in fresh if len(w) <= LONG]
+        for lo in range(0, len(short), 20_000):
+            part = short[lo : lo + 20_000]
+            got.update(zip(part, self.fold(part), strict=True))
+        got.update((w, self.fold_long(w)) for w in fresh if len(w) > LONG)
+        self.seen.update((w, got[w]) for w in fresh[: max(CACHE - len(self.seen), 0)])
+        parts = [got[w] for w in words]
+        lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), dtype="<i4")
+        each = lens[codes]
+        at = np.concatenate([[0], np.cumsum(each)])
+        return flat[spread((np.cumsum(lens) - lens)[codes], each)], at[offsets]
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; the space put before its first word is taken off."""
         each = self.out_len[ids]
@@ -134,20 +227,49 @@ def model(path: str) -> PieceModel:
     return _LOADED[path]
 
 
-def distinct_units(rows: DataFrame, model_path: str) -> DataFrame:
-    """(word): the distinct words, with their spaces, of all texts."""
+def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, ids) of every whole text; a null or empty text has no ids.
+
+    Repeated and null doc_ids are rows of their own; other columns are ignored;
+    an empty table gives no rows.
+    """
+    tune(docs.sparkSession)
+
+    @lean
+    def run(batches):
+        m = model(model_path)
+        for b in batches:
+            ids, offsets = m.encode(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": lists})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, text): what the ids spell."""
+    tune(encoded.sparkSession)
 
     @lean
     def run(batches):
-        m, held = model(model_path), set()
+        m = model(model_path)
         for b in batches:
-            held.update(m.units(b.column("text"))[2])
-            if len(held) > 200_000:
-                yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
-                held = set()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
+            lists = b.column("ids")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            cut = offsets.tolist()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": b.column("doc_id"),
+                    "n_ids": pa.array(np.diff(offsets)),
+                    "ids_crc32": pa.array([crc_ids(ids[x:y]) for x, y in zip(cut, cut[1:])], pa.int64()),
+                    "text": pa.array([t.decode("utf-8", "replace") for t in m.decode(ids, offsets)], pa.string()),
+                }
+            )
 
-    return rows.select("text").mapInArrow(run, "word string").distinct()
+    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
 
 
 def encode_words(words: DataFrame, model_path: str) -> DataFrame:
@@ -160,7 +282,7 @@ def encode_words(words: DataFrame, model_path: str) -> DataFrame:
     m = model(model_path)
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(m.table, "piece string, score double, id int"))  # one row a piece of the file
-    w = words.select("word").where(f"length(word) BETWEEN 1 AND {LONG}")
+    w = words.select("word").where(f"length(word) BETWEEN 1 AND {BITS}")
     spans = w.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("b"))
     most = F.least(F.lit(m.longest), F.length("word") - F.col("b"))
     spans = spans.select("word", "b", F.explode(F.sequence(F.lit(1), most)).alias("n"))
@@ -197,142 +319,4 @@ def encode_words(words: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"word": b.column("word"), "ids": pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))})
 
     short = folded.select("word", ids.alias("ids")).mapInArrow(spelt, "word string, ids array<int>")
-    return short.unionByName(words.select("word").where(f"length(word) > {LONG}").mapInArrow(one_by_one, "word string, ids array<int>"))
-
-
-def _gathered(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words of some texts, one after another, and the texts' offsets."""
-    each = lens[codes]
-    return flat[spread(starts[codes], each)], np.concatenate([[0], np.cumsum(each)])[offsets]
-
-
-def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-
-
-def encode_documents(docs: DataFrame, model_path: str, told: int = TOLD) -> DataFrame:
-    """(doc_id, ids) of every whole text; a null or empty text has no ids.
-
-    Repeated and null doc_ids are rows of their own; other columns are ignored; an
-    empty table gives no rows. ``told`` bounds the words sent to executors.
-    """
-    tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = stored(encode_words(distinct_units(rows, model_path), model_path), "words")
-    if words.count() > told:
-        return _encode_by_chunks(rows, words, model_path)
-
-    @lean
-    def packed(batches):
-        from xxhash import xxh64_intdigest
-
-        for b in batches:
-            h = np.array([xxh64_intdigest(w) for w in b.column("word").to_pylist()], dtype=np.uint64)
-            ids = b.column("ids")
-            at = ids.offsets.to_numpy().astype(np.int64)
-            raw = ids.flatten().to_numpy().astype("<i4").tobytes()
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "ids": pa.array([raw[x:y] for x, y in zip(((at - at[0]) * 4)[:-1].tolist(), ((at - at[0]) * 4)[1:].tolist())], pa.binary())})
-
-    found = words.mapInArrow(packed, "h long, ids binary").toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    if (np.diff(h[order]) == 0).any():  # two words of one hash: told apart by joins
-        return _encode_by_chunks(rows, words, model_path)
-    ids = found.column("ids").take(pa.array(order)).to_pylist()
-    lens = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((h[order], lens.astype(np.uint16) if len(lens) and lens.max() < 1 << 16 else lens, np.frombuffer(b"".join(ids), "<i4")))
-
-    @lean
-    def run(batches):
-        from xxhash import xxh64_intdigest
-
-        m, seen = model(model_path), {}
-        h, lens, flat = held.value
-        starts = np.cumsum(lens, dtype=np.int64) - lens
-        for b in batches:
-            offsets, codes, words = m.units(b.column("text"))
-            at = np.searchsorted(h, np.array(named(words, xxh64_intdigest, seen), dtype=np.uint64))
-            out = _gathered(starts[at], lens[at].astype(np.int64), flat, codes, offsets)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": _lists(*out)})
-
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
-
-
-def _encode_by_chunks(rows: DataFrame, words: DataFrame, model_path: str) -> DataFrame:
-    """The same for any number of distinct words: texts become codes into the word
-    list of their chunk; the words of all chunks are joined with their ids; both
-    meet again by chunk."""
-
-    @lean
-    def coded(batches):
-        m, part, seq = model(model_path), partition_id(), 0
-        held, names, n = [], {}, 0
-
-        def flush():
-            ids = pa.concat_arrays([h[0] for h in held])
-            sizes, codes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            return pa.RecordBatch.from_pydict(
-                {
-                    "chunk": pa.array([part << 32 | seq], pa.int64()),
-                    "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                    "sizes": pa.array([planes(sizes.astype("<u4"))], pa.binary()),
-                    "codes": pa.array([planes(codes.astype("<u4"))], pa.binary()),
-                    "words": pa.array([list(names)], pa.list_(pa.string())),
-                }
-            )
-
-        for b in batches:
-            offsets, codes, words = m.units(b.column("text"))
-            mine = np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64)
-            held.append((b.column("doc_id"), np.diff(offsets), mine[codes] if len(codes) else codes))
-            n += len(codes)
-            if n >= CHUNK:
-                yield flush()
-                seq, held, names, n = seq + 1, [], {}, 0
-        if held:
-            yield flush()
-
-    @lean
-    def met(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                lists = [x for x in b.column("ids")[i].as_py() or []]
-                size = len(b.column("words")[i])
-                ids = [()] * size
-                for x in lists:
-                    ids[x["at"]] = x["ids"]
-                lens = np.array([len(x) for x in ids], dtype=np.int64)
-                flat = np.array([y for x in ids for y in x], dtype=np.int32)
-                sizes, codes = (unplanes(b.column(c)[i].as_py(), "<u4").astype(np.int64) for c in ("sizes", "codes"))
-                out = _gathered(np.cumsum(lens) - lens, lens, flat, codes, np.concatenate([[0], np.cumsum(sizes)]))
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_ids")[i].values, "ids": _lists(*out)})
-
-    chunked = stored(rows.mapInArrow(coded, "chunk long, doc_ids array<long>, sizes binary, codes binary, words array<string>"), "coded")
-    asked = chunked.select("chunk", F.posexplode("words").alias("at", "word"))
-    told = asked.join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("ids"))
-    return chunked.join(told, "chunk", "left").mapInArrow(met, "doc_id long, ids array<int>")
-
-
-def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, text): what the ids spell."""
-    tune(encoded.sparkSession)
-
-    @lean
-    def run(batches):
-        m = model(model_path)
-        for b in batches:
-            lists = b.column("ids")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            cut = offsets.tolist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "n_ids": pa.array(np.diff(offsets)),
-                    "ids_crc32": pa.array([crc_ids(ids[x:y]) for x, y in zip(cut, cut[1:])], pa.int64()),
-                    "text": pa.array([t.decode("utf-8", "replace") for t in m.decode(ids, offsets)], pa.string()),
-                }
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    return short.unionByName(words.select("word").where(f"length(word) > {BITS}").mapInArrow(one_by_one, "word string, ids array<int>"))

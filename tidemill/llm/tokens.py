@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: How many chunks and words a worker remembers: the first, and so most of the frequent.
-CACHE = 300_000
+CACHE = 400_000
 
 
 def _byte_chars() -> dict[int, str]:
