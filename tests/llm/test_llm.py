@@ -432,6 +432,19 @@ def test_exact_passage_known_only_in_parts(spark):
     assert (row["doc_id"], row["start"], row["end"]) == (100, 20, 80)
 
 
+def test_hot_seeds_are_linked_where_they_are_gathered(spark, monkeypatch):
+    """A passage in every document, and passages in some: the same with and without."""
+    r = random.Random(15)
+    everywhere, some = zipf(r, 60), [zipf(r, 55) for _ in range(5)]
+    rows = [(i, " ".join(zipf(r, 30) + everywhere + zipf(r, 20) + (some[i % 5] if i % 3 == 0 else []) + zipf(r, 10))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for hot in (4, 10**9):
+        monkeypatch.setattr(passages, "HOT", hot)
+        found[hot] = {(x["doc_id"], x["start"], x["end"]) for x in passages.repeated_passages(df).collect()}
+    assert found[4] == found[10**9] and {i for i, s, e in found[4] if s <= 30 and e >= 90} == set(range(1, 80))
+
+
 def test_long_gaps_are_aligned_by_words():
     r = random.Random(2)
     for _ in range(50):

@@ -1,10 +1,10 @@
 """Fast, exact use of a word-level BPE of the tokenizers library.
 
 White space separates words and is dropped, so a text's ids are those of its
-white-space chunks in order. Each distinct chunk is encoded once per worker and
-batch results are gathered with numpy. Chunks of plain ASCII and Latin-1 letters
-go straight to the library's BPE model after the file's lower-casing and
-splitting; anything else goes through the library's whole encoder.
+white-space chunks in order, joined. Workers remember chunks and words. Chunks of
+plain ASCII and Latin-1 letters go straight to the library's BPE model after the
+file's lower-casing and splitting; anything else goes through the library's whole
+encoder.
 """
 
 from __future__ import annotations
@@ -16,15 +16,13 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from .common import chunks, named, spread
-
 #: The word pattern of the tokenizer file (fixed value; compared at load time).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Without ``<``, which begins the special tokens.
 _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: How many chunks and words a worker remembers: the first, and so most of the frequent.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -47,7 +45,7 @@ class WordTokenizer:
         self.plain = self.plain and all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
         by_byte = _byte_chars()
         self.bytes = {c: "".join(by_byte[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
-        self.seen: dict[str, bytes] = {"": b""}
+        self.seen: dict[bytes, bytes] = {}  # of chunks as bytes
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
@@ -60,20 +58,29 @@ class WordTokenizer:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.plain and _PLAIN.match(chunk):
+        printable = chunk.isascii() and chunk.isprintable() and "<" not in chunk
+        if self.plain and (printable or _PLAIN.match(chunk)):
             low = chunk.lower()
-            return self.words.get(low) or b"".join(map(self._word, _SPLIT.findall(low)))
+            if low.isalpha():
+                return self._word(low)
+            return b"".join(map(self._word, _SPLIT.findall(low)))
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
+    def _text(self, text: bytes) -> bytes:
+        chunks = text.split()  # at ASCII white space alone
+        parts, at = list(map(self.seen.get, chunks)), -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            parts[at] = ids = self._chunk(chunks[at].decode())
+            if len(self.seen) < CACHE:
+                self.seen[chunks[at]] = ids
+        return b"".join(parts)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, and the offsets of each text in them."""
-        offsets, codes, words = chunks(texts)
-        parts = named(words, self._chunk, self.seen, CACHE)
-        lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), dtype="<i4")
-        each = lens[codes]
-        at = np.concatenate([[0], np.cumsum(each)])
-        return flat[spread((np.cumsum(lens) - lens)[codes], each)], at[offsets]
+        parts = [self._text(t) if t else b"" for t in texts.cast(pa.large_binary()).to_pylist()]
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        return np.frombuffer(b"".join(parts), dtype="<i4"), np.concatenate([[0], np.cumsum(size)])
 
 
 _LOADED: dict[str, WordTokenizer] = {}
