@@ -121,6 +121,23 @@ def test_query_tiles_give_the_same(spark, vectors, monkeypatch):
     assert sorted(tuple(r) for r in exact_topk.search(vectors, every, "vec_id", "embedding").collect()) == want
 
 
+def test_ann_refit_is_least_squares_without_a_matrix_of_all_words():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, books, codes = rng.normal(size=(400, 11)), rng.normal(size=(3, 16, 11)), rng.integers(0, 15, (400, 3))  # no row has word 15
+    ones = np.zeros((400, 48))
+    for i in range(3):
+        ones[np.arange(400), codes[:, i] + 16 * i] = 1
+    want = np.linalg.solve(ones.T @ ones + 0.1 * np.eye(48), ones.T @ x + 0.1 * books.reshape(48, 11)).reshape(books.shape)
+    assert np.allclose(additive_ann.refit(x, codes, books, exact=1e-9, steps=200), want, atol=1e-5)
+    tracemalloc.start()
+    additive_ann.fit(rng.normal(size=(300, 8)))  # as many words as for 10,000 rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
 def test_ann_recall_where_the_shortlist_is_small(spark):
     """50,000 directions without any structure: 256 of them, half a per cent, are reranked."""
     n, d = 50_000, 64

@@ -20,6 +20,8 @@ from .common import KEPT, asked_vectors, block_number, lanes, lean, meet, partit
 
 #: Bound of the sample the codebooks are fitted on, and rows of a packed block.
 SAMPLE, BLOCK, QUERY_BLOCK = 10_000, 8192, 1024
+#: Dimensions that are refitted in one go: 10,000 rows of them stay in a cache.
+COLUMNS = 8
 
 
 @dataclass
@@ -63,6 +65,52 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def refit(x: np.ndarray, codes: np.ndarray, books: np.ndarray, ridge: float = 0.1, exact: float = 1e-4, steps: int = 30) -> np.ndarray:
+    """Codebooks of least squared error for ``codes``, held near ``books`` by ``ridge``.
+
+    Conjugate gradients, scaled by the words' counts, go over the codes themselves:
+    the matrix of the normal equations, of all words squared (302 MB at 24 x 256),
+    is never made. Thirty steps leave an error within a thousandth of the least.
+    Dimensions are solved apart, ``COLUMNS`` at a time.
+    """
+    (m, k, d), n = books.shape, len(x)
+    columns = [np.ascontiguousarray(codes[:, i]) for i in range(m)]
+    sorts = [np.argsort(c, kind="stable") for c in columns]
+    begin = [np.flatnonzero(np.diff(c[s], prepend=-1)) for c, s in zip(columns, sorts)]
+    scale = 1 / (np.stack([np.bincount(c, minlength=k) for c in columns]) + ridge)[:, :, None]
+
+    def summed(y: np.ndarray) -> np.ndarray:
+        out = np.zeros((m, k, y.shape[1]))
+        for i, (c, s, b) in enumerate(zip(columns, sorts, begin)):
+            out[i, c[s[b]]] = np.add.reduceat(y.take(s, axis=0), b, axis=0)
+        return out
+
+    def made(w: np.ndarray) -> np.ndarray:
+        return sum(w[i].take(c, axis=0) for i, c in enumerate(columns))
+
+    def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+
+    out = books.astype(np.float64)
+    for at in range(0, d, COLUMNS):
+        w = out[:, :, at : at + COLUMNS]
+        rest = summed(x[:, at : at + COLUMNS] - made(w))
+        way = rest * scale
+        size = (rest * way).sum((0, 1))
+        least = size * exact**2
+        for _ in range(steps):
+            if (size <= least).all():
+                break
+            push = summed(made(way)) + ridge * way
+            far = quotient(size, (way * push).sum((0, 1)))
+            w += far * way
+            rest -= far * push
+            step = rest * scale
+            size, old = (rest * step).sum((0, 1)), size
+            way = step + quotient(size, old) * way
+    return out.astype(np.float32)
+
+
 def fit(x: np.ndarray, books: int = 24, words: int = 256, rounds: int = 1, beam: int = 4, seed: int = 7) -> Codebooks:
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     k = max(1, min(words, len(x)))
@@ -74,14 +122,7 @@ def fit(x: np.ndarray, books: int = 24, words: int = 256, rounds: int = 1, beam:
     model = Codebooks(np.stack(out).astype(np.float32))
     for _ in range(rounds):
         codes = np.concatenate([model.encode(x[i : i + 1024], beam) for i in range(0, len(x), 1024)])
-        at = codes + np.arange(books) * k
-        gram, right = np.zeros((books * k, books * k)), np.zeros((books * k, x.shape[1]))
-        for i in range(books):
-            np.add.at(right, at[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (at[:, i], at[:, j]), 1.0)
-        solved = np.linalg.solve(gram + 0.1 * np.eye(books * k), right + 0.1 * model.books.reshape(books * k, -1))
-        model = Codebooks(solved.reshape(model.books.shape).astype(np.float32))
+        model = Codebooks(refit(x, codes, model.books))
     return model
 
 
@@ -155,10 +196,10 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
 
 def _search(rows: DataFrame, asked: DataFrame, n_asked: int, k: int, shortlist: int, books: int, words: int) -> DataFrame:
     spark = rows.sparkSession
-    sample = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()]
-    if not sample:
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = spark.sparkContext.broadcast(fit(np.array(sample), books, words).books)
+    held = spark.sparkContext.broadcast(fit(_matrix(sample.column("vec").combine_chunks()), books, words).books)
     record = np.dtype([("code", "u1" if words <= 256 else "<u2", (books,)), ("norm", "<f4")])
 
     def encode(x: np.ndarray) -> np.ndarray:
