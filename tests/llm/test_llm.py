@@ -783,6 +783,28 @@ def test_one_of_each_with_repeated_ids_and_clashing_names(spark):
     assert got == sorted([(1, t[0]), (1, t[1]), (2, t[2]), (4, None), (None, t[0]), (None, t[3])], key=repr)
 
 
+def test_prefixes_take_one_python_worker_a_task(spark):
+    df = spark.createDataFrame([(i, f"some words of text {i} and more of them") for i in range(20)], "key long, text string")
+    plan = simhash.prefixes(df, 5, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_gathered_seeds_are_not_held_twice():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(set=lambda *_: None))
+    docs = SimpleNamespace(sparkSession=session, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    run, rng = passages.seeds(docs, 89), np.random.default_rng(5)
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(map(str, rng.integers(0, 50_000, 12_000))) for _ in range(10)], "doc_id": list(range(at, at + 10))}) for at in range(0, 200, 10)]
+    tracemalloc.start()
+    n = sum(len(x) // 5 for b in run(iter(batches)) for x in b.column("seed").to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 * (12_000 - passages.K + 1)
+    assert most < 80 * passages.GATHER
+
+
 def test_prefixes_keep_every_similar_pair(spark, monkeypatch):
     """Whatever is known to be frequent, similar texts share a first shingle."""
     r = random.Random(12)

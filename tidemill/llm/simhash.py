@@ -231,32 +231,35 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
-    """(key, shingles): the distinct shingles of every text as ``similar`` sees
-    them, in hashed form and sorted by hash."""
+def texts_of(texts: DataFrame) -> DataFrame:
+    """Rows as ``shingled`` takes them."""
+    return texts.select("key", F.coalesce("text", F.lit("")).alias("text"))
 
-    @lean
-    def run(batches):
-        from xxhash import xxh64_intdigest
 
-        seen: dict[str, int] = {}
-        for b in batches:
-            offsets, codes, words_ = chunks(pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text"))))
-            h = np.array(named(words_, xxh64_intdigest, seen), dtype=np.uint64)[codes]
-            out = []
-            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                n = max(1, hi - lo - words + 1)
-                k = np.full(n, min(words, hi - lo), dtype=np.uint64)
-                for i in range(min(words, hi - lo)):
-                    k = k * np.uint64(0x9E3779B97F4A7C15) + h[lo + i : lo + i + n]
-                with np.errstate(over="ignore"):
-                    k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(np.unique(k ^ (k >> np.uint64(29))).view(np.int64))
-            ends = np.cumsum([0, *map(len, out)])
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+def shingled(batches, words: int):
+    """(keys, sizes, hashes) of each batch of rows (key, text): the distinct shingles
+    of every text as ``similar`` sees them, hashed and sorted by hash.
 
-    return texts.select("key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    Called inside the function that uses them: as a mapInArrow of its own it would
+    take a second Python worker a task, and all hashes through the JVM.
+    """
+    from xxhash import xxh64_intdigest
+
+    seen: dict[str, int] = {}
+    for b in batches:
+        offsets, codes, words_ = chunks(pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text"))))
+        h = np.array(named(words_, xxh64_intdigest, seen), dtype=np.uint64)[codes]
+        out = []
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            n = max(1, hi - lo - words + 1)
+            k = np.full(n, min(words, hi - lo), dtype=np.uint64)
+            for i in range(min(words, hi - lo)):
+                k = k * np.uint64(0x9E3779B97F4A7C15) + h[lo + i : lo + i + n]
+            with np.errstate(over="ignore"):
+                k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(np.unique(k ^ (k >> np.uint64(29))))
+        if out:
+            yield b.column("key").to_numpy(), np.array([len(x) for x in out], dtype=np.int64), np.concatenate(out)
 
 
 def _by_bucket(flat: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -287,9 +290,9 @@ def frequent(texts: DataFrame, words: int, buckets: int) -> tuple[np.ndarray, np
             _, of, raw, cuts = _by_bucket(np.concatenate(parts), buckets)
             return pa.RecordBatch.from_pydict({"bucket": pa.array(of[[a for a, _ in cuts]].astype(np.int32)), "shingle": pa.array([raw[a:b].tobytes() for a, b in cuts], pa.binary())})
 
-        for b in batches:
-            parts.append(b.column("shingles").flatten().to_numpy().view(np.uint64))
-            total += len(parts[-1])
+        for _, _, flat in shingled(batches, words):
+            parts.append(flat)
+            total += len(flat)
             if total >= GATHER:
                 yield deal()
                 parts, total = [], 0
@@ -302,7 +305,7 @@ def frequent(texts: DataFrame, words: int, buckets: int) -> tuple[np.ndarray, np
         kept = n > 2
         return pa.table({"shingle": pa.array(flat[kept].view(np.int64)), "n": pa.array(n[kept])})
 
-    some = shingle_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(ONE_OF)) == 0), words)
+    some = texts_of(texts.where(F.pmod(F.xxhash64("key"), F.lit(ONE_OF)) == 0))
     counted = some.mapInArrow(run, "bucket int, shingle binary").groupBy("bucket").applyInArrow(count, "shingle long, n long")
     often = stored_alone(counted, "frequent").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().groupby("shingle")["n"].max()
     return often.index.to_numpy(np.int64), often.to_numpy(np.int64)
@@ -318,13 +321,13 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     moves the cost, never the result. Rows travel once, packed by a hash of the
     shingle (40 bits: unlike shingles that meet are told apart by ``similar``).
     """
-    whole = shingle_rows(texts, words)
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = int(chars // BUCKET) + lanes(texts.sparkSession)
     held = texts.sparkSession.sparkContext.broadcast(frequent(texts, words, buckets))
 
     def deal(parts):
         flat, key, n, pos = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
         order, of, raw, cuts = _by_bucket(flat, buckets)
         column = lambda x: pa.array([planes(x[a:b]) for a, b in cuts], pa.binary())
         return pa.RecordBatch.from_pydict(
@@ -339,10 +342,8 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches):
         common, times = held.value
         parts, total = [], 0
-        for b in batches:
-            lists = b.column("shingles")
-            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            flat, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        for keys, size, flat in shingled(batches, words):
+            flat, doc = flat.view(np.int64), np.repeat(np.arange(len(size)), size)
             count = np.zeros(len(flat), dtype=np.int64)
             if len(common):
                 low = flat & ((1 << 40) - 1)
@@ -353,11 +354,11 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
             kept = np.flatnonzero(pos < first[doc])
             of = doc[kept]
-            parts.append((flat[order][kept].view(np.uint64), b.column("key").to_numpy()[of], size[of].astype(np.int32), pos[kept].astype(np.int32)))
+            parts.append((flat[order][kept].view(np.uint64), keys[of], size[of].astype(np.int32), pos[kept].astype(np.int32)))
             total += len(kept)
             if total >= GATHER:
                 yield deal(parts)
-                parts, total = [], 0
+                total = 0
         if total:
             yield deal(parts)
 
@@ -381,7 +382,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
         return pa.table({"shingle": pa.array(flat.view(np.int64)), "key": pa.array(key), "n": pa.array(n), "pos": pa.array(pos), "texts": pa.array(times[at])})
 
-    packed = whole.mapInArrow(run, "bucket int, shingle binary, key binary, n binary, pos binary")
+    packed = texts_of(texts).mapInArrow(run, "bucket int, shingle binary, key binary, n binary, pos binary")
     return packed.groupBy("bucket").applyInArrow(shared, "shingle long, key long, n int, pos int, texts long")
 
 
