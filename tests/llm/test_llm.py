@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import additive_ann, exact_topk, grammar_files, language_id, packing, passages, pieces, queries, simhash, toxicity, url_filter
+from tidemill.llm import additive_ann, exact_topk, grammar_files, language_id, packing, passages, pieces, queries, simhash, tokens, toxicity, url_filter
 from tidemill.llm.common import crc_fold
 
 WORD = queries.vocabulary(queries.WORD_BPE)
@@ -356,6 +356,52 @@ def test_token_files(spark, odd):
     assert grammar_files.read_token_files(grammar_files.write_token_files(empty(spark), WORD)).count() == 0
 
 
+class Counted:
+    """A tokenizers model that counts the words it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, word):
+        self.calls += 1
+        return self.model.tokenize(word)
+
+
+def test_words_are_tokenized_once_a_group_and_as_the_library_does(monkeypatch):
+    texts = ["", None, "  ", "Hello, hello HELLO! hello's it's can't 'S 're", "<|startoftext|>a<|endoftext|> a<b", "é É ÀÉ÷×ß ﬁ Σας İ e\u0301 a \u0301b"]
+    texts += ["a\xa0b\x1cc\x85d \x00 \x7f", "漢字かな 12 1234 ½² ٣٤", "\tx\n\ny\r\n\x0b\x0cz ", "... --- !!'ll 'd've", "no_break 5'9 O'Re o're", "☃☃ \U0001f600"]
+    full = tokens.tokenizer(WORD).full
+    right = [full.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+    for cache, group in ((0, 1), (3, 1 << 20), (1000, 1)):
+        monkeypatch.setattr(tokens, "CACHE", cache)
+        monkeypatch.setattr(tokens, "GROUP", group)
+        monkeypatch.setitem(tokens._LOADED, WORD, tokens.WordTokenizer(WORD))
+        batches = [pa.record_batch({"n": pa.array(range(lo, min(lo + 5, len(texts)))), "text": pa.array(texts[lo : lo + 5], pa.string())}) for lo in range(0, len(texts), 5)]
+        out = [ids[a:b].tolist() for _, ids, at in tokens.encode_with_end(WORD, [*batches, batches[0].slice(0, 0), batches[0].slice(2)], 7) for a, b in zip(at, at[1:])]
+        assert out == right + right[2:5]
+    monkeypatch.setattr(tokens, "CACHE", 0)  # before, a word that was not remembered was tokenized wherever it stood
+    monkeypatch.setattr(tokens, "GROUP", 1 << 20)
+    monkeypatch.setitem(tokens._LOADED, WORD, tokens.WordTokenizer(WORD))
+    tokens._LOADED[WORD].model = counted = Counted(tokens._LOADED[WORD].model)
+    batch = pa.record_batch({"text": ["one, two; One two. " * 50] * 20})
+    sizes = [len(ids) for _, ids, _ in tokens.encode_with_end(WORD, [batch] * 5, 7)]
+    assert sizes == [20 * (50 * 7 + 1)] * 5 and counted.calls == 5  # one two , ; .
+
+
+def test_rules_and_expansion_lengths_at_both_symbol_widths():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 49_000).astype(np.int32)
+    ids[5_000:7_000] = 4  # runs of overlapping matches
+    offsets = np.concatenate([[0], np.sort(rng.choice(np.arange(1, len(ids)), 400, replace=False)), [len(ids)]])
+    for base in (49_408, 70_000):
+        shard = grammar_files.Shard(grammar_files.write_image(ids, offsets, np.arange(401), np.zeros(401, dtype=bool), base))
+        assert len(shard.left) and len(shard.symbols) < 0.9 * len(ids)
+        begin, size, _ = shard.expansions  # one gather a shard, where each round was expanded by itself before
+        assert (size[base:] == shard.sizes).all() and (begin[:base] == np.arange(base)).all()
+        assert (shard.expand(shard.symbols) == ids).all()
+        assert all((shard.document(n) == ids[offsets[n] : offsets[n + 1]]).all() for n in range(401))
+
+
 def test_grammar_round_trip_and_random_access():
     r = np.random.default_rng(2)
     lens = r.integers(1, 90, 200)

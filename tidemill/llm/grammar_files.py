@@ -16,13 +16,14 @@ u64 symbol offsets, u64 id offsets, symbols.
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, lean, partition_id, stored, tune
+from .common import crc_ids, hold, lean, partition_id, spread, stored, tune
 from .tokens import encode_with_end
 
 HEAD = struct.Struct("<4sHHIIIIQQ")
@@ -36,41 +37,50 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rules: int, rounds:
     bucket) and replaces the most frequent pairs at once, left to right. Returns
     symbols, ends, left, right and the number of rules after each round.
     """
-    sym, last = ids.astype(np.uint32), ends.copy()
+    sym, stops = ids.astype(np.uint32), np.flatnonzero(ends)
     left, right, marks, n = [], [], [], 0
+    # a pair takes 4 bytes where all symbols fit in 2; one array serves all rounds' buckets
+    half, key = (16, np.uint32) if base + max_rules <= 1 << 16 else (32, np.uint64)
+    none, buckets = 1 << 18, np.empty(len(sym), dtype=np.int64)
     for turn in range(rounds):
         if len(sym) < 2 or n >= max_rules:
             break
-        bucket = ((sym[:-1] * np.uint32(0x9E3779B1)) ^ (sym[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
-        pair = sym[:-1].astype(np.uint64) << np.uint64(32) | sym[1:]
-        held = np.zeros(1 << 18, dtype=np.uint64)
+        bucket = buckets[: len(sym) - 1]
+        bucket[:] = ((sym[:-1] * np.uint32(0x9E3779B1)) ^ (sym[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
+        pair = sym[:-1].astype(key) << key(half) | sym[1:]
+        held = np.zeros(none, dtype=key)
         held[bucket] = pair
-        same = (held[bucket] == pair) & ~last[:-1]
-        count = np.bincount(bucket[same], minlength=1 << 18)
+        np.copyto(bucket, none, where=held.take(bucket) != pair)
+        bucket[stops[stops < len(bucket)]] = none
+        count = np.bincount(bucket, minlength=none + 1)[:none]
         room = min(max_rules - n, -(-(max_rules - n) // (rounds - turn)))
         top = np.flatnonzero(count >= least)
         if len(top) > room:
             top = top[np.argpartition(-count[top], room - 1)[:room]]
         if not len(top):
             break
-        name = np.zeros(1 << 18, dtype=np.uint32)
+        name = np.zeros(none + 1, dtype=np.uint32)
         name[top] = base + n + np.arange(len(top), dtype=np.uint32)
-        got = name[bucket] * same
-        at = np.flatnonzero(got)
+        got = name.take(bucket)
+        at = np.flatnonzero(got != 0)
         # of a run of overlapping matches, every second one starting with the first
-        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at = at[nth % 2 == 0]
+        later = np.flatnonzero(np.diff(at, prepend=-2) == 1)
+        nth = np.arange(len(later))
+        begins = np.where(np.diff(later, prepend=-2) != 1, nth, 0)
+        chosen = np.ones(len(at), dtype=bool)
+        chosen[later[(nth - np.maximum.accumulate(begins)) % 2 == 0]] = False
+        at = at[chosen]
         sym[at] = got[at]
-        last[at] = last[at + 1]
         keep = np.ones(len(sym), dtype=bool)
         keep[at + 1] = False
-        sym, last = sym[keep], last[keep]
-        left.append((held[top] >> np.uint64(32)).astype(np.uint32))
-        right.append((held[top] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        sym, stops = sym[keep], stops - np.searchsorted(at, stops)
+        left.append((held[top] >> key(half)).astype(np.uint32))
+        right.append((held[top] & key((1 << half) - 1)).astype(np.uint32))
         n += len(top)
         marks.append(n)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.uint32)
+    last = np.zeros(len(sym), dtype=bool)
+    last[stops] = True
     return sym, last, cat(left), cat(right), np.array(marks, dtype=np.uint32)
 
 
@@ -118,17 +128,26 @@ class Shard:
         self.symbol_at, self.id_at = read("<u8", docs + 1).astype(np.int64), read("<u8", docs + 1).astype(np.int64)
         self.symbols = read(f"<u{width}", symbols)
 
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of every symbol, plain ids being their own, one symbol after another:
+        where each begins, how many they are, and the ids."""
+        size = np.concatenate([np.ones(self.base, dtype=np.int64), self.sizes])
+        begin = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), dtype=np.uint32)
+        ids[: self.base] = np.arange(self.base)
+        lo = 0
+        for hi in self.marks.tolist():  # a round's rules are made of earlier symbols
+            parts = np.stack([self.left[lo:hi], self.right[lo:hi]], axis=1).ravel()
+            made = ids[spread(begin[parts], size[parts])]
+            at = begin[self.base + lo]
+            ids[at : at + len(made)] = made
+            lo = hi
+        return begin, size, ids
+
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        sym, ends = sym.astype(np.uint32), self.marks.tolist()
-        for lo, hi in zip([0, *ends][:-1][::-1], ends[::-1], strict=True):
-            rule = (sym >= self.base + lo) & (sym < self.base + hi)
-            at = np.arange(len(sym)) + np.cumsum(rule) - rule
-            out = np.empty(len(sym) + int(rule.sum()), dtype=np.uint32)
-            out[at] = sym
-            which = sym[rule].astype(np.int64) - self.base
-            out[at[rule]], out[at[rule] + 1] = self.left[which], self.right[which]
-            sym = out
-        return sym
+        begin, size, ids = self.expansions
+        return ids.take(spread(begin.take(sym), size.take(sym)))
 
     def document(self, n: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_at[n] : self.symbol_at[n + 1]])
@@ -151,6 +170,7 @@ class Shard:
 def _shards(path: str, end_id: int, base: int, shard_ids: int):
     @lean
     def run(batches):
+        hold()
         part, shard, held, size = partition_id(), 0, [], 0
 
         def flush():
@@ -171,10 +191,7 @@ def _shards(path: str, end_id: int, base: int, shard_ids: int):
             shard, held, size = shard + 1, [], 0
             return out
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, offsets = encode_with_end(path, b.column("text"), end_id)
+        for b, ids, offsets in encode_with_end(path, (b for b in batches if b.num_rows), end_id):
             doc = b.column("doc_id")
             held.append((ids, np.diff(offsets), doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)))
             size += len(ids)
@@ -207,6 +224,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 
     @lean
     def decode(batches):
+        hold()
         for b in batches:
             for part, shard, image in zip(b.column("part").to_pylist(), b.column("shard").to_pylist(), b.column("image"), strict=True):
                 s = Shard(image.as_buffer())

@@ -186,8 +186,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     @lean
     def run(batches):
         part, count = partition_id(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
-            ids, offsets = encode_with_end(path, batch.column("text"), end_id)
+        for batch, ids, offsets in encode_with_end(path, batches, end_id):
             size = np.diff(offsets)
             n = -(-size // capacity)
             doc = np.repeat(np.arange(len(size)), n)

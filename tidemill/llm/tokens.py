@@ -1,28 +1,33 @@
 """Fast, exact use of a word-level BPE of the tokenizers library.
 
 White space separates words and is dropped, so a text's ids are those of its
-white-space chunks in order, joined. Workers remember chunks and words. Chunks of
-plain ASCII and Latin-1 letters go straight to the library's BPE model after the
-file's lower-casing and splitting; anything else goes through the library's whole
-encoder.
+white-space chunks in order, joined. The distinct chunks of some batches are encoded
+together; workers remember words. Chunks of plain ASCII and Latin-1 letters go
+straight to the library's BPE model after the file's lower-casing and splitting;
+anything else goes through the library's whole encoder.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import spread, strings
 
 #: The word pattern of the tokenizer file (fixed value; compared at load time).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Without ``<``, which begins the special tokens.
-_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: How many chunks and words a worker remembers: the first, and so most of the frequent.
-CACHE = 300_000
+#: Chunks without ``<``, which begins the special tokens; those of letters alone.
+_PLAIN, _LETTERS = "^[!-;=-~À-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+#: How many words a worker remembers: the first, and so most of the frequent.
+CACHE = 600_000
+#: Bytes of texts whose chunks are made distinct at once.
+GROUP = 8 << 20
 
 
 def _byte_chars() -> dict[int, str]:
@@ -45,42 +50,70 @@ class WordTokenizer:
         self.plain = self.plain and all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
         by_byte = _byte_chars()
         self.bytes = {c: "".join(by_byte[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
-        self.seen: dict[bytes, bytes] = {}  # of chunks as bytes
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            spelt = word if word.isascii() else word.translate(self.bytes)
-            out = array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            if len(self.words) < CACHE:
-                self.words[word] = out
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        printable = chunk.isascii() and chunk.isprintable() and "<" not in chunk
-        if self.plain and (printable or _PLAIN.match(chunk)):
-            low = chunk.lower()
-            if low.isalpha():
-                return self._word(low)
-            return b"".join(map(self._word, _SPLIT.findall(low)))
-        return np.array(self.full.encode(chunk, add_special_tokens=False).ids, dtype="<i4").tobytes()
-
-    def _text(self, text: bytes) -> bytes:
-        chunks = text.split()  # at ASCII white space alone
-        parts, at = list(map(self.seen.get, chunks)), -1
-        for _ in range(parts.count(None)):
-            at = parts.index(None, at + 1)
-            parts[at] = ids = self._chunk(chunks[at].decode())
-            if len(self.seen) < CACHE:
-                self.seen[chunks[at]] = ids
-        return b"".join(parts)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch of texts, and the offsets of each text in them."""
-        parts = [self._text(t) if t else b"" for t in texts.cast(pa.large_binary()).to_pylist()]
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        return np.frombuffer(b"".join(parts), dtype="<i4"), np.concatenate([[0], np.cumsum(size)])
+        # numbers of the words remembered, and the edges of their ids; a line end has none
+        self.words = {"\n": 0}
+        self.edge, self.ids = np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: where they begin, how many they are, and an array with them."""
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lacking = np.flatnonzero(at < 0)
+        new, call, size, out = [words[i] for i in lacking.tolist()], self.model.tokenize, [], []
+        for w in new:
+            ids = [t.id for t in call(w if w.isascii() else w.translate(self.bytes))]
+            size.append(len(ids))
+            out += ids
+        n, kept = len(self.words), len(self.words) + max(min(CACHE - len(self.words), len(new)), 0)
+        at[lacking] = np.arange(n, n + len(new))
+        edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.array(size, dtype=np.int64))])
+        ids = np.concatenate([self.ids, np.array(out, dtype=np.int32)])
+        if kept > n:
+            self.words.update(zip(new, range(n, kept)))
+            self.edge, self.ids = edge[: kept + 1], ids[: edge[kept]]
+        return edge[at], edge[at + 1] - edge[at], ids
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and the ids of distinct chunks. A plain one that is letters
+        alone is a word; the other plain ones are split as lines of one text."""
+        plain = pc.match_substring_regex(chunks, _PLAIN) if self.plain else pa.array(np.zeros(len(chunks), dtype=bool))
+        low = pc.utf8_lower(pc.if_else(plain, chunks, ""))
+        alone = pc.match_substring_regex(low, _LETTERS)
+        lines = strings(low.filter(pc.invert(alone)))
+        found = _SPLIT.findall("\n".join([*lines, ""]))
+        coded = pa.concat_arrays([low.filter(alone), pa.array(found, low.type)]).dictionary_encode()
+        codes, words = coded.indices.to_numpy(), strings(coded.dictionary)
+        alone = alone.to_numpy(zero_copy_only=False)
+        of_lines = codes[np.count_nonzero(alone) :]
+        end = np.flatnonzero(of_lines == words.index("\n")) if lines else np.zeros(0, dtype=np.int64)
+        many = np.ones(len(chunks), dtype=np.int64)  # words of each chunk
+        many[~alone] = np.diff(end, prepend=-1) - 1
+        first = np.cumsum(many) - many
+        word = np.empty(int(many.sum()), dtype=np.int64)
+        word[first[alone]] = codes[: len(codes) - len(of_lines)]
+        word[spread(first[~alone], many[~alone])] = np.delete(of_lines, end)
+        begin, size, ids = self._words(words)
+        at = np.concatenate([[0], np.cumsum(size[word])])
+        ids, size = ids[spread(begin[word], size[word])], at[first + many] - at[first]
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(odd):
+            whole = [self.full.encode(c, add_special_tokens=False).ids for c in strings(chunks.take(pa.array(odd)))]
+            size[odd] = [len(x) for x in whole]
+            ids = np.insert(ids, np.repeat(at[first[odd]], size[odd]), np.array([y for x in whole for y in x], dtype=np.int32))
+        return size, ids
+
+    def encode(self, texts: list[pa.Array]):
+        """For each of some batches of texts all ids, and the offsets of each text in them."""
+        split = [pc.ascii_split_whitespace(pc.fill_null(t.cast(pa.large_string()), "")) for t in texts]
+        coded = pa.concat_arrays([x.flatten() for x in split]).dictionary_encode()
+        codes, (size, ids) = coded.indices.to_numpy(), self._chunks(coded.dictionary)
+        begin, lo = np.cumsum(size) - size, 0
+        for lists in split:
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            of_batch = codes[lo : lo + offsets[-1] - offsets[0]]
+            lo += len(of_batch)
+            each = size[of_batch]
+            at = np.concatenate([[0], np.cumsum(each)])
+            yield ids[spread(begin[of_batch], each)], at[offsets - offsets[0]]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -93,10 +126,23 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def encode_with_end(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of every text followed by ``end_id``, and their offsets."""
-    ids, offsets = tokenizer(path).encode(texts)
-    n = len(offsets) - 1
-    out = np.full(len(ids) + n, end_id, dtype=np.int32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
-    return out, offsets + np.arange(n + 1)
+def encode_with_end(path: str, batches, end_id: int):
+    """For every batch: itself, the ids of every text followed by ``end_id``, and
+    their offsets. Batches are encoded ``GROUP`` bytes at a time."""
+    held, size = [], 0
+
+    def encoded():
+        for batch, (ids, offsets) in zip(held, tokenizer(path).encode([b.column("text") for b in held]), strict=True):
+            n = len(offsets) - 1
+            out = np.full(len(ids) + n, end_id, dtype=np.int32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
+            yield batch, out, offsets + np.arange(n + 1)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= GROUP:
+            yield from encoded()
+            held, size = [], 0
+    if held:
+        yield from encoded()
