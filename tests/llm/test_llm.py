@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -356,6 +357,23 @@ def test_token_files(spark, odd):
     assert grammar_files.read_token_files(grammar_files.write_token_files(empty(spark), WORD)).count() == 0
 
 
+def test_fold_of_equal_lengths_is_the_fold_with_a_heap_in_less_memory():
+    m, r = pieces.model(PIECE), random.Random(5)
+    signs = "aaabehinorst" * 4 + "ABzq,.'-09éüñß▁" + "漢ไ☃\U0001f600\x01"
+    some = ["", "▁", "☃", "aaaaaaaaaaaaaaaa", *("".join(r.choice(signs) for _ in range(r.randrange(1, 60))) for _ in range(3_000))]
+    some += ["▁" + "".join(r.choice(["the", "ing", "er", "an", "qu", "é"]) for _ in range(r.randrange(1, 9))) for _ in range(2_000)]
+    assert m.fold(some) == [m.fold_long(w) for w in some]
+    assert m.fold([]) == [] and pieces.PieceModel.fold(m, ["▁a"]) == [m.fold_long("▁a")]
+    rows = m.rows(np.array([[m._key(p) for p, _, _ in m.table]], dtype=np.uint64))[0]
+    assert m.ids[rows].tolist() == [i for _, _, i in m.table]
+    many = ["▁" + "".join(r.choice("aehinorst") for _ in range(15)) for _ in range(20_000)]
+    tracemalloc.start()
+    m.fold(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # before: scores and ids of all spans of all words, beside each other
+
+
 class Counted:
     """A tokenizers model that counts the words it is asked for."""
 

@@ -25,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_ids, lean, spread, tune
+from .common import crc_ids, lean, spread, strings, tune
 
 SPACE = "▁"
 #: Longer words go through a heap (the bits of a number bound ``encode_words``);
 #: words a worker remembers, the first it meets.
 LONG, CACHE = 48, 300_000
 BITS = 61
+#: Characters folded at once; bits of a key by which its piece is looked for; no join.
+CHARS, SLOTS, NONE = 1 << 18, 18, 2**31 - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -50,11 +52,14 @@ class PieceModel:
         self.unknown = m.unk_id()
         self.longest = max(len(p) for p, _, _ in self.table)
         self.by_text = {p: (s, i) for p, s, i in self.table}
-        keys = np.array([self._key(p) for p, _, _ in self.table], dtype=np.uint64)
+        keys = np.array([self._key(p) for p, _, _ in self.table], dtype=np.uint64) * _P
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.scores = np.array([s for _, s, _ in self.table])[order]
-        self.ids = np.array([i for _, _, i in self.table], dtype=np.int64)[order]
+        # one more row, behind all, stands for no piece
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.ids = np.append(np.array([i for _, _, i in self.table], dtype=np.int64)[order], -1)
+        scores = np.array([s for _, s, _ in self.table])[order]
+        self.cost = np.append(np.unique(-scores, return_inverse=True)[1], NONE).astype(np.int32)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS))
         out = [b""] * n
         for p, _, i in self.table:
             out[i] = p.replace(SPACE, " ").encode()
@@ -77,66 +82,92 @@ class PieceModel:
         """Ids of a character that is no piece: its bytes, or unknown."""
         return [self.byte_ids.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash: the equi-join of substrings with the piece table,
+        by the first piece with the key's highest bits and a few steps on."""
+        key = (hashes * _P).ravel()
+        at = self.first.take((key >> np.uint64(64 - SLOTS)).astype(np.int64))
+        found = self.keys.take(at)
+        late = np.flatnonzero(found < key)
+        while len(late):
+            at[late] += 1
+            found[late] = self.keys.take(at[late])
+            late = late[found[late] < key[late]]
+        at[found != key] = len(self.ids) - 1
+        return at.reshape(hashes.shape)
+
     def fold(self, words: list[str]) -> list[bytes]:
-        """Ids (int32 bytes) of each word: explode, join, group, fold."""
+        """Ids (int32 bytes) of each word: explode, join, group, fold, for the words
+        of each length together."""
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         cp = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
-        total, stop = len(cp), np.cumsum(size)
-        word_end = np.repeat(stop, size)
-        at = np.arange(total)
+        begin = np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        out: list[bytes] = [b""] * len(words)
+        for n, first, many in zip(*(x.tolist() for x in np.unique(size[order], return_index=True, return_counts=True)), strict=True):
+            step = max(1, CHARS // max(1, n))
+            for lo in range(first, first + many if n else 0, step):
+                part = order[lo : min(lo + step, first + many)]
+                for i, ids in zip(part.tolist(), self._fold_equal(cp[begin[part][:, None] + np.arange(n)]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _fold_equal(self, cp: np.ndarray) -> list[bytes]:
+        """The fold of words of one length, a row of characters each. Columns 0 and
+        ``size + 1`` stand beside the word: they join nothing."""
+        count, size = cp.shape
+        wide, most = size + 2, min(size, self.longest)
         # explode substrings of bounded length, equi-join them with the pieces
-        score = np.full((total, self.longest + 1), -np.inf)
-        piece = np.full((total, self.longest + 1), -1, dtype=np.int64)
-        h = np.zeros(total, dtype=np.uint64)
-        for n in range(1, self.longest + 1):
-            inside = np.flatnonzero(at + n <= word_end)
-            if not len(inside):
-                break
-            h[inside] = h[inside] * _P + cp[inside + n - 1]
-            key = h[inside]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
-            score[inside[hit], n] = self.scores[found[hit]]
-            piece[inside[hit], n] = self.ids[found[hit]]
+        piece = np.full((most + 2, count, wide), len(self.ids) - 1, dtype=np.int32)
+        h = np.zeros((count, size + 1), dtype=np.uint64)
+        for n in range(1, most + 1):
+            h = h[:, :-1] * _P + cp[:, n - 1 :]
+            piece[n, :, 1 : size + 2 - n] = self.rows(h)
         # group by word and fold: one join of neighbours a word and round
-        end = at + 1
-        live = np.ones(total, dtype=bool)
-        word = np.repeat(np.arange(len(words)), size)
-        pos = at
-        while len(pos):
-            mid = end[pos]
-            ok = mid < word_end[pos]
-            far = np.where(ok, end[np.minimum(mid, total - 1)], mid)
-            span = far - pos
-            s = np.where(ok & (span <= self.longest), score[pos, np.minimum(span, self.longest)], -np.inf)
-            first = np.flatnonzero(np.diff(word[pos], prepend=-1))
-            best = np.maximum.reduceat(s, first)
-            best_here = np.repeat(best, np.diff(np.append(first, len(pos))))
-            hits = np.flatnonzero((s == best_here) & (s > -np.inf))
-            if not len(hits):
-                break
-            _, one = np.unique(word[pos[hits]], return_index=True)  # leftmost of each word
-            hits = hits[one]
-            left = pos[hits]
-            gone = end[left]
-            end[left] = end[gone]
-            live[gone] = False
-            pos = pos[(best_here > -np.inf) & live[pos]]
+        flat, layer = piece.ravel(), count * wide
+        end = np.tile(np.arange(1, wide + 1), count)
+        end[wide - 1 :: wide] = wide + most  # too far for any piece
+        before = np.tile(np.arange(-1, wide - 1), count)
+        live = np.ones((count, wide), dtype=bool)
+        live[:, [0, -1]] = False
+        live = live.ravel()
+        cost = np.full((count, wide), NONE, dtype=np.int32)
+        if most > 1:
+            cost[:, 1:size] = self.cost.take(piece[2, :, 1:size])
+        row = np.arange(count) * wide  # where the words still folded begin
+        while len(row):
+            here = np.arange(len(row))
+            at = cost.argmin(axis=1)  # the leftmost of the best
+            going = cost[here, at] < NONE
+            if not going.all():
+                cost, row, at = cost[going], row[going], at[going]
+                here = here[: len(row)]
+            left = row + at
+            mid = end.take(left)
+            stop = end.take(row + mid)
+            end[left] = stop
+            before[row + stop] = at
+            live[row + mid] = False
+            cost[here, mid] = NONE
+            span = np.minimum(end.take(row + stop) - at, most + 1)
+            cost[here, at] = self.cost.take(flat.take(span * layer + left))
+            at = before.take(left)
+            span = np.minimum(stop - at, most + 1)
+            cost[here, at] = self.cost.take(flat.take(span * layer + row + at))
         begin = np.flatnonzero(live)
-        ids = piece[begin, end[begin] - begin]
+        owner = begin // wide
+        ids = self.ids.take(flat.take((end.take(begin) - begin % wide) * layer + begin))
         lone = np.flatnonzero(ids < 0)
         if len(lone):
-            spelt = {int(i): self.spell(chr(cp[begin[i]])) for i in lone}
+            spelt = [self.spell(chr(c)) for c in cp[owner[lone], begin[lone] % wide - 1].tolist()]
             reps = np.ones(len(ids), dtype=np.int64)
-            reps[lone] = [len(spelt[int(i)]) for i in lone]
-            owner = np.repeat(word[begin], reps)
-            flat = np.repeat(ids, reps)
-            flat[np.repeat(ids < 0, reps)] = [x for i in lone for x in spelt[int(i)]]
-        else:
-            owner, flat = word[begin], ids
-        cut = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
-        raw = flat.astype("<i4").tobytes()
-        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            reps[lone] = [len(x) for x in spelt]
+            odd = np.repeat(ids < 0, reps)
+            owner, ids = np.repeat(owner, reps), np.repeat(ids, reps)
+            ids[odd] = [y for x in spelt for y in x]
+        cut = (np.searchsorted(owner, np.arange(count + 1)) * 4).tolist()
+        raw = ids.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     def fold_long(self, word: str) -> bytes:
         """The same fold for one long word, with a heap of joinable neighbours."""
@@ -177,7 +208,7 @@ class PieceModel:
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         flat = lists.flatten().dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = [SPACE + w for w in flat.dictionary.to_pylist()]
+        words = [SPACE + w for w in strings(flat.dictionary)]
         offsets = lists.offsets.to_numpy().astype(np.int64)
         strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if not len(strange):
@@ -195,15 +226,15 @@ class PieceModel:
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         offsets, codes, words = self._units(texts)
-        got = {w: self.seen.get(w) for w in words}
-        fresh = [w for w, ids in got.items() if ids is None]
-        short = [w for w in fresh if len(w) <= LONG]
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
-            got.update(zip(part, self.fold(part), strict=True))
-        got.update((w, self.fold_long(w)) for w in fresh if len(w) > LONG)
-        self.seen.update((w, got[w]) for w in fresh[: max(CACHE - len(self.seen), 0)])
-        parts = [got[w] for w in words]
+        parts = list(map(self.seen.get, words))
+        fresh = [i for i, ids in enumerate(parts) if ids is None]
+        short = [i for i in fresh if len(words[i]) <= LONG]
+        for i, ids in zip(short, self.fold([words[i] for i in short]), strict=True):
+            parts[i] = ids
+        for i in fresh:
+            if len(words[i]) > LONG:
+                parts[i] = self.fold_long(words[i])
+        self.seen.update((words[i], parts[i]) for i in fresh[: max(CACHE - len(self.seen), 0)])
         lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), dtype="<i4")
         each = lens[codes]
