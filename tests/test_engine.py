@@ -239,3 +239,22 @@ def test_calendar_windows_without_rows(s):
     r = shape.range(s, "2023-11-15T00:00:00Z", "2024-02-10T00:00:00Z")
     out = windows.aggregate_window(r, "1mo", "count")
     assert sorted((x["tag"], x["_time"].month, x["_value"]) for x in out.df.collect()) == sorted([(t, m, n if m == 2 and i == 2 else 0) for t, n in (("a", 4), ("b", 2)) for i, m in enumerate((12, 1, 2, 2))])
+
+
+def bessel_column(spark, fn, want):
+    """``fn`` at 1, 100 and values without a plain answer, and over many rows in
+    one task; quadrature a row at a time took over a millisecond each."""
+    import time
+
+    given = [1.0, 100.0, 0.0, -1.0, 1e300, math.inf, math.nan, None]
+    x = spark.createDataFrame(list(enumerate(given)), "i int, x double")
+    got = [r["y"] for r in x.select("i", fn(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got[-1] is None and math.isnan(got[-2]) and abs(got[-4]) < 1e-100
+    assert got[:4] + [got[5]] == pytest.approx(want, abs=1e-14, nan_ok=True)
+    begun = time.time()
+    assert spark.range(0, 50_000, 1, 1).select(fn(F.col("id") / 1000.0 + 0.001).alias("y")).where(F.col("y").isNotNull()).count() == 50_000
+    assert time.time() - begun < 15
+
+
+def test_bessel_y0_of_many_rows(spark):
+    bessel_column(spark, maths.y0, [0.08825696421567697, -0.07724431336508315, -math.inf, math.nan, 0.0])
