@@ -258,3 +258,7 @@ def bessel_column(spark, fn, want):
 
 def test_bessel_y0_of_many_rows(spark):
     bessel_column(spark, maths.y0, [0.08825696421567697, -0.07724431336508315, -math.inf, math.nan, 0.0])
+
+
+def test_bessel_y1_of_many_rows(spark):
+    bessel_column(spark, maths.y1, [-0.7812128213002887, -0.02037231200275932, -math.inf, math.nan, 0.0])
