@@ -262,3 +262,7 @@ def test_bessel_y0_of_many_rows(spark):
 
 def test_bessel_y1_of_many_rows(spark):
     bessel_column(spark, maths.y1, [-0.7812128213002887, -0.02037231200275932, -math.inf, math.nan, 0.0])
+
+
+def test_bessel_yn_of_many_rows(spark):
+    bessel_column(spark, lambda x: maths.yn(2, x), [-1.6506826068162543, 0.07683686712502797, -math.inf, math.nan, 0.0])
