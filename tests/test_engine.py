@@ -266,3 +266,7 @@ def test_bessel_y1_of_many_rows(spark):
 
 def test_bessel_yn_of_many_rows(spark):
     bessel_column(spark, lambda x: maths.yn(2, x), [-1.6506826068162543, 0.07683686712502797, -math.inf, math.nan, 0.0])
+
+
+def test_bessel_jn_of_many_rows(spark):
+    bessel_column(spark, lambda x: maths.jn(2, x), [0.1149034849319005, -0.02152875734450536, 0.0, 0.1149034849319005, 0.0])
