@@ -270,3 +270,7 @@ def test_bessel_yn_of_many_rows(spark):
 
 def test_bessel_jn_of_many_rows(spark):
     bessel_column(spark, lambda x: maths.jn(2, x), [0.1149034849319005, -0.02152875734450536, 0.0, 0.1149034849319005, 0.0])
+
+
+def test_bessel_j1_of_many_rows(spark):
+    bessel_column(spark, maths.j1, [0.4400505857449335, -0.07714535201411216, 0.0, -0.4400505857449335, 0.0])
