@@ -274,3 +274,7 @@ def test_bessel_jn_of_many_rows(spark):
 
 def test_bessel_j1_of_many_rows(spark):
     bessel_column(spark, maths.j1, [0.4400505857449335, -0.07714535201411216, 0.0, -0.4400505857449335, 0.0])
+
+
+def test_bessel_j0_of_many_rows(spark):
+    bessel_column(spark, maths.j0, [0.7651976865579666, 0.01998585030422312, 1.0, 0.7651976865579666, 0.0])
