@@ -278,3 +278,15 @@ def test_bessel_j1_of_many_rows(spark):
 
 def test_bessel_j0_of_many_rows(spark):
     bessel_column(spark, maths.j0, [0.7651976865579666, 0.01998585030422312, 1.0, 0.7651976865579666, 0.0])
+
+
+@pytest.mark.parametrize("name, rows", [("stream_dedup", False)])
+def test_what_a_stream_appends_is_not_held_by_the_driver(spark, data, name, rows):
+    from tidemill import queries_more
+
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    out = queries_more.QUERIES[name](spark, data)
+    assert "LocalTableScan" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "FileScan parquet" in plan
+    assert spark.conf.get("spark.sql.shuffle.partitions") == shuffled
+    want = spark.read.parquet(f"{data}/events.parquet")
+    assert (out.count() == want.where("value > 10").count()) if rows else (out.first()["n"] == want.count())
