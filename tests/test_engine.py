@@ -280,7 +280,7 @@ def test_bessel_j0_of_many_rows(spark):
     bessel_column(spark, maths.j0, [0.7651976865579666, 0.01998585030422312, 1.0, 0.7651976865579666, 0.0])
 
 
-@pytest.mark.parametrize("name, rows", [("stream_dedup", False)])
+@pytest.mark.parametrize("name, rows", [("stream_dedup", False), ("stream_filter_append", True)])
 def test_what_a_stream_appends_is_not_held_by_the_driver(spark, data, name, rows):
     from tidemill import queries_more
 
