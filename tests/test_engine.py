@@ -290,3 +290,24 @@ def test_what_a_stream_appends_is_not_held_by_the_driver(spark, data, name, rows
     assert spark.conf.get("spark.sql.shuffle.partitions") == shuffled
     want = spark.read.parquet(f"{data}/events.parquet")
     assert (out.count() == want.where("value > 10").count()) if rows else (out.first()["n"] == want.count())
+
+
+def rates_as_sql(spark, tmp_path, name):
+    """A rate query against its SQL where times repeat, with other and the same
+    values, and where a quotient has digits beyond what a double holds."""
+    import oracle
+
+    from tidemill import queries
+
+    steps = [(0, 31.89), (745, 2.86), (745, 3.5), (745, 3.5), (745, 1.0), (10**9, 2.0), (2 * 86400 * 10**6, 1.0), (2 * 86400 * 10**6, 1.0), (4 * 86400 * 10**6, 7.0), (4 * 86400 * 10**6, 2.0)]
+    rows = ", ".join(f"({i}, make_timestamp({us} + 1704795427720968), 1, '{k}', {v}::DOUBLE)" for k in ("a", "b") for i, (us, v) in enumerate(steps))
+    oracle.duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet'")
+    db = oracle.connect(str(tmp_path))
+    return oracle.compare(db, queries.QUERIES[name](spark, str(tmp_path)), queries.SQL[name])
+
+
+def test_derivative_over_repeated_times_as_sql(spark, tmp_path, s):
+    assert rates_as_sql(spark, tmp_path, "derivative") is None
+    twice = table(spark.createDataFrame([(at(0), "a", 1.0), (at(0), "a", 3.0), (at(0), "a", 3.0), (at(0), "a", 2.0), (at(10), "a", 4.0)], "_time timestamp, tag string, _value double"), ("tag",), ("_time",))
+    assert values(sequences.derivative(twice, "10s")) == [None, None, None, 2.0]
+    assert values(sequences.derivative(twice, "10s", by_zero=True)) == pytest.approx([math.inf, math.nan, -math.inf, 2.0], nan_ok=True)
