@@ -311,3 +311,7 @@ def test_derivative_over_repeated_times_as_sql(spark, tmp_path, s):
     twice = table(spark.createDataFrame([(at(0), "a", 1.0), (at(0), "a", 3.0), (at(0), "a", 3.0), (at(0), "a", 2.0), (at(10), "a", 4.0)], "_time timestamp, tag string, _value double"), ("tag",), ("_time",))
     assert values(sequences.derivative(twice, "10s")) == [None, None, None, 2.0]
     assert values(sequences.derivative(twice, "10s", by_zero=True)) == pytest.approx([math.inf, math.nan, -math.inf, 2.0], nan_ok=True)
+
+
+def test_aggregate_rate_over_repeated_times_as_sql(spark, tmp_path):
+    assert rates_as_sql(spark, tmp_path, "aggregate_rate") is None
