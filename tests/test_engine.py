@@ -315,3 +315,11 @@ def test_derivative_over_repeated_times_as_sql(spark, tmp_path, s):
 
 def test_aggregate_rate_over_repeated_times_as_sql(spark, tmp_path):
     assert rates_as_sql(spark, tmp_path, "aggregate_rate") is None
+
+
+def test_equal_groups_go_in_the_order_seen(spark):
+    rows = [(at(0), "a", 5.0), (at(1), "b", 0.0), (at(2), None, 0.0), (at(3), "c", 9.0), (at(4), None, 9.0), (at(5), "a", 9.0), (at(6), "a", 0.0)]
+    t = table(spark.createDataFrame(rows, "_time timestamp, tag string, _value double"), ("tag",))
+    assert [r["tag"] for r in selectors.lowest_min(t, 2, group_columns=["tag"]).df.collect()] == ["a", "b"]
+    assert [r["tag"] for r in selectors.highest_max(t, 2, group_columns=["tag"]).df.collect()] == ["a", None]
+    assert selectors.highest_average(t, 9, group_columns=["tag"]).df.columns == ["tag", "_value"]
